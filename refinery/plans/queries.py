@@ -542,3 +542,7 @@ def q_two_column_bins(spark, sf):
     return (li.groupBy(F.floor(F.col("l_quantity") / 10).cast("bigint").alias("x_bin"),
                        F.floor(F.col("l_extendedprice") / 10000).cast("bigint").alias("y_bin"))
             .agg(F.count(F.lit(1)).alias("count")))
+
+
+# Further query families register themselves on import.
+from refinery.plans import queries_encoding, queries_resolution  # noqa: E402,F401
