@@ -18,6 +18,9 @@ from refinery.features import encoders as E
 from refinery.operators import counts, dedup, grouping, joins, resolve, tables
 from refinery.session import read_table
 
+TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+               "embeddings", "pages", "benchmark", "labels", "conversations"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -545,4 +548,4 @@ def q_two_column_bins(spark, sf):
 
 
 # Further query families register themselves on import.
-from refinery.plans import queries_encoding, queries_resolution  # noqa: E402,F401
+from refinery.plans import queries_encoding, queries_models, queries_resolution  # noqa: E402,F401
