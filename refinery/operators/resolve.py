@@ -31,6 +31,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refinery.functions.similarity import indel_ratio, indel_upper_bound_ok
 from refinery.functions.text import blank_to_null, code_key, display_name, normalize_name
@@ -225,7 +226,9 @@ def resolve_with_callable(residue: DataFrame, keys: Sequence[str], resolver: Cal
     resolved once per attempt.
     """
     distinct = residue.select(*keys).distinct()
-    schema = distinct.schema.add(out_col, "string").add("resolve_error", "string")
+    # A fresh StructType: ``StructType.add`` would mutate the frame's cached schema.
+    schema = T.StructType(list(distinct.schema.fields) + [T.StructField(out_col, T.StringType()),
+                                                          T.StructField("resolve_error", T.StringType())])
 
     def run(batches):
         for pdf in batches:
