@@ -15,7 +15,8 @@ import json
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReader, MLWriter)
 from pyspark.sql import Column, DataFrame
 
 from refinery.operators.tables import MissingColumnsError
@@ -82,6 +83,66 @@ class EncoderModel(Model, HasColumn, DefaultParamsReadable, DefaultParamsWritabl
         return json.dumps(self.fitted_params(), default=_json_default)
 
 
+class ArtifactPersistence:
+    """Mixin for models holding more than params: DataFrames (saved as Parquet)
+    and nested ML models (saved with their own writer) next to the metadata.
+
+    Subclasses list ``ARTIFACTS = {attribute: "frame" | "model"}``.
+    """
+
+    ARTIFACTS: dict[str, str] = {}
+
+    def write(self):
+        return _ArtifactWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _ArtifactReader(cls)
+
+
+class _ArtifactWriter(MLWriter):
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path):
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        for name, kind in self.instance.ARTIFACTS.items():
+            obj = getattr(self.instance, name)
+            if obj is None:
+                continue
+            if kind == "frame":
+                obj.write.mode("overwrite").parquet(f"{path}/{name}")
+            else:
+                obj.write().overwrite().save(f"{path}/{name}")
+
+
+class _ArtifactReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path):
+        import os
+
+        from pyspark.ml import PipelineModel
+
+        meta = DefaultParamsReader.loadMetadata(path, self.sc)
+        inst = self.cls()
+        DefaultParamsReader.getAndSetParams(inst, meta)
+        inst._resetUid(meta["uid"])
+        fs_path = path[len("file:"):] if path.startswith("file:") else path
+        for name, kind in self.cls.ARTIFACTS.items():
+            sub = f"{path}/{name}"
+            if "://" not in path and not os.path.exists(os.path.join(fs_path, name)):
+                continue
+            if kind == "frame":
+                setattr(inst, name, self.sparkSession.read.parquet(sub))
+            else:
+                setattr(inst, name, PipelineModel.load(sub))
+        return inst
+
+
 def _json_default(o):
     if isinstance(o, (set, frozenset, tuple)):
         return list(o)

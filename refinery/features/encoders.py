@@ -13,7 +13,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refinery.features.base import Encoder, EncoderModel, FitError, q
+from refinery.features.base import ArtifactPersistence, Encoder, EncoderModel, FitError, q
 from refinery.functions.lists import any_outside_flag, contains_flag
 from refinery.functions.numeric import affine_scale, equals_flag, finite_or_null, not_in_flag
 from refinery.functions.text import snake_name_py
@@ -354,7 +354,10 @@ class FrequencyEncoder(Encoder):
         return model
 
 
-class FrequencyModel(EncoderModel):
+class FrequencyModel(ArtifactPersistence, EncoderModel):
+    """The share table is saved as Parquet next to the params."""
+
+    ARTIFACTS = {"table": "frame"}
     table: DataFrame | None = None
 
     def __init__(self, column=None):
@@ -371,41 +374,6 @@ class FrequencyModel(EncoderModel):
         rows = self.table.orderBy(F.desc("share"), F.asc_nulls_first("value")).limit(1000).collect()
         return {"frequency_mapping_top": [[r["value"], r["share"]] for r in rows]}
 
-    # persistence: params as metadata + the share table as Parquet
-    def write(self):
-        return _FrequencyWriter(self)
-
-    @classmethod
-    def read(cls):
-        return _FrequencyReader(cls)
-
-
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWriter  # noqa: E402
-
-
-class _FrequencyWriter(MLWriter):
-    def __init__(self, instance):
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path):
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
-        self.instance.table.write.mode("overwrite").parquet(f"{path}/data")
-
-
-class _FrequencyReader(MLReader):
-    def __init__(self, cls):
-        super().__init__()
-        self.cls = cls
-
-    def load(self, path):
-        meta = DefaultParamsReader.loadMetadata(path, self.sc)
-        inst = DefaultParamsReader.loadParamsInstance(path, self.sc) if False else self.cls()
-        DefaultParamsReader.getAndSetParams(inst, meta)
-        inst._resetUid(meta["uid"])
-        inst.table = self.sparkSession.read.parquet(f"{path}/data")
-        return inst
-
 
 # ---------------------------------------------------------------------------- E7
 class ModeImputer(Encoder):

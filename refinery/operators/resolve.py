@@ -125,16 +125,17 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
     ``match``/``score`` are null when nothing clears the threshold.  Ties on
     score go to the larger ``priority_col``, then the smaller canonical name.
     """
+    # Candidate tables are keyed by the exact natural keys (as structs), never by a hash.
     q = (queries.select(F.col(name_col).alias("_raw"), F.col(block_col).alias("_blk"))
          .filter(F.col("_raw").isNotNull()).distinct()
          .withColumn("_q", normalize_name(F.col("_raw")) if normalize else F.col("_raw"))
-         .withColumn("_qid", F.xxhash64("_raw", "_blk")))
+         .withColumn("_qid", F.struct("_raw", "_blk")))
     prio = F.col(priority_col) if priority_col else F.lit(0)
     d = (dim.select(F.col(alias_col).alias("_a"), F.col(dim_block_col).alias("_blk"),
                     F.col(canonical_col).alias("_canon"), prio.cast("double").alias("_prio"))
          .filter(F.col("_a").isNotNull())
          .groupBy("_a", "_blk", "_canon").agg(F.max("_prio").alias("_prio"))
-         .withColumn("_did", F.xxhash64("_a", "_blk", "_canon")))
+         .withColumn("_did", F.struct("_a", "_blk", "_canon")))
 
     # Global token order: rare first (document frequency over the dimension).
     rank = (d.select(F.explode(F.array_distinct(_tokens(F.col("_a")))).alias("_tok"))

@@ -165,3 +165,22 @@ def test_choose_k():
     assert choose_k([0.5, 0.3, 0.2], 0.8) == 2
     assert choose_k([0.5, 0.3, 0.2], 1.0) == 3
     assert choose_k([0.4, 0.3], 0.99) == 2
+
+
+def test_pca_and_text_pca_persist(spark):
+    from refinery.features.reduce import TextPCA
+
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    base = tempfile.mkdtemp(prefix="refinery-model-")
+    for df, enc, key in [(emb, EmbeddingPCA(column="embedding", threshold=0.5), "vec_id"),
+                         (docs, TextPCA(column="text", n_components=3, num_features=64), "doc_id")]:
+        model = C.FeatureChain([E.PassThrough(column=key), enc]).fit(df)
+        out = model.transform(df)
+        path = os.path.join(base, key)
+        C.save_model(model, path)
+        again = C.load_model(path).transform(df)
+        assert again.columns == out.columns and len(out.columns) >= 2
+        a = sorted(tuple(round(x, 9) for x in r) for r in out.collect())
+        b = sorted(tuple(round(x, 9) for x in r) for r in again.collect())
+        assert a == b
