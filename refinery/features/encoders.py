@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,11 +231,14 @@ class OneHotEncoder(Encoder):
 
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        freq = df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-        total = df.filter(c.isNotNull()).count()
+        # The frequency table is read several times (total, cut, collect): keep it.
+        freq = (df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        total = freq.agg(F.sum("count")).first()[0] or 0
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         sel = coverage_select(freq, thr, inclusive=False, total=total)
         rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
+        freq.unpersist()
         return OneHotModel(column=col, values_json=json.dumps([r["value"] for r in rows], default=str),
                            shares=[float(r["ratio"]) for r in rows], others=thr is not None)
 
@@ -290,11 +294,12 @@ class MultiLabelEncoder(Encoder):
             self._set(threshold=threshold)
 
     def _fit_column(self, df, col):
-        freq = item_counts(df, col)
+        freq = item_counts(df, col).persist(StorageLevel.MEMORY_AND_DISK)
         total = freq.agg(F.sum("count")).first()[0] or 0
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         sel = coverage_select(freq, thr, inclusive=True, total=total)
         rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
+        freq.unpersist()
         return MultiLabelModel(column=col, values=[r["value"] for r in rows],
                                shares=[float(r["ratio"]) for r in rows],
                                cumulative=[float(r["cumulative_ratio"]) for r in rows],

@@ -4,7 +4,7 @@ from refinery.functions.dates import (calendar_months_since, hours_between, pars
                                       parse_timestamp_strict)
 from refinery.functions.lists import (any_outside_flag, append_item, argmax, contains_flag, join_items,
                                       list_template, lower_items, non_empty, remove_item)
-from refinery.functions.numeric import (affine_scale, clip, equals_flag, finite_or_null, not_in_flag,
+from refinery.functions.numeric import (affine_scale, clip, equals_flag, finite_or_null, literal_map_lookup, not_in_flag,
                                         safe_ratio, to_flag, when_equals)
 from refinery.functions.similarity import indel_ratio, indel_upper_bound_ok
 from refinery.functions.text import (blank_to_null, code_key, display_name, fold_to_ascii, normalize_name,

@@ -63,3 +63,12 @@ def affine_scale(c: ColumnOrName, center: float, scale: float) -> Column:
 def when_equals(cond_col: ColumnOrName, value, then: Column, otherwise: Column) -> Column:
     """``then`` where ``cond_col == value``; a null condition takes ``otherwise``."""
     return F.when(F.coalesce(_c(cond_col) == F.lit(value), F.lit(False)), then).otherwise(otherwise)
+
+
+def literal_map_lookup(c: ColumnOrName, mapping: dict, value_type: str | None = None) -> Column:
+    """Look a value up in a small literal map; a missing key gives null."""
+    if not mapping:
+        return F.lit(None).cast(value_type or "string")
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    out = F.try_element_at(m, _c(c))
+    return out.cast(value_type) if value_type else out

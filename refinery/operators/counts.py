@@ -148,3 +148,15 @@ def distinct_items(df: DataFrame, col: str) -> DataFrame:
 
 def ceil_div(a: float, b: float) -> int:
     return int(math.ceil(a / b))
+
+
+def bin2d(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
+    """Two-column extract binned on a grid -- ``(x_bin, y_bin, count)``; the data of a scatter plot."""
+    return (df.groupBy(F.floor(F.col(f"`{x}`") / x_width).cast("bigint").alias("x_bin"),
+                       F.floor(F.col(f"`{y}`") / y_width).cast("bigint").alias("y_bin"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+def total_count(freq: DataFrame, count: str = "count") -> int:
+    """Sum of a frequency column."""
+    return int(freq.agg(F.sum(count)).first()[0] or 0)

@@ -28,8 +28,11 @@ def ordered_list(df: DataFrame, key: str, value: str, order_by: Sequence[str], a
     base = df.filter(F.col(f"`{key}`").isNotNull())
     k = F.col(f"`{key}`")
     if split and split > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{o}`") for o in order_by], F.col(f"`{value}`")), F.lit(split))
-        chunks = base.groupBy(k, salt.alias("_salt")).agg(F.array_sort(F.collect_list(item)).alias("_chunk"))
+        # A per-row salt (not a hash of the values): rows of a hot key spread
+        # evenly even when they all carry the same value.  Any assignment
+        # gives the same merged list, so a recomputed salt cannot change it.
+        salted = base.select(k, item.alias("_item"), F.floor(F.rand(17) * split).cast("int").alias("_salt"))
+        chunks = salted.groupBy(k, "_salt").agg(F.array_sort(F.collect_list("_item")).alias("_chunk"))
         merged = chunks.groupBy(k).agg(F.array_sort(F.flatten(F.collect_list("_chunk"))).alias("_items"))
     else:
         merged = base.groupBy(k).agg(F.array_sort(F.collect_list(item)).alias("_items"))

@@ -66,6 +66,12 @@ def precedence_lookup(values: DataFrame, value_col: str, dim: DataFrame, name_co
 
 
 # ------------------------------------------------------------------------- S6/S7
+def country_dimension(countries: DataFrame, name_col: str = "name", translit: dict[str, str] | None = None
+                      ) -> DataFrame:
+    """A country table with its normalised-name comparison key (``name_key``)."""
+    return countries.withColumn("name_key", normalize_name(F.col(name_col), translit))
+
+
 def build_alias_dimension(cities: DataFrame, countries: DataFrame, min_population: int = 500,
                           exclusions: DataFrame | None = None, translit: dict[str, str] | None = None) -> DataFrame:
     """One row per ``(block, alias)`` from a city table with alternate names.

@@ -541,10 +541,7 @@ SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS x_bin, CAST(floor(l_extendedpri
 """)
 def q_two_column_bins(spark, sf):
     """Two-column extract binned in 2-D (the data behind a scatter plot)."""
-    li = _t(spark, sf, "lineitem")
-    return (li.groupBy(F.floor(F.col("l_quantity") / 10).cast("bigint").alias("x_bin"),
-                       F.floor(F.col("l_extendedprice") / 10000).cast("bigint").alias("y_bin"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    return counts.bin2d(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 10, 10000)
 
 
 # Further query families register themselves on import.

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from refinery.features import chain as C
 from refinery.features import encoders as E
 from refinery.features.reduce import EmbeddingPCA
+from refinery.functions.numeric import literal_map_lookup
 from refinery.functions.text import parse_list_literal
+from refinery.operators.sample import seeded_sample
+from refinery.plans.profile import profile_long
 from refinery.plans import topics as TP
 from refinery.plans.queries import TABLE_NAMES, _r6, _t, combo_lists, register
-from refinery.session import checkpoint_dir
+from refinery.session import checkpoint_dir, spread
 from refinery.sources.files import file_manifest, probe_schemas
 
 CHAIN_SPEC = [
@@ -86,7 +89,8 @@ def q_pca_2d(spark, sf):
 
 
 def _doc_features(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", TP.word_tokens("text").alias("tokens"))
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.select("doc_id", TP.word_tokens("text").alias("tokens"))
     cv = TP.fit_vocabulary(docs, "tokens", vocab_size=1 << 14, min_df=2.0)
     return cv, cv.transform(docs).select("doc_id", "features")
 
@@ -135,8 +139,37 @@ def q_file_manifest(spark, sf):
 @register("sample_seeded")
 def q_sample_seeded(spark, sf):
     """Deterministic sample of 10 orders (the limit is the feature)."""
+    return seeded_sample(_t(spark, sf, "orders"), 10, "o_orderkey", seed=42)
+
+
+@register("priority_rank", """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3
+                   ELSE NULL END AS priority_rank FROM orders
+""")
+def q_priority_rank(spark, sf):
+    """Small literal map lookup; keys outside the map give null."""
     o = _t(spark, sf, "orders")
-    return o.orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(10)
+    return o.select("o_orderkey", literal_map_lookup("o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3},
+                                                     "int").alias("priority_rank"))
+
+
+@register("profile_report", """
+SELECT * FROM (
+  SELECT 'o_totalprice' AS "column", 'nulls' AS metric, CAST(count(*) - count(o_totalprice) AS DOUBLE) AS value FROM orders
+  UNION ALL SELECT 'o_totalprice', 'non_nulls', CAST(count(o_totalprice) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'o_totalprice', 'distinct', CAST(count(DISTINCT o_totalprice) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'o_orderstatus', 'nulls', CAST(count(*) - count(o_orderstatus) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'o_orderstatus', 'non_nulls', CAST(count(o_orderstatus) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'o_orderstatus', 'distinct', CAST(count(DISTINCT o_orderstatus) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'o_totalprice', 'mean', round(avg(o_totalprice), 6) FROM orders
+  UNION ALL SELECT 'o_totalprice', 'std', round(stddev_samp(o_totalprice), 6) FROM orders
+  UNION ALL SELECT 'o_totalprice', 'min', min(o_totalprice) FROM orders
+  UNION ALL SELECT 'o_totalprice', 'max', max(o_totalprice) FROM orders)
+""")
+def q_profile_report(spark, sf):
+    """Scalar profile metrics of several columns in one aggregate pass."""
+    p = profile_long(_t(spark, sf, "orders"), ["o_totalprice"], ["o_orderstatus"])
+    return p.withColumn("value", _r6(F.col("value")))
 
 
 @register("literal_list_parse", """

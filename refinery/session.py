@@ -86,5 +86,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compute_partitions(spark: SparkSession, factor: int = 2) -> int:
+    """Partitions for CPU-heavy stages: a small multiple of the cluster's cores."""
+    return max(1, spark.sparkContext.defaultParallelism * factor)
+
+
+def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Spread rows over all cores before CPU-heavy row work (tokenising, model inference).
+
+    A scan yields one task per file split; a few large unsplittable files
+    (one row group, gzip) would leave most cores idle.  The cost is one
+    shuffle of the rows, worth it only where per-row compute dominates.
+    """
+    n = compute_partitions(df.sparkSession, factor)
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
