@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from refinery.functions.text import snake_name_py
 from refinery.operators.counts import coverage_select, item_counts, with_running_share
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.tables import replace_with_derived
+from refinery.session import cut_lineage
 
 
 def _json_param(name: str, doc: str) -> Param:
@@ -231,14 +231,12 @@ class OneHotEncoder(Encoder):
 
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        # The frequency table is read several times (total, cut, collect): keep it.
-        freq = (df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+        # The frequency table is read several times (total, cut, collect): materialise it once.
+        freq = cut_lineage(df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")))
         total = freq.agg(F.sum("count")).first()[0] or 0
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
-        sel = coverage_select(freq, thr, inclusive=False, total=total)
+        sel = coverage_select(freq, thr, inclusive=False, total=total, checkpoint=False)
         rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
-        freq.unpersist()
         return OneHotModel(column=col, values_json=json.dumps([r["value"] for r in rows], default=str),
                            shares=[float(r["ratio"]) for r in rows], others=thr is not None)
 
@@ -294,12 +292,11 @@ class MultiLabelEncoder(Encoder):
             self._set(threshold=threshold)
 
     def _fit_column(self, df, col):
-        freq = item_counts(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+        freq = cut_lineage(item_counts(df, col))
         total = freq.agg(F.sum("count")).first()[0] or 0
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
-        sel = coverage_select(freq, thr, inclusive=True, total=total)
+        sel = coverage_select(freq, thr, inclusive=True, total=total, checkpoint=False)
         rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
-        freq.unpersist()
         return MultiLabelModel(column=col, values=[r["value"] for r in rows],
                                shares=[float(r["ratio"]) for r in rows],
                                cumulative=[float(r["cumulative_ratio"]) for r in rows],
@@ -348,8 +345,6 @@ class FrequencyEncoder(Encoder):
             self._set(column=column)
 
     def _fit_column(self, df, col):
-        from refinery.session import cut_lineage
-
         c = F.col(q(col))
         total = df.count()
         table = (df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.operators.joins import checked_broadcast
+from refinery.session import cut_lineage
 
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
@@ -57,7 +58,7 @@ def stacked_value_counts(df: DataFrame, cols: Sequence[str], dropna: bool = True
 
 
 def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
-                    count: str = "count", total: int | None = None) -> DataFrame:
+                    count: str = "count", total: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Values kept by a cumulative-coverage cut over frequency-desc, value-asc order.
 
     ``inclusive`` (W2, lists): keep values up to and including the one whose
@@ -73,6 +74,9 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     """
     if threshold is None:
         return freq
+    if checkpoint:
+        # The frequency table is read up to four times below: materialise it once.
+        freq = cut_lineage(freq)
     if total is None:
         total = freq.agg(F.sum(count)).collect()[0][0] or 0
     if total == 0:

@@ -23,11 +23,15 @@ class FanOutError(ValueError):
 def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast-hint ``df`` only when its row count is proven small.
 
-    The count is one cheap job over the dimension; above the limit the plain
-    DataFrame is returned so the join shuffles instead.
+    The count is one job over the dimension; above the limit the plain
+    DataFrame is returned so the join shuffles instead (and AQE may still turn
+    it into a broadcast from the measured size at run time).
     """
     limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
-    n = df.limit(limit + 1).count()
+    # A distributed count (partial counts merged), not limit(n).count(), which
+    # would funnel up to n rows through one partition.  Derived dimensions
+    # should be checkpointed by the caller so the count does not recompute them.
+    n = df.count()
     return F.broadcast(df) if n <= limit else df
 
 
@@ -76,8 +80,16 @@ def guarded_lookup(left: DataFrame, right: DataFrame, left_key: str | Sequence[s
     lkeys = _keys(left_key)
     rkeys = _keys(right_key) if right_key is not None else lkeys
     if check:
-        assert_unique(right, rkeys)
-    r = checked_broadcast(right) if broadcast else right
+        # One aggregate answers both questions: is the key unique, and how many rows.
+        stats = (right.groupBy(*[F.col(f"`{k}`") for k in rkeys]).count()
+                 .agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first())
+        if stats["mx"] is not None and stats["mx"] > 1:
+            raise FanOutError(f"lookup: key {rkeys} is not unique ({stats['mx']} rows share one key)")
+        n = stats["n"] or 0
+        small = n <= broadcast_row_limit(right.sparkSession)
+        r = F.broadcast(right) if broadcast and small else right
+    else:
+        r = checked_broadcast(right) if broadcast else right
     if lkeys == rkeys:
         return left.join(r, lkeys, how)
     cond = [left[f"`{a}`"] == r[f"`{b}`"] for a, b in zip(lkeys, rkeys)]

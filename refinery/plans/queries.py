@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from refinery import functions as RF
 from refinery.features import encoders as E
 from refinery.operators import counts, dedup, grouping, joins, resolve, tables
-from refinery.session import read_table
+from refinery.session import cut_lineage, read_table
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -454,9 +454,9 @@ FROM w WHERE cum - count < 0.5 * total OR rn = 1
 """)
 def q_list_item_coverage(spark, sf):
     """D8 + W1 + W2: items kept by an inclusive 50% coverage cut."""
-    freq = counts.item_counts(combo_lists(spark, sf), "items")
+    freq = cut_lineage(counts.item_counts(combo_lists(spark, sf), "items"))
     total = freq.agg(F.sum("count")).first()[0]
-    sel = counts.coverage_select(freq, 0.5, inclusive=True, total=total)
+    sel = counts.coverage_select(freq, 0.5, inclusive=True, total=total, checkpoint=False)
     out = counts.with_running_share(sel, total)
     return out.select("value", "count", _r6(F.col("ratio")).alias("ratio"),
                       _r6(F.col("cumulative_ratio")).alias("cumulative_ratio"))
@@ -471,9 +471,10 @@ FROM w WHERE cum < 0.7 * total
 """)
 def q_coverage_exclusive(spark, sf):
     """Categories whose running share stays below 70%."""
-    freq = _t(spark, sf, "part").groupBy(F.col("p_type").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    freq = cut_lineage(_t(spark, sf, "part").groupBy(F.col("p_type").alias("value"))
+                       .agg(F.count(F.lit(1)).alias("count")))
     total = freq.agg(F.sum("count")).first()[0]
-    sel = counts.coverage_select(freq, 0.7, inclusive=False, total=total)
+    sel = counts.coverage_select(freq, 0.7, inclusive=False, total=total, checkpoint=False)
     out = counts.with_running_share(sel, total)
     return out.select("value", "count", _r6(F.col("ratio")).alias("ratio"),
                       _r6(F.col("cumulative_ratio")).alias("cumulative_ratio"))
