@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from refinery.functions.similarity import indel_ratio, indel_upper_bound_ok
 from refinery.functions.text import blank_to_null, code_key, display_name, normalize_name
 from refinery.operators.joins import checked_broadcast
+from refinery.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- J7
@@ -124,7 +125,7 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, block_col: str, rank: D
 def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: DataFrame,
                      alias_col: str = "alias", dim_block_col: str = "block", canonical_col: str = "canonical",
                      priority_col: str | None = "population", threshold: float = 0.80,
-                     normalize: bool = True) -> DataFrame:
+                     normalize: bool = True, materialize: bool = True) -> DataFrame:
     """J10 + W5: best dimension entry per distinct ``(name, block)`` with score > threshold.
 
     Returns ``name_col, block_col, match, score`` for every distinct query pair;
@@ -142,6 +143,9 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
          .filter(F.col("_a").isNotNull())
          .groupBy("_a", "_blk", "_canon").agg(F.max("_prio").alias("_prio"))
          .withColumn("_did", F.struct("_a", "_blk", "_canon")))
+    if materialize:
+        # Both distinct-name tables are read three times below; compute each once.
+        q, d = cut_lineage(q), cut_lineage(d)
 
     # Global token order: rare first (document frequency over the dimension).
     rank = (d.select(F.explode(F.array_distinct(_tokens(F.col("_a")))).alias("_tok"))
@@ -192,9 +196,15 @@ def fuzzy_best_match_bruteforce(queries: DataFrame, name_col: str, block_col: st
 
 
 # ---------------------------------------------------------------------- J11-J13
-def confidence_split(matches: DataFrame, accept: float = 0.88, score_col: str = "score"
-                     ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, residue); a null score goes to the residue."""
+def confidence_split(matches: DataFrame, accept: float = 0.88, score_col: str = "score",
+                     materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, residue); a null score goes to the residue.
+
+    Both halves read ``matches``; ``materialize`` checkpoints it once so the
+    (expensive) matching is not run twice.
+    """
+    if materialize:
+        matches = cut_lineage(matches)
     ok = F.coalesce(F.col(score_col) >= F.lit(accept), F.lit(False))
     return matches.filter(ok), matches.filter(~ok)
 
