@@ -118,3 +118,16 @@ def test_list_flags(spark):
     assert [x.o for x in r] == [0, 0, 0, 1]
     arr = spark.createDataFrame([([0.1, 0.7, 0.2],)], "p array<double>")
     assert arr.select(RF.argmax("p")).first()[0] == 1
+
+
+def test_literal_map_and_templates(spark):
+    df = spark.createDataFrame([("a", ["x", "y"], ["z"]), ("q", None, [])], "k string, s array<string>, t array<string>")
+    r = df.select(RF.literal_map_lookup("k", {"a": 1}, "int").alias("m"),
+                  RF.list_template("Skills: %s; Additional: %s", "s", "t").alias("txt"),
+                  RF.join_items(RF.lower_items(F.array(F.lit("A"), F.lit("B"))), " ").alias("j")).collect()
+    assert [x.m for x in r] == [1, None]
+    assert r[0].txt == "Skills: x,y; Additional: z" and r[1].txt == "Skills: ; Additional: "
+    assert r[0].j == "a b"
+    arr = spark.createDataFrame([(["a", "b", "a"],), (None,)], "x array<string>")
+    got = arr.select(RF.append_item("x", F.lit("c")).alias("ap"), RF.remove_item("x", "a").alias("rm")).collect()
+    assert got[0].ap == ["a", "b", "a", "c"] and got[0].rm == ["b"] and got[1].ap == ["c"]
