@@ -17,7 +17,7 @@ from refinery.features.base import ArtifactPersistence, Encoder, EncoderModel, F
 from refinery.functions.lists import any_outside_flag, contains_flag
 from refinery.functions.numeric import affine_scale, equals_flag, finite_or_null, not_in_flag
 from refinery.functions.text import snake_name_py
-from refinery.operators.counts import coverage_select, item_counts, with_running_share
+from refinery.operators.counts import coverage_rows, exact_quantiles, item_counts
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.tables import replace_with_derived
 from refinery.session import cut_lineage
@@ -141,13 +141,21 @@ class NumericScaler(Encoder):
     relative_error = Param(Params._dummy(), "relative_error", "0 = exact quantiles",
                            typeConverter=TypeConverters.toFloat)
 
-    def __init__(self, column: str | None = None, kind: str = "standard", relative_error: float = 0.0):
+    quantiles = Param(Params._dummy(), "quantiles",
+                      "robust quartiles: distributed (exact, no single-task histogram) | histogram (exact, "
+                      "one aggregate holding every distinct value) | approx (relative_error)",
+                      typeConverter=TypeConverters.toString)
+
+    def __init__(self, column: str | None = None, kind: str = "standard", relative_error: float = 0.0,
+                 quantiles: str = "distributed"):
         super().__init__()
         if kind not in ("standard", "minmax", "robust"):
             raise ValueError(f"unknown scaler kind {kind!r}")
+        if quantiles not in ("distributed", "histogram", "approx"):
+            raise ValueError(f"unknown quantile method {quantiles!r}")
         if column:
             self._set(column=column)
-        self._set(kind=kind, relative_error=relative_error)
+        self._set(kind=kind, relative_error=relative_error, quantiles=quantiles)
 
     def _scalar_aggs(self, col):
         x = finite_or_null(F.col(q(col)))
@@ -156,9 +164,13 @@ class NumericScaler(Encoder):
             return [F.avg(x).alias(f"{col}__a"), F.stddev_pop(x).alias(f"{col}__b")]
         if kind == "minmax":
             return [F.min(x).alias(f"{col}__a"), F.max(x).alias(f"{col}__b")]
-        err = self.getOrDefault(self.relative_error)
+        method = self.getOrDefault(self.quantiles)
+        if method == "distributed":
+            return None  # multi-pass: fitted on its own in _fit_column
         qs = F.array(F.lit(0.25), F.lit(0.75))
-        pct = F.percentile(x, qs) if err <= 0 else F.percentile_approx(x, qs, int(round(1 / err)))
+        err = self.getOrDefault(self.relative_error)
+        pct = F.percentile(x, qs) if method == "histogram" else \
+            F.percentile_approx(x, qs, int(round(1 / max(err, 1e-9))))
         return [pct.alias(f"{col}__q")]
 
     def _from_scalars(self, row, col):
@@ -178,7 +190,12 @@ class NumericScaler(Encoder):
         return NumericModel(column=col, kind=kind, center=center, scale=scale)
 
     def _fit_column(self, df, col):
-        return self._from_scalars(df.agg(*self._scalar_aggs(col)).first().asDict(), col)
+        aggs = self._scalar_aggs(col)
+        if aggs is None:
+            finite = df.select(finite_or_null(F.col(q(col))).alias("__x"))
+            qs = exact_quantiles(finite, "__x", [0.25, 0.75])
+            return self._from_scalars({f"{col}__q": None if qs[0] is None else qs}, col)
+        return self._from_scalars(df.agg(*aggs).first().asDict(), col)
 
 
 class NumericModel(EncoderModel):
@@ -231,14 +248,11 @@ class OneHotEncoder(Encoder):
 
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        # The frequency table is read several times (total, cut, collect): materialise it once.
-        freq = cut_lineage(df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")))
-        total = freq.agg(F.sum("count")).first()[0] or 0
+        freq = df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
-        sel = coverage_select(freq, thr, inclusive=False, total=total, checkpoint=False)
-        rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
-        return OneHotModel(column=col, values_json=json.dumps([r["value"] for r in rows], default=str),
-                           shares=[float(r["ratio"]) for r in rows], others=thr is not None)
+        rows, _ = coverage_rows(freq, thr, inclusive=False)
+        return OneHotModel(column=col, values_json=json.dumps([r[0] for r in rows], default=str),
+                           shares=[float(r[2]) for r in rows], others=thr is not None)
 
 
 class OneHotModel(EncoderModel):
@@ -292,15 +306,11 @@ class MultiLabelEncoder(Encoder):
             self._set(threshold=threshold)
 
     def _fit_column(self, df, col):
-        freq = cut_lineage(item_counts(df, col))
-        total = freq.agg(F.sum("count")).first()[0] or 0
+        freq = item_counts(df, col)
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
-        sel = coverage_select(freq, thr, inclusive=True, total=total, checkpoint=False)
-        rows = with_running_share(sel, max(total, 1)).orderBy(F.desc("count"), F.asc("value")).collect()
-        return MultiLabelModel(column=col, values=[r["value"] for r in rows],
-                               shares=[float(r["ratio"]) for r in rows],
-                               cumulative=[float(r["cumulative_ratio"]) for r in rows],
-                               others=bool(thr))
+        rows, _ = coverage_rows(freq, thr, inclusive=True)
+        return MultiLabelModel(column=col, values=[r[0] for r in rows], shares=[float(r[2]) for r in rows],
+                               cumulative=[float(r[3]) for r in rows], others=bool(thr))
 
 
 class MultiLabelModel(EncoderModel):

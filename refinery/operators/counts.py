@@ -57,8 +57,32 @@ def stacked_value_counts(df: DataFrame, cols: Sequence[str], dropna: bool = True
     return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _cut_local(rows: list, threshold: float | None, inclusive: bool, count_idx: int, value_idx: int,
+               total: int) -> list:
+    """The coverage cut on a small, already collected frequency table (same integer rule)."""
+    ordered = sorted(rows, key=lambda r: (-r[count_idx], r[value_idx] is None, r[value_idx]))
+    if threshold is None:
+        return ordered
+    cut = float(threshold) * float(total)
+    kept, before = [], 0
+    for i, r in enumerate(ordered):
+        c = r[count_idx]
+        if inclusive:
+            if before < cut or i == 0:
+                kept.append(r)
+            else:
+                break
+        elif before + c < cut:
+            kept.append(r)
+        else:
+            break
+        before += c
+    return kept
+
+
 def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
-                    count: str = "count", total: int | None = None, checkpoint: bool = True) -> DataFrame:
+                    count: str = "count", total: int | None = None, checkpoint: bool = True,
+                    local_limit: int = 100_000) -> DataFrame:
     """Values kept by a cumulative-coverage cut over frequency-desc, value-asc order.
 
     ``inclusive`` (W2, lists): keep values up to and including the one whose
@@ -68,12 +92,22 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     Integer running counts are used, so a threshold of 1.0 never loses the
     tail to float drift.
 
-    Returns the kept rows of ``freq`` (unordered).  Cost: one aggregate over
-    the frequency table, a window over its distinct frequencies, and a top-k
-    over the one straddling group.
+    A frequency table proven to hold at most ``local_limit`` rows (one
+    ``limit(n+1)`` fetch) is cut on the driver.  Larger tables are cut on the
+    cluster: a window over the *distinct frequencies* only, each frequency
+    group kept or dropped whole by arithmetic, and a top-k over the single
+    group that straddles the threshold.
     """
     if threshold is None:
         return freq
+    spark = freq.sparkSession
+    if local_limit > 0:
+        rows = freq.limit(local_limit + 1).collect()
+        if len(rows) <= local_limit:
+            ci, vi = freq.columns.index(count), freq.columns.index(value)
+            tot = total if total is not None else sum(r[ci] for r in rows)
+            kept = _cut_local(rows, threshold, inclusive, ci, vi, tot) if tot else []
+            return spark.createDataFrame(kept, freq.schema)
     if checkpoint:
         # The frequency table is read up to four times below: materialise it once.
         freq = cut_lineage(freq)
@@ -91,7 +125,7 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     if inclusive:
         k = F.greatest(k, F.when(above == 0, F.lit(1)).otherwise(F.lit(0)))
     byf = byf.withColumn("_k", F.least(F.greatest(k, F.lit(0)), F.col("_n")).cast("long"))
-    byf = byf.select("_f", "_n", "_k").filter(F.col("_k") > 0)
+    byf = cut_lineage(byf.select("_f", "_n", "_k").filter(F.col("_k") > 0))
     j = freq.join(checked_broadcast(byf), f == F.col("_f"))
     full = j.filter(F.col("_k") >= F.col("_n")).select(*freq.columns)
     partial_groups = byf.filter(F.col("_k") < F.col("_n")).collect()
@@ -102,6 +136,29 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     return out
 
 
+def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, total: int | None = None,
+                  value: str = "value", count: str = "count", local_limit: int = 100_000) -> tuple[list, int]:
+    """The kept ``(value, count, ratio, cumulative_ratio)`` rows in frequency order, and the total.
+
+    For encoders, whose output columns are the kept values: the selection is
+    needed on the driver anyway.  Small tables are cut locally in one job.
+    """
+    rows = freq.select(value, count).limit(local_limit + 1).collect() if local_limit > 0 else None
+    if rows is not None and len(rows) <= local_limit:
+        tot = total if total is not None else sum(r[1] for r in rows)
+        kept = _cut_local(rows, threshold, inclusive, 1, 0, tot) if tot else []
+    else:
+        f = cut_lineage(freq.select(value, count))
+        tot = total if total is not None else (f.agg(F.sum(count)).first()[0] or 0)
+        sel = coverage_select(f, threshold, inclusive, value, count, tot, checkpoint=False, local_limit=0)
+        kept = sorted(sel.collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
+    out, run = [], 0
+    for v, c in kept:
+        run += c
+        out.append((v, c, c / tot if tot else 0.0, run / tot if tot else 0.0))
+    return out, tot
+
+
 def with_running_share(selected: DataFrame, total: int, value: str = "value", count: str = "count") -> DataFrame:
     """W1 on a bounded (already selected) frequency table: ratio and running ratio."""
     w = Window.orderBy(F.desc(count), F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, 0)
@@ -164,3 +221,55 @@ def bin2d(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> Data
 def total_count(freq: DataFrame, count: str = "count") -> int:
     """Sum of a frequency column."""
     return int(freq.agg(F.sum(count)).first()[0] or 0)
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], window_rows: int = 1_000_000
+                    ) -> list[float | None]:
+    """Exact linear-interpolated quantiles (``numpy``/``percentile`` semantics) without a
+    single-task histogram of the whole column.
+
+    Three jobs for all ``probs`` together:
+
+    1. ``n`` = count of non-null values; target ranks ``p*(n-1)``.
+    2. One ``percentile_approx`` (rank error <= n/A, with ``A`` chosen so the
+       error is about ``window_rows/4``) brackets every target rank.
+    3. One aggregate counts the values below each bracket and collects the
+       values inside it (about ``window_rows``, a bounded group), sorted; the
+       two order statistics around each target are read from that array.
+
+    A bracket that misses its target (not expected) is widened and retried.
+    """
+    x = F.col(f"`{col}`").cast("double")
+    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return [None for _ in probs]
+    accuracy = int(min(max(10_000, 4 * n // max(window_rows, 1) + 1), 2_000_000_000))
+    width = n // accuracy + 1
+    ranks = [(float(p) * (n - 1), int(math.floor(float(p) * (n - 1))), int(math.ceil(float(p) * (n - 1))))
+             for p in probs]
+    while True:
+        fr = []
+        for _, lo, hi in ranks:
+            fr += [max(0.0, (lo - width) / n), min(1.0, (hi + width + 1) / n)]
+        row = vals.agg(F.percentile_approx("x", F.array(*[F.lit(f) for f in fr]), accuracy).alias("b"),
+                       F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+        bounds = [row["mn"] if f == 0.0 else (row["mx"] if f == 1.0 else v) for f, v in zip(fr, row["b"])]
+        aggs = []
+        for i in range(len(ranks)):
+            lo_v, hi_v = bounds[2 * i], bounds[2 * i + 1]
+            inside = (F.col("x") >= F.lit(lo_v)) & (F.col("x") <= F.lit(hi_v))
+            aggs += [F.count_if(F.col("x") < F.lit(lo_v)).alias(f"b{i}"),
+                     F.count_if(F.col("x") <= F.lit(hi_v)).alias(f"u{i}"),
+                     F.array_sort(F.collect_list(F.when(inside, F.col("x")))).alias(f"w{i}")]
+        res = vals.agg(*aggs).first()
+        ok = all(res[f"b{i}"] <= lo and res[f"u{i}"] >= hi + 1 for i, (_, lo, hi) in enumerate(ranks))
+        if ok:
+            break
+        width *= 4  # bracket missed: widen and retry (lossless)
+    out: list[float | None] = []
+    for i, (pos, lo, hi) in enumerate(ranks):
+        w, below = res[f"w{i}"], res[f"b{i}"]
+        a, b = w[lo - below], w[hi - below]
+        out.append(a + (pos - lo) * (b - a))
+    return out

@@ -116,8 +116,12 @@ def test_coverage_select_matches_loop(spark, seed):
     df = spark.createDataFrame(list(freq.items()), "value string, count long")
     for t in [0.0, 0.1, 0.5, 0.8, 0.99, 1.0, None]:
         for inc in (True, False):
-            got = {r.value for r in counts.coverage_select(df, t, inclusive=inc).collect()}
-            assert got == _python_cut(freq, t, inc), (t, inc)
+            want = _python_cut(freq, t, inc)
+            for limit in (0, 100_000):  # distributed path and local path
+                got = {r.value for r in counts.coverage_select(df, t, inclusive=inc, local_limit=limit).collect()}
+                assert got == want, (t, inc, limit)
+                rows, _ = counts.coverage_rows(df, t, inclusive=inc, local_limit=limit)
+                assert {r[0] for r in rows} == want, (t, inc, limit)
 
 
 def test_value_shares_and_profile(spark):
@@ -134,3 +138,16 @@ def test_observe_counts_rows(spark):
     df, obs = joins.count_rows(spark.range(7), "step")
     df.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == 7
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    vals = np.concatenate([rnd.normal(size=3000), rnd.integers(0, 5, size=2000).astype(float), [np.nan] * 0])
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = counts.exact_quantiles(df, "v", probs, window_rows=100)
+    want = np.quantile(vals, probs)
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert counts.exact_quantiles(df.filter("v IS NULL"), "v", [0.5]) == [None]
