@@ -246,11 +246,17 @@ class OneHotEncoder(Encoder):
         if threshold is not None:
             self._set(threshold=threshold)
 
+    count_kind = "values"  # FeatureChain may fit it from a stacked (column, value, count) pass
+
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        freq = df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+        freq = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+        return self._from_counts(freq, col)
+
+    def _from_counts(self, freq, col):
+        """Fit from ``(value, count)`` of this column (null row allowed, ignored here)."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
-        rows, _ = coverage_rows(freq, thr, inclusive=False)
+        rows, _ = coverage_rows(freq.filter(F.col("value").isNotNull()), thr, inclusive=False)
         return OneHotModel(column=col, values_json=json.dumps([r[0] for r in rows], default=str),
                            shares=[float(r[2]) for r in rows], others=thr is not None)
 
@@ -305,8 +311,13 @@ class MultiLabelEncoder(Encoder):
         if threshold is not None:
             self._set(threshold=threshold)
 
+    count_kind = "items"  # FeatureChain may fit it from a stacked (column, item, count) pass
+
     def _fit_column(self, df, col):
-        freq = item_counts(df, col)
+        return self._from_counts(item_counts(df, col), col)
+
+    def _from_counts(self, freq, col):
+        """Fit from ``(value, count)`` item counts of this list column."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq, thr, inclusive=True)
         return MultiLabelModel(column=col, values=[r[0] for r in rows], shares=[float(r[2]) for r in rows],
@@ -354,13 +365,21 @@ class FrequencyEncoder(Encoder):
         if column:
             self._set(column=column)
 
+    count_kind = "values"  # FeatureChain may fit it from a stacked (column, value, count) pass
+
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        total = df.count()
-        table = (df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-                 .withColumn("share", F.col("count") / F.lit(float(max(total, 1)))))
+        return self._from_counts(df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")), col,
+                                 df.schema[col].dataType.simpleString())
+
+    def _from_counts(self, freq, col, dtype: str | None = None):
+        """Fit from ``(value, count)`` of this column including the null row."""
+        freq = cut_lineage(freq)
+        total = freq.agg(F.sum("count")).first()[0] or 0
+        value = F.col("value").cast(dtype) if dtype else F.col("value")
         model = FrequencyModel(column=col)
-        model.table = cut_lineage(table.select("value", "share"))
+        model.table = cut_lineage(freq.select(value.alias("value"),
+                                              (F.col("count") / F.lit(float(max(total, 1)))).alias("share")))
         return model
 
 

@@ -80,6 +80,20 @@ def _cut_local(rows: list, threshold: float | None, inclusive: bool, count_idx:
     return kept
 
 
+def stacked_item_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Item counts of several list columns in one pass: ``(column, value, count)``.
+
+    Every list is tagged with its column name and the tagged lists are
+    concatenated, so one ``inline`` and one shuffle serve all list encoders.
+    """
+    def tagger(name: str):
+        # ``transform`` reads a 2-argument lambda as (element, index): bind the name by closure.
+        return lambda x: F.struct(F.lit(name).alias("column"), x.cast("string").alias("value"))
+
+    tagged = F.concat(*[F.transform(F.coalesce(F.col(f"`{c}`"), F.array()), tagger(c)) for c in cols])
+    return df.select(F.inline(tagged)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
                     count: str = "count", total: int | None = None, checkpoint: bool = True,
                     local_limit: int = 100_000) -> DataFrame:

@@ -40,6 +40,7 @@ def build_local(master: str = "local[*]", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "64")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in {**_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)

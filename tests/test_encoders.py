@@ -184,3 +184,20 @@ def test_pca_and_text_pca_persist(spark):
         a = sorted(tuple(round(x, 9) for x in r) for r in out.collect())
         b = sorted(tuple(round(x, 9) for x in r) for r in again.collect())
         assert a == b
+
+
+def test_chain_stacked_passes_equal_single_fits(spark):
+    df = spark.createDataFrame([
+        (1, "a", 2, ["x", "y"], ["p"]), (2, "b", 10, ["x"], None), (3, "a", 2, [], ["q", "p"]),
+        (4, None, None, ["z", None], ["p"]), (5, "c", 10, None, [])],
+        "id int, cat string, num int, l1 array<string>, l2 array<string>")
+    encs = [E.OneHotEncoder(column="cat", threshold=0.7), E.FrequencyEncoder(column="num"),
+            E.OneHotEncoder(column="num"), E.MultiLabelEncoder(column="l1", threshold=0.5),
+            E.MultiLabelEncoder(column="l2")]
+    chained = C.FeatureChain([E.PassThrough(column="id")] + encs).fit(df).transform(df)
+    single = df
+    for e in encs:
+        single = e.fit(df).transform(single)
+    assert sorted(chained.columns) == sorted(single.columns)
+    cols = sorted(chained.columns)
+    assert sorted(map(tuple, chained.select(cols).collect())) == sorted(map(tuple, single.select(cols).collect()))
