@@ -79,6 +79,10 @@ class EncoderModel(Model, HasColumn, DefaultParamsReadable, DefaultParamsWritabl
         """Parameters for the report."""
         return {}
 
+    def report_tables(self) -> dict[str, DataFrame]:
+        """Fitted parameters too large for the report row, as tables (written next to it)."""
+        return {}
+
     def report_json(self) -> str:
         return json.dumps(self.fitted_params(), default=_json_default)
 

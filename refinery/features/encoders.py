@@ -400,8 +400,12 @@ class FrequencyModel(ArtifactPersistence, EncoderModel):
         return j.withColumn(col, F.coalesce(F.col("share"), F.lit(0.0))).drop("__fv", "share")
 
     def fitted_params(self):
-        rows = self.table.orderBy(F.desc("share"), F.asc_nulls_first("value")).limit(1000).collect()
-        return {"frequency_mapping_top": [[r["value"], r["share"]] for r in rows]}
+        # The whole value -> share mapping grows with the data: it is reported as
+        # the ``frequency_mapping`` table (see ``report_tables``), not inlined.
+        return {"frequency_mapping": "table"}
+
+    def report_tables(self):
+        return {"frequency_mapping": self.table}
 
 
 # ---------------------------------------------------------------------------- E7

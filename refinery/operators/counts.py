@@ -203,17 +203,36 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     return wide.select(F.inline(stack))
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, interpolated quartiles, max per numeric column."""
-    rows = []
+def describe(df: DataFrame, cols: Sequence[str], quantiles: str = "distributed") -> DataFrame:
+    """Count, mean, sample std, min, interpolated quartiles, max per numeric column.
+
+    Moments and extremes of every column come from one aggregate.  Quartiles
+    are exact: ``quantiles='distributed'`` (default) brackets them without
+    holding a column in one task (:func:`exact_quantiles`); ``'histogram'``
+    uses Spark's exact ``percentile`` inside the same aggregate (fine for
+    columns with few distinct values); ``'approx'`` uses ``percentile_approx``.
+    """
+    moments = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.5)).alias("p50"),
-            F.percentile(x, F.lit(0.75)).alias("p75"), F.max(x).alias("max")))
-    return df.agg(F.array(*rows).alias("_s")).select(F.inline("_s"))
+        parts = [F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        if quantiles == "histogram":
+            parts.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        elif quantiles == "approx":
+            parts.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        moments.append(F.struct(*parts))
+    stats = df.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
+    if quantiles != "distributed":
+        return stats.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+                            F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    rows = []
+    for r in stats.collect():  # one small row per described column
+        q = exact_quantiles(df, r["column"], [0.25, 0.5, 0.75])
+        rows.append((r["column"], r["count"], r["mean"], r["std"], r["min"], q[0], q[1], q[2], r["max"]))
+    schema = ("column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def distinct_items(df: DataFrame, col: str) -> DataFrame:

@@ -201,3 +201,14 @@ def test_chain_stacked_passes_equal_single_fits(spark):
     assert sorted(chained.columns) == sorted(single.columns)
     cols = sorted(chained.columns)
     assert sorted(map(tuple, chained.select(cols).collect())) == sorted(map(tuple, single.select(cols).collect()))
+
+
+def test_save_report_writes_tables(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("b", None)], "c string, f boolean")
+    model = C.FeatureChain([E.FrequencyEncoder(column="c"), E.BooleanEncoder(column="f")]).fit(df)
+    path = os.path.join(tempfile.mkdtemp(prefix="refinery-report-"), "r")
+    C.save_report(spark, model, path)
+    stages = spark.read.json(f"{path}/stages").orderBy("processor").collect()
+    assert [s.processor_class for s in stages] == ["FrequencyModel", "BooleanModel"]
+    mapping = {r.value: r.share for r in spark.read.json(f"{path}/tables/1_c_frequency_mapping").collect()}
+    assert mapping == {"a": 2 / 3, "b": 1 / 3}
