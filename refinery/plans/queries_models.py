@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from refinery.features import chain as C
 from refinery.features import encoders as E
-from refinery.features.reduce import EmbeddingPCA
+from refinery.features.reduce import EmbeddingPCA, TextPCA
 from refinery.functions.numeric import literal_map_lookup
 from refinery.functions.text import parse_list_literal
 from refinery.operators.sample import seeded_sample
@@ -201,3 +201,19 @@ def q_onehot_list_items_all(spark, sf):
     """E5 without threshold on whole-item lists (no others column)."""
     lists = combo_lists(spark, sf)
     return E.MultiLabelEncoder(column="items").fit(lists).transform(lists)
+
+
+@register("text_pca")
+def q_text_pca(spark, sf):
+    """E9 on text: whole documents -> TF-IDF -> mean-centred PCA keeping 85% of the variance."""
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    out = TextPCA(column="text", threshold=0.85, num_features=256).fit(docs).transform(docs)
+    pcs = [c for c in out.columns if c.startswith("text_PC")]
+    return out.select("doc_id", *[_r6(F.col(c)).alias(c) for c in pcs])
+
+
+@register("topic_sizes")
+def q_topic_sizes(spark, sf):
+    """Documents per topic label, raw and normalised."""
+    cv, feats, sweep, model = _fit_topics(spark, sf)
+    return TP.topic_sizes(TP.assign_topics(model, feats, "doc_id", min_share=0.3))
