@@ -23,6 +23,17 @@ from refinery.operators.tables import replace_with_derived
 from refinery.session import cut_lineage
 
 
+# Largest number of output columns / map literals an encoder builds from data.
+# Above it the fit fails with a message instead of silently truncating.
+MAX_VOCABULARY = 100_000
+
+
+def _check_width(rows: list, col: str, who: str) -> None:
+    if len(rows) > MAX_VOCABULARY:
+        raise FitError(f"{who}: {len(rows)} selected values in '{col}' exceed {MAX_VOCABULARY} output columns; "
+                       "set a coverage threshold or use FrequencyEncoder")
+
+
 def _json_param(name: str, doc: str) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=TypeConverters.toString)
 
@@ -89,8 +100,14 @@ class OrdinalEncoder(Encoder):
         if given:
             pairs = json.loads(given)
         else:
-            # Distinct values of an ordinal column are few by nature; they become literals.
-            values = [r[0] for r in df.select(c).filter(c.isNotNull()).distinct().orderBy(c).collect()]
+            # Distinct values of an ordinal column are few by nature; they become
+            # map literals, so their number is checked before they are fetched.
+            limit = MAX_VOCABULARY
+            values = [r[0] for r in df.select(c).filter(c.isNotNull()).distinct().orderBy(c).limit(limit + 1)
+                      .collect()]
+            if len(values) > limit:
+                raise FitError(f"OrdinalEncoder: more than {limit} distinct values in '{col}'; "
+                               "use FrequencyEncoder or give a mapping")
             pairs = [[v, i] for i, v in enumerate(values)]
         return OrdinalModel(column=col, mapping_json=json.dumps(pairs), mode_json=json.dumps(mode),
                             handle_invalid=self.getOrDefault(self.handle_invalid))
@@ -257,6 +274,7 @@ class OneHotEncoder(Encoder):
         """Fit from ``(value, count)`` of this column (null row allowed, ignored here)."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq.filter(F.col("value").isNotNull()), thr, inclusive=False)
+        _check_width(rows, col, "OneHotEncoder")
         return OneHotModel(column=col, values_json=json.dumps([r[0] for r in rows], default=str),
                            shares=[float(r[2]) for r in rows], others=thr is not None)
 
@@ -320,6 +338,7 @@ class MultiLabelEncoder(Encoder):
         """Fit from ``(value, count)`` item counts of this list column."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq, thr, inclusive=True)
+        _check_width(rows, col, "MultiLabelEncoder")
         return MultiLabelModel(column=col, values=[r[0] for r in rows], shares=[float(r[2]) for r in rows],
                                cumulative=[float(r[3]) for r in rows], others=bool(thr))
 

@@ -151,7 +151,8 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
 
 
 def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, total: int | None = None,
-                  value: str = "value", count: str = "count", local_limit: int = 100_000) -> tuple[list, int]:
+                  value: str = "value", count: str = "count", local_limit: int = 100_000,
+                  max_rows: int = 100_000) -> tuple[list, int]:
     """The kept ``(value, count, ratio, cumulative_ratio)`` rows in frequency order, and the total.
 
     For encoders, whose output columns are the kept values: the selection is
@@ -165,7 +166,8 @@ def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, tot
         f = cut_lineage(freq.select(value, count))
         tot = total if total is not None else (f.agg(F.sum(count)).first()[0] or 0)
         sel = coverage_select(f, threshold, inclusive, value, count, tot, checkpoint=False, local_limit=0)
-        kept = sorted(sel.collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
+        # The kept values become output columns: fetch at most max_rows + 1 of them.
+        kept = sorted(sel.limit(max_rows + 1).collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
     out, run = [], 0
     for v, c in kept:
         run += c

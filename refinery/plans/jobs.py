@@ -77,11 +77,13 @@ def integrate(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None) -> Da
     sources = dict(t)
     sources["skills"] = skills
 
+    # Join order: every join keyed by the job id first, so the wide fact is
+    # hash-partitioned on it once and the later job-keyed joins reuse that
+    # partitioning; the company join (another key) comes last.  The output
+    # column order is restored at the end.
     # Job x work history (inner), history columns prefixed, its key dropped.
     fact = joins.join_prefixed(jobs, hist, cfg.jobs_key, cfg.history_key, cfg.history_prefix)
-    # Companies on the string-cast company reference.
     c = tables.prefix_columns(comp, cfg.company_prefix)
-    fact = joins.join_on_string_key(fact, c, cfg.company_ref, cfg.company_prefix + cfg.company_key)
     # One-row-per-job lookups (fan-out is an error).
     seg = tables.prefix_columns(tables.strict_select(t["segmentation"], cfg.segmentation_cols),
                                 cfg.segmentation_prefix)
@@ -94,6 +96,13 @@ def integrate(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None) -> Da
         src = sources[ls.table]
         g = grouping.ordered_list(src, ls.key, ls.value, ls.order_by or [ls.value], alias=ls.alias)
         fact = joins.join_grouped(fact, g.withColumnRenamed(ls.key, "__lk"), cfg.jobs_key, "__lk", [ls.alias])
+    # Companies on the string-cast company reference.
+    before = fact.columns
+    fact = joins.join_on_string_key(fact, c, cfg.company_ref, cfg.company_prefix + cfg.company_key)
+    hist_cols = [x for x in before if x.startswith(cfg.history_prefix)]
+    head = [x for x in before if x in jobs.columns or x in hist_cols]
+    tail = [x for x in before if x not in head]
+    fact = fact.select(*[F.col(f"`{x}`") for x in head + c.columns + tail])
     return tables.strict_drop(fact, cfg.drop_columns) if cfg.drop_columns else fact
 
 
