@@ -242,9 +242,6 @@ def distinct_items(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(F.col(f"`{col}`")).alias("value")).distinct()
 
 
-def ceil_div(a: float, b: float) -> int:
-    return int(math.ceil(a / b))
-
 
 def bin2d(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
     """Two-column extract binned on a grid -- ``(x_bin, y_bin, count)``; the data of a scatter plot."""

@@ -25,7 +25,6 @@ distance), and the exact score.  Tested equal to brute force in
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -269,6 +268,3 @@ def accepted_union(accepted: DataFrame, resolved: DataFrame, cols: Sequence[str]
     """Mapping rows from the fuzzy pass and from the fallback in one table."""
     return accepted.select(*cols).unionByName(resolved.select(*cols))
 
-
-def ceil(x: float) -> int:
-    return int(math.ceil(x))
