@@ -392,13 +392,17 @@ class FrequencyEncoder(Encoder):
                                  df.schema[col].dataType.simpleString())
 
     def _from_counts(self, freq, col, dtype: str | None = None):
-        """Fit from ``(value, count)`` of this column including the null row."""
-        freq = cut_lineage(freq)
-        total = freq.agg(F.sum("count")).first()[0] or 0
+        """Fit from ``(value, count)`` of this column including the null row.
+
+        The share of a value is its count over the column total, computed as
+        a window-free ratio against one scalar; the resulting table is the
+        model artifact and is checkpointed once.
+        """
         value = F.col("value").cast(dtype) if dtype else F.col("value")
+        counted = cut_lineage(freq.select(value.alias("value"), "count"))
+        total = counted.agg(F.sum("count")).first()[0] or 0
         model = FrequencyModel(column=col)
-        model.table = cut_lineage(freq.select(value.alias("value"),
-                                              (F.col("count") / F.lit(float(max(total, 1)))).alias("share")))
+        model.table = counted.select("value", (F.col("count") / F.lit(float(max(total, 1)))).alias("share"))
         return model
 
 

@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def seeded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42, hash: str = "xxhash64"
+                  ) -> DataFrame:
     """A deterministic sample of ``n`` rows: the ``n`` smallest seeded hashes of the key.
 
     Same input and seed give the same rows on every run and every cluster
     size; planned as a per-partition top-n then one merge (no full sort).
-    Fewer than ``n`` rows simply returns them all.
+    Fewer than ``n`` rows simply returns them all.  ``hash='md5'`` hashes the
+    text ``key|...|seed``, which other engines can reproduce exactly.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
+    if hash == "md5":
+        h = F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys], F.lit(str(seed))))
+    else:
+        h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
     return df.orderBy(h, *[F.col(f"`{k}`") for k in keys]).limit(n)
 
 

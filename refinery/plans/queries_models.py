@@ -48,11 +48,58 @@ def chain_input(spark, sf):
                     "c_name")
 
 
-@register("encode_chain")
+_FIN = "({x} IS NOT NULL AND NOT isnan({x}) AND NOT isinf({x}))"
+
+CHAIN_SQL = f"""
+WITH x AS (
+  SELECT o_orderkey, c_mktsegment, o_orderpriority, o_orderstatus, o_totalprice, c_acctbal,
+         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'O' END AS is_open,
+         CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE n_name END AS n_name
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+seg AS (SELECT c_mktsegment AS value, count(*) AS n FROM x WHERE c_mktsegment IS NOT NULL GROUP BY 1),
+segw AS (SELECT value, sum(n) OVER (ORDER BY n DESC, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+                sum(n) OVER () AS total FROM seg),
+sel AS (SELECT value FROM segw WHERE cum < 0.6 * total),
+pri AS (SELECT p, CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS code
+        FROM (SELECT DISTINCT o_orderpriority AS p FROM x WHERE o_orderpriority IS NOT NULL)),
+pm AS (SELECT o_orderpriority AS p FROM x WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1
+       LIMIT 1),
+fr AS (SELECT o_orderstatus AS v, count(*) / (SELECT count(*) FROM x) AS share FROM x GROUP BY 1),
+st AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM x WHERE {_FIN.format(x="o_totalprice")}),
+rb AS (SELECT quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM x
+       WHERE {_FIN.format(x="c_acctbal")}),
+bm AS (SELECT coalesce(avg(CAST(is_open AS INTEGER)) >= 0.5, false) AS maj FROM x),
+nm AS (SELECT n_name FROM x WHERE n_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT x.o_orderkey,
+  CAST(coalesce(c_mktsegment = 'MACHINERY' AND 'MACHINERY' IN (SELECT value FROM sel), false) AS INTEGER)
+    AS c_mktsegment_machinery,
+  CAST(coalesce(c_mktsegment = 'HOUSEHOLD' AND 'HOUSEHOLD' IN (SELECT value FROM sel), false) AS INTEGER)
+    AS c_mktsegment_household,
+  CAST(c_mktsegment IS NULL OR c_mktsegment NOT IN (SELECT value FROM sel) AS INTEGER) AS c_mktsegment_others,
+  pri.code AS o_orderpriority,
+  round(coalesce(fr.share, 0.0), 6) AS o_orderstatus,
+  round(CASE WHEN {_FIN.format(x="o_totalprice")} THEN (o_totalprice - (SELECT m FROM st)) /
+        (SELECT CASE WHEN sd = 0 OR sd IS NULL THEN 1.0 ELSE sd END FROM st) ELSE 0.0 END, 6) AS o_totalprice,
+  round(CASE WHEN {_FIN.format(x="c_acctbal")} THEN c_acctbal /
+        (SELECT CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END FROM rb) ELSE 0.0 END, 6) AS c_acctbal,
+  CAST(coalesce(is_open, (SELECT maj FROM bm)) AS INTEGER) AS is_open,
+  coalesce(x.n_name, (SELECT n_name FROM nm)) AS n_name
+FROM x JOIN pri ON coalesce(x.o_orderpriority, (SELECT p FROM pm)) = pri.p
+LEFT JOIN fr ON x.o_orderstatus IS NOT DISTINCT FROM fr.v
+"""
+
+
+def _rounded(df):
+    """Doubles rounded to 6 places so the oracle comparison is exact."""
+    return df.select(*[_r6(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+@register("encode_chain", CHAIN_SQL)
 def q_encode_chain(spark, sf):
     """E10 + E13: fit a declarative chain of encoders (shared scalar pass) and transform."""
     model, out = C.from_spec(CHAIN_SPEC).fit_transform(chain_input(spark, sf))
-    return out
+    return _rounded(out)
 
 
 @register("encoder_report")
@@ -62,14 +109,14 @@ def q_encoder_report(spark, sf):
     return C.report(spark, model)
 
 
-@register("encoder_reload")
+@register("encoder_reload", CHAIN_SQL)
 def q_encoder_reload(spark, sf):
     """S15 + E11: save the fitted chain to the shared checkpoint folder, load it, apply it."""
     df = chain_input(spark, sf)
     model = C.from_spec(CHAIN_SPEC).fit(df)
     path = os.path.join(checkpoint_dir(spark), "models", f"chain-{uuid.uuid4().hex}")
     C.save_model(model, path)
-    return C.load_model(path).transform(df)
+    return _rounded(C.load_model(path).transform(df).drop("c_name"))
 
 
 @register("pca_embeddings")
@@ -136,10 +183,14 @@ def q_file_manifest(spark, sf):
     return file_manifest(spark, sf, extensions=[".PARQUET"]).select("name", "length")
 
 
-@register("sample_seeded")
+@register("sample_seeded", """
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|' || '42'), o_orderkey LIMIT 10
+""")
 def q_sample_seeded(spark, sf):
-    """Deterministic sample of 10 orders (the limit is the feature)."""
-    return seeded_sample(_t(spark, sf, "orders"), 10, "o_orderkey", seed=42)
+    """Deterministic sample of 10 orders (the limit is the feature), portable md5 seeding."""
+    s = seeded_sample(_t(spark, sf, "orders"), 10, "o_orderkey", seed=42, hash="md5")
+    return s.withColumn("o_totalprice", _r6(F.col("o_totalprice")))
 
 
 @register("priority_rank", """

@@ -96,9 +96,19 @@ def broadcast_row_limit(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives lost executors).
+
+    The input is persisted for the duration of the checkpoint so the write
+    reuses the computed partitions instead of computing the plan a second time.
+    """
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
 
 
 def compute_partitions(spark: SparkSession, factor: int = 2) -> int:
