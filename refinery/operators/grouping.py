@@ -23,6 +23,8 @@ def ordered_list(df: DataFrame, key: str, value: str, order_by: Sequence[str], a
     per key.
     """
     alias = alias or f"{value}_list"
+    if list(order_by) == [value]:
+        return _ordered_by_value(df, key, value, alias, split)
     order_fields = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order_by)]
     item = F.struct(*order_fields, F.col(f"`{value}`").alias("_v"))
     base = df.filter(F.col(f"`{key}`").isNotNull())
@@ -39,6 +41,26 @@ def ordered_list(df: DataFrame, key: str, value: str, order_by: Sequence[str], a
     return merged.select(k, F.transform("_items", lambda x: x["_v"]).alias(alias))
 
 
+def _ordered_by_value(df: DataFrame, key: str, value: str, alias: str, split: int) -> DataFrame:
+    """D1 when the list is ordered by the value itself: plain values are collected
+    and sorted (no struct per item), nulls are counted and put first -- the
+    same order the general path gives (a null sort key sorts first)."""
+    k, v = F.col(f"`{key}`"), F.col(f"`{value}`")
+    vtype = df.schema[value].dataType
+    base = df.filter(k.isNotNull()).select(k, v.alias("_v"))
+    if split and split > 1:
+        salted = base.withColumn("_salt", F.floor(F.rand(17) * split).cast("int"))
+        chunks = salted.groupBy(k, "_salt").agg(F.array_sort(F.collect_list("_v")).alias("_chunk"),
+                                                F.count_if(F.col("_v").isNull()).alias("_nulls"))
+        merged = chunks.groupBy(k).agg(F.array_sort(F.flatten(F.collect_list("_chunk"))).alias("_vals"),
+                                       F.sum("_nulls").alias("_nulls"))
+    else:
+        merged = base.groupBy(k).agg(F.array_sort(F.collect_list("_v")).alias("_vals"),
+                                     F.count_if(F.col("_v").isNull()).alias("_nulls"))
+    nulls = F.array_repeat(F.lit(None).cast(vtype), F.col("_nulls").cast("int"))
+    return merged.select(k, F.concat(nulls, F.col("_vals")).alias(alias))
+
+
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """D3: distinct combinations of ``cols`` (partial aggregation map-side)."""
     return df.select(*[F.col(f"`{c}`") for c in cols]).distinct()

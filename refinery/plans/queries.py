@@ -62,7 +62,8 @@ FROM orders LEFT JOIN f ON o_orderkey = l_orderkey
 """)
 def q_flagship(spark, sf):
     """Minimum slice: integrate, aggregate lists, multi-label one-hot (E5, all items)."""
-    df = return_flag_lists(spark, sf)
+    # Fitted and transformed on the same aggregated lists: build them once.
+    df = cut_lineage(return_flag_lists(spark, sf))
     return E.MultiLabelEncoder(column="return_flags").fit(df).transform(df)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refinery.features import encoders as E
 from refinery.plans.queries import _r6, _t, combo_lists, register
+from refinery.session import cut_lineage
 
 _NUM_SQL = """(SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'Infinity'::DOUBLE
                               WHEN p_partkey % 10 = 1 THEN NULL
@@ -130,7 +131,7 @@ FROM l
 """)
 def q_multilabel_onehot(spark, sf):
     """E5 with an inclusive 50% coverage cut and the 'others' indicator."""
-    lists = combo_lists(spark, sf)
+    lists = cut_lineage(combo_lists(spark, sf))  # fitted and transformed: build once
     return E.MultiLabelEncoder(column="items", threshold=0.5).fit(lists).transform(lists)
 
 

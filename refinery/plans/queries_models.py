@@ -20,7 +20,7 @@ from refinery.operators.sample import seeded_sample
 from refinery.plans.profile import profile_long
 from refinery.plans import topics as TP
 from refinery.plans.queries import TABLE_NAMES, _r6, _t, combo_lists, register
-from refinery.session import checkpoint_dir, spread
+from refinery.session import checkpoint_dir, cut_lineage, spread
 from refinery.sources.files import file_manifest, probe_schemas
 
 CHAIN_SPEC = [
@@ -250,7 +250,7 @@ FROM l
 """)
 def q_onehot_list_items_all(spark, sf):
     """E5 without threshold on whole-item lists (no others column)."""
-    lists = combo_lists(spark, sf)
+    lists = cut_lineage(combo_lists(spark, sf))  # fitted and transformed: build once
     return E.MultiLabelEncoder(column="items").fit(lists).transform(lists)
 
 

@@ -151,3 +151,15 @@ def test_exact_quantiles_match_numpy(spark):
     want = np.quantile(vals, probs)
     assert np.allclose(got, want, rtol=0, atol=1e-12)
     assert counts.exact_quantiles(df.filter("v IS NULL"), "v", [0.5]) == [None]
+
+
+def test_ordered_by_value_fast_path_equals_general(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 0, 0, 1, 2, None]), rnd.choice(["b", "a", None, "c", "a"])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    df2 = df.withColumn("o", F.col("v"))
+    for split in (1, 8):
+        fast = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=split).collect()}
+        general = {r.k: r.l for r in grouping.ordered_list(df2, "k", "v", ["o"], alias="l", split=split).collect()}
+        assert fast == general
+        assert all(lst[:lst.count(None)] == [None] * lst.count(None) for lst in fast.values())
