@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from refinery import functions as RF
 from refinery.features.chain import from_spec
 from refinery.operators import grouping, joins, resolve, tables
+from refinery.session import cut_lineage
 from refinery.sources.files import load_keyed_table
 
 
@@ -170,7 +171,10 @@ def clean_enrich(df: DataFrame, countries: DataFrame, city_alias_dim: DataFrame,
     # Country: overrides, precedence lookup on distinct values, drop unresolved.
     df = tables.require_not_null(df, cfg.country)
     df = tables.replace_values(df, cfg.country, cfg.country_overrides)
-    iso = resolve.precedence_lookup(df, cfg.country, countries, "name", "iso2", "iso3", out_col="__iso3")
+    # Resolved once per distinct value; materialised because it is counted
+    # (broadcast check) and joined.
+    iso = cut_lineage(resolve.precedence_lookup(df, cfg.country, countries, "name", "iso2", "iso3",
+                                                out_col="__iso3"))
     df = df.join(joins.checked_broadcast(iso), cfg.country, "left")
     df = df.withColumn(cfg.country, F.col("__iso3")).drop("__iso3")
     df = tables.require_not_null(df, cfg.country)
@@ -189,7 +193,8 @@ def clean_enrich(df: DataFrame, countries: DataFrame, city_alias_dim: DataFrame,
                                         answer_col="new_name", out_col="match")
     else:
         rest = rest.withColumn("match", F.lit(None).cast("string"))
-    mapping = resolve.accepted_union(acc, rest, [cfg.city, cfg.country, "match"])
+    # The mapping is joined back and also returned (the reference saves it).
+    mapping = cut_lineage(resolve.accepted_union(acc, rest, [cfg.city, cfg.country, "match"]))
     city_map = mapping.select(F.col(cfg.city).alias("old_name"), F.col(cfg.country).alias("country"),
                               F.col("match").alias("new_name"))
     df = df.join(mapping.withColumnRenamed("match", "__city"), [cfg.city, cfg.country], "left")
