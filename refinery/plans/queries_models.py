@@ -171,7 +171,15 @@ def q_topic_sweep(spark, sf):
     return sweep
 
 
-@register("schema_probe")
+@register("schema_probe", f"""
+SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column",
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                 WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
+                 ELSE lower(data_type) END AS type,
+  CAST(NULL AS VARCHAR) AS error
+FROM information_schema.columns
+WHERE table_name IN ({", ".join(repr(t) for t in TABLE_NAMES)})
+""")
 def q_schema_probe(spark, sf):
     """S3: columns and types of every table file, read from the file footers."""
     return probe_schemas(spark, [(t, os.path.join(sf, f"{t}.parquet")) for t in TABLE_NAMES])
