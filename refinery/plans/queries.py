@@ -92,10 +92,10 @@ def q_row_dedup(spark, sf):
 @register("null_marker_clean", r"""
 SELECT doc_id,
   CASE WHEN regexp_matches(raw, '\\+N') THEN NULL ELSE raw END AS source_clean
-FROM (SELECT doc_id, CASE pmod_k WHEN 0 THEN '\N' WHEN 1 THEN 'x\\\N y' WHEN 2 THEN 'N' || source
-                              ELSE source END AS raw
-      FROM (SELECT doc_id, source, doc_id % 4 AS pmod_k FROM documents))
-""".replace("pmod_k WHEN", "pmod_k WHEN"))
+FROM (SELECT doc_id, CASE k WHEN 0 THEN '\N' WHEN 1 THEN 'x\\\N y' WHEN 2 THEN 'N' || source
+                         ELSE source END AS raw
+      FROM (SELECT doc_id, source, doc_id % 4 AS k FROM documents))
+""")
 def q_null_marker_clean(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "source")
     raw = (F.when(F.col("doc_id") % 4 == 0, F.lit("\\N")).when(F.col("doc_id") % 4 == 1, F.lit("x\\\\\\N y"))
@@ -401,10 +401,8 @@ FROM x
 def q_indel_similarity(spark, sf):
     """F5 on each part name against a one-letter substitution of itself."""
     p = _t(spark, sf, "part")
-    pos = (F.col("p_partkey") % F.length("p_name")).cast("int")
     b = F.lower(F.concat(F.expr("substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT))"), F.lit("x"),
                          F.expr("substr(p_name, CAST(p_partkey % length(p_name) AS INT) + 2)")))
-    del pos
     x = p.select("p_partkey", F.lower("p_name").alias("a"), b.alias("b"))
     return x.select("p_partkey", "a", "b", _r6(RF.indel_ratio("a", "b")).alias("score"))
 
