@@ -114,8 +114,9 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, block_col: str, rank: D
               threshold: float) -> DataFrame:
     toks = df.select(id_col, block_col, F.length(text_col).alias("_len"),
                      F.explode(_tokens(F.col(text_col))).alias("_tok"))
-    ranked = toks.join(rank, "_tok", "left").withColumn("_r", F.coalesce("_r", F.lit(0)))
-    w = Window.partitionBy(id_col).orderBy("_r", "_tok")
+    # Global token order = (document frequency, token); unseen tokens first (df 0).
+    ranked = toks.join(rank, "_tok", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    w = Window.partitionBy(id_col).orderBy("_df", "_tok")
     return (ranked.withColumn("_pos", F.row_number().over(w))
             .filter(F.col("_pos") <= _prefix_len(F.col("_len"), threshold))
             .select(id_col, block_col, "_len", "_tok"))
@@ -146,11 +147,12 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
         # Both distinct-name tables are read three times below; compute each once.
         q, d = cut_lineage(q), cut_lineage(d)
 
-    # Global token order: rare first (document frequency over the dimension).
+    # Global token order: rare first (document frequency over the dimension),
+    # ties by token.  No ranking window: each string orders its own tokens by
+    # (df, token), which is the same total order everywhere.
     rank = (d.select(F.explode(F.array_distinct(_tokens(F.col("_a")))).alias("_tok"))
-            .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-            .withColumn("_r", F.row_number().over(Window.orderBy("_df", "_tok"))))
-    rank = checked_broadcast(rank.select("_tok", "_r"))
+            .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")))
+    rank = checked_broadcast(cut_lineage(rank))
 
     qp = _prefixes(q, "_qid", "_q", "_blk", rank, threshold)
     dp = _prefixes(d, "_did", "_a", "_blk", rank, threshold).withColumnRenamed("_len", "_dlen")
@@ -174,26 +176,6 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
             .select(F.col("_raw").alias(name_col), F.col("_blk").alias(block_col), "match", "score"))
 
 
-def fuzzy_best_match_bruteforce(queries: DataFrame, name_col: str, block_col: str, dim: DataFrame,
-                                alias_col: str = "alias", dim_block_col: str = "block",
-                                canonical_col: str = "canonical", priority_col: str | None = "population",
-                                threshold: float = 0.80, normalize: bool = True) -> DataFrame:
-    """Reference implementation for tests: every pair within a block is scored."""
-    q = (queries.select(F.col(name_col).alias("_raw"), F.col(block_col).alias("_blk"))
-         .filter(F.col("_raw").isNotNull()).distinct()
-         .withColumn("_q", normalize_name(F.col("_raw")) if normalize else F.col("_raw")))
-    prio = F.col(priority_col) if priority_col else F.lit(0)
-    d = dim.select(F.col(alias_col).alias("_a"), F.col(dim_block_col).alias("_blk"),
-                   F.col(canonical_col).alias("_canon"), prio.cast("double").alias("_prio"))
-    pairs = (q.join(d, "_blk").withColumn("_score", indel_ratio("_q", "_a"))
-             .filter(F.col("_score") > F.lit(threshold)))
-    w = Window.partitionBy("_raw", "_blk").orderBy(F.desc("_score"), F.desc("_prio"), F.asc("_canon"))
-    top = pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    return (q.join(top.select("_raw", "_blk", F.col("_canon").alias("match"), F.col("_score").alias("score")),
-                   ["_raw", "_blk"], "left")
-            .select(F.col("_raw").alias(name_col), F.col("_blk").alias(block_col), "match", "score"))
-
-
 # ---------------------------------------------------------------------- J11-J13
 def confidence_split(matches: DataFrame, accept: float = 0.88, score_col: str = "score",
                      materialize: bool = True) -> tuple[DataFrame, DataFrame]:
