@@ -28,6 +28,17 @@ from refinery.session import cut_lineage
 MAX_VOCABULARY = 100_000
 
 
+def top_value(freq: DataFrame):
+    """Most frequent non-null value of a ``(value, count)`` table, ties -> smallest.
+
+    A per-partition top-1 merged once (``orderBy().limit(1)``), never a
+    single-task map of every distinct value.
+    """
+    row = (freq.filter(F.col("value").isNotNull()).orderBy(F.desc("count"), F.asc("value")).limit(1)
+           .collect())
+    return row[0]["value"] if row else None
+
+
 def _check_width(rows: list, col: str, who: str) -> None:
     if len(rows) > MAX_VOCABULARY:
         raise FitError(f"{who}: {len(rows)} selected values in '{col}' exceed {MAX_VOCABULARY} output columns; "
@@ -93,9 +104,17 @@ class OrdinalEncoder(Encoder):
             self._set(mapping_json=json.dumps([[k, v] for k, v in mapping.items()]))
         self._set(handle_invalid=handle_invalid)
 
+    count_kind = "values"  # FeatureChain may fit it from a stacked (column, value, count) pass
+
     def _fit_column(self, df, col):
         c = F.col(q(col))
-        mode = df.agg(F.mode(c, deterministic=True).alias("m")).first()["m"]
+        freq = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+        return self._from_counts(freq, col, df.schema[col].dataType.simpleString())
+
+    def _from_counts(self, freq, col, dtype: str | None = None):
+        """Mode and (auto) mapping from ``(value, count)`` of this column."""
+        typed = freq.select((F.col("value").cast(dtype) if dtype else F.col("value")).alias("value"), "count")
+        mode = top_value(typed)
         given = self.getOrDefault(self.mapping_json)
         if given:
             pairs = json.loads(given)
@@ -103,13 +122,14 @@ class OrdinalEncoder(Encoder):
             # Distinct values of an ordinal column are few by nature; they become
             # map literals, so their number is checked before they are fetched.
             limit = MAX_VOCABULARY
-            values = [r[0] for r in df.select(c).filter(c.isNotNull()).distinct().orderBy(c).limit(limit + 1)
-                      .collect()]
+            values = [r[0] for r in typed.filter(F.col("value").isNotNull()).select("value").orderBy("value")
+                      .limit(limit + 1).collect()]
             if len(values) > limit:
                 raise FitError(f"OrdinalEncoder: more than {limit} distinct values in '{col}'; "
                                "use FrequencyEncoder or give a mapping")
             pairs = [[v, i] for i, v in enumerate(values)]
-        return OrdinalModel(column=col, mapping_json=json.dumps(pairs), mode_json=json.dumps(mode),
+        return OrdinalModel(column=col, mapping_json=json.dumps(pairs, default=str),
+                            mode_json=json.dumps(mode, default=str),
                             handle_invalid=self.getOrDefault(self.handle_invalid))
 
 
@@ -270,7 +290,7 @@ class OneHotEncoder(Encoder):
         freq = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
         return self._from_counts(freq, col)
 
-    def _from_counts(self, freq, col):
+    def _from_counts(self, freq, col, dtype: str | None = None):
         """Fit from ``(value, count)`` of this column (null row allowed, ignored here)."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq.filter(F.col("value").isNotNull()), thr, inclusive=False)
@@ -433,21 +453,28 @@ class FrequencyModel(ArtifactPersistence, EncoderModel):
 
 # ---------------------------------------------------------------------------- E7
 class ModeImputer(Encoder):
-    """Fill nulls with the most frequent value (ties -> smallest); all-null stays null."""
+    """Fill nulls with the most frequent value (ties -> smallest); all-null stays null.
+
+    The mode is a distributed ``groupBy`` count followed by a top-1, so no
+    single task holds the column's distinct values (as Spark's ``mode``
+    aggregate would in its final merge).
+    """
+
+    count_kind = "values"  # FeatureChain may fit it from a stacked (column, value, count) pass
 
     def __init__(self, column: str | None = None):
         super().__init__()
         if column:
             self._set(column=column)
 
-    def _scalar_aggs(self, col):
-        return [F.mode(F.col(q(col)), deterministic=True).alias(f"{col}__mode")]
-
-    def _from_scalars(self, row, col):
-        return ModeModel(column=col, mode_json=json.dumps(row[f"{col}__mode"], default=str))
-
     def _fit_column(self, df, col):
-        return self._from_scalars(df.agg(*self._scalar_aggs(col)).first().asDict(), col)
+        c = F.col(q(col))
+        freq = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+        return self._from_counts(freq, col, df.schema[col].dataType.simpleString())
+
+    def _from_counts(self, freq, col, dtype: str | None = None):
+        typed = freq.select((F.col("value").cast(dtype) if dtype else F.col("value")).alias("value"), "count")
+        return ModeModel(column=col, mode_json=json.dumps(top_value(typed), default=str))
 
 
 class ModeModel(EncoderModel):

@@ -31,10 +31,13 @@ def profile(df: DataFrame, categorical: Sequence[str] = (), numeric: Sequence[st
         out[f"{c}:shares_with_null"] = counts.value_shares(df, c, dropna=False)
         out[f"{c}:top_{top_k}"] = counts.top_k_share(df, c, top_k)
     if categorical:
-        out["modes"] = df.agg(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                 F.mode(F.col(f"`{c}`"), deterministic=True).cast("string")
-                                                 .alias("mode")) for c in categorical]).alias("_m")
-                              ).select(F.inline("_m"))
+        # Mode per column from its distributed frequency table (top-1, ties -> smallest).
+        modes = []
+        for c in categorical:
+            top = (df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v"))
+                   .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
+            modes.append((c, None if not top else str(top[0]["v"])))
+        out["modes"] = df.sparkSession.createDataFrame(modes, "column string, mode string")
     for c in lists:
         items = counts.item_counts(df, c)
         out[f"{c}:item_counts"] = items
