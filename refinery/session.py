@@ -81,9 +81,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="refinery-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
