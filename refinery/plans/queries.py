@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from refinery import functions as RF
 from refinery.features import encoders as E
 from refinery.operators import counts, dedup, grouping, joins, resolve, tables
-from refinery.session import cut_lineage, read_table
+from refinery.session import cut_lineage, read_table, spread
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -400,7 +400,7 @@ FROM x
 """)
 def q_indel_similarity(spark, sf):
     """F5 on each part name against a one-letter substitution of itself."""
-    p = _t(spark, sf, "part")
+    p = spread(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")  # per-row DP: use every core
     b = F.lower(F.concat(F.expr("substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT))"), F.lit("x"),
                          F.expr("substr(p_name, CAST(p_partkey % length(p_name) AS INT) + 2)")))
     x = p.select("p_partkey", F.lower("p_name").alias("a"), b.alias("b"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from refinery.functions.text import normalize_name
 from refinery.operators import joins, resolve
 from refinery.plans.queries import _TITLE_SQL, _r6, _t, register
+from refinery.session import spread
 
 _PERTURB_SQL = """CASE p_partkey % 3
      WHEN 0 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INTEGER)) ||
@@ -156,6 +157,7 @@ SELECT token FROM (SELECT {_WORDS_SQL} AS token FROM documents
 def q_vocab_union(spark, sf):
     """Distinct word vocabulary across two text tables (whole texts)."""
     def words(df):
-        return df.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token"))
+        # Whole texts are split on every core, then tokens are de-duplicated by shuffle.
+        return spread(df.select("text")).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token"))
     u = words(_t(spark, sf, "documents")).union(words(_t(spark, sf, "benchmark"))).distinct()
     return u.filter(F.length("token") > 0)

@@ -11,7 +11,7 @@ from refinery.plans.queries import TABLE_NAMES
 SF = "/root/testdata/sf0.001"
 # Encoders with a coverage threshold emit one column per selected value; the
 # oracle names those columns for the sf0.01 data the driver checks.
-DATA_DEPENDENT_COLUMNS = {"multilabel_onehot", "onehot_threshold"}
+DATA_DEPENDENT_COLUMNS = {"multilabel_onehot", "onehot_threshold", "encode_chain", "encoder_reload"}
 SF_MID = "/root/testdata/sf0.01"
 
 
