@@ -51,7 +51,8 @@ def test_ordered_list_keeps_nulls_duplicates_and_order(spark):
     rows = [(1, 3, "c"), (1, 1, "a"), (1, 2, None), (1, 4, "a"), (2, 1, "z"), (None, 1, "n")]
     df = spark.createDataFrame(rows, "k int, o int, v string")
     for split in (1, 4):
-        got = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", ["o"], alias="vals", split=split).collect()}
+        got = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", ["o"], alias="vals", split=split,
+                                                          hot_rows=2).collect()}
         assert got == {1: ["a", None, "c", "a"], 2: ["z"]}
 
 
@@ -60,8 +61,10 @@ def test_ordered_list_hot_key_split_equals_single(spark):
     rows = [(0 if rnd.random() < 0.4 else rnd.randint(1, 50), i, rnd.choice(["a", "b", None])) for i in range(3000)]
     df = spark.createDataFrame(rows, "k int, o int, v string")
     a = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["o"], alias="l", split=1).collect()}
-    b = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["o"], alias="l", split=16).collect()}
-    assert a == b
+    b = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["o"], alias="l", split=16, hot_rows=100).collect()}
+    c = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=1).collect()}
+    d = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=16, hot_rows=100).collect()}
+    assert a == b and c == d
 
 
 def test_guarded_lookup_raises_on_fan_out(spark):
@@ -159,7 +162,9 @@ def test_ordered_by_value_fast_path_equals_general(spark):
     df = spark.createDataFrame(rows, "k int, v string")
     df2 = df.withColumn("o", F.col("v"))
     for split in (1, 8):
-        fast = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=split).collect()}
-        general = {r.k: r.l for r in grouping.ordered_list(df2, "k", "v", ["o"], alias="l", split=split).collect()}
+        fast = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=split,
+                                                        hot_rows=300).collect()}
+        general = {r.k: r.l for r in grouping.ordered_list(df2, "k", "v", ["o"], alias="l", split=split,
+                                                           hot_rows=300).collect()}
         assert fast == general
         assert all(lst[:lst.count(None)] == [None] * lst.count(None) for lst in fast.values())
