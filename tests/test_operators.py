@@ -168,3 +168,30 @@ def test_ordered_by_value_fast_path_equals_general(spark):
                                                            hot_rows=300).collect()}
         assert fast == general
         assert all(lst[:lst.count(None)] == [None] * lst.count(None) for lst in fast.values())
+
+
+def test_guarded_lookup_above_broadcast_limit_shuffles(spark):
+    left = spark.range(50).withColumnRenamed("id", "k")
+    right = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    spark.conf.set("refinery.broadcast.maxRows", "5")
+    try:
+        out = joins.guarded_lookup(left, right, "k")
+        assert "broadcast" not in out._jdf.queryExecution().logical().toString().lower()
+        got = {r.k: r.v for r in out.collect()}
+        assert got[3] == 30 and got[40] is None and len(got) == 50
+    finally:
+        spark.conf.unset("refinery.broadcast.maxRows")
+    small = joins.guarded_lookup(left, right, "k")
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
+
+
+def test_latest_per_key_with_hot_key(spark):
+    rnd = random.Random(4)
+    rows = [(0 if i % 5 < 2 else rnd.randint(1, 200), i, rnd.randint(0, 9)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, ver int, v int")
+    got = {r.k: (r.ver, r.v) for r in dedup.latest_per_key(df, "k", "ver").collect()}
+    want = {}
+    for k, ver, v in rows:
+        if k not in want or ver > want[k][0]:
+            want[k] = (ver, v)
+    assert got == want
