@@ -276,3 +276,23 @@ def q_topic_sizes(spark, sf):
     """Documents per topic label, raw and normalised."""
     cv, feats, sweep, model = _fit_topics(spark, sf)
     return TP.topic_sizes(TP.assign_topics(model, feats, "doc_id", min_share=0.3))
+
+
+_WB_TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^\\pL]+'), lambda t: length(t) > 0)"
+
+
+@register("weighted_bow", f"""
+WITH d AS (SELECT doc_id, {_WB_TOKENS.format(c="text")} AS a, {_WB_TOKENS.format(c="source")} AS b FROM documents)
+SELECT doc_id, CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS n_terms,
+       round(len(a) * 1.0 + len(b) * 0.5, 6) AS total_weight
+FROM d
+""")
+def q_weighted_bow(spark, sf):
+    """M5 + M6: counts of text tokens (weight 1.0) plus source tokens (weight 0.5) per document."""
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    docs = docs.select("doc_id", TP.word_tokens("text").alias("a"), TP.word_tokens("source").alias("b"))
+    both = docs.select(F.concat("a", "b").alias("ab"))
+    cv = TP.fit_vocabulary(both, "ab", vocab_size=1 << 20, min_df=1.0)
+    cells = TP.weighted_cells(docs, "doc_id", [("a", 1.0), ("b", 0.5)], TP.vocabulary_frame(spark, cv))
+    return cells.select("doc_id", F.size("indices").alias("n_terms"),
+                        _r6(F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)).alias("total_weight"))
