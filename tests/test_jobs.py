@@ -96,3 +96,27 @@ def test_model_scores_a_stream(spark):
     batch = model.transform(orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"))
     assert got.count() == orders.count()
     assert sorted(map(tuple, got.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_clean_enrich_city_fallback_table(spark):
+    df = spark.createDataFrame([
+        ("1", "FIXED", None, 1.0, 1.0, 1.0, 1.0, 1.0, None, _ts("2024-01-01"), None, "x", "US", "Big Apple", None, 5.0),
+        ("2", "FIXED", None, 1.0, 1.0, 1.0, 1.0, 1.0, None, _ts("2024-01-01"), None, "x", "US", "Gotham", None, 5.0),
+    ], "ID string, JOBTYPE string, HOURLYENGAGEMENTTYPE string, FIXEDPRICEAMOUNT double, HOURLYBUDGETMIN double, "
+       "HOURLYBUDGETMAX double, COMPANY_JOBSPOSTEDCOUNT double, COMPANY_JOBSFILLEDCOUNT double, "
+       "COMPANY_CONTRACTDATE string, WH_STARTDATE timestamp_ntz, WH_ENDDATE timestamp_ntz, OPENINGDURATION string, "
+       "COMPANY_COUNTRY string, COMPANY_CITY string, COMPANY_STATE string, WH_TOTALCHARGE double")
+    countries = spark.createDataFrame([("United States", "US", "USA", 330)],
+                                      "name string, iso2 string, iso3 string, population long")
+    cities = spark.createDataFrame([(1, "New York City", "US", 8000000, ["New York"])],
+                                   "geonameid int, name string, countrycode string, population long, "
+                                   "alternatenames array<string>")
+    dim = resolve.build_alias_dimension(cities, countries.select("iso2", "iso3"))
+    res = spark.createDataFrame([("Big Apple", "USA", " new york city "), ("Gotham", "USA", '""')],
+                                "old_name string, country string, new_name string")
+    clean, city_map = jobs.clean_enrich(df, countries, dim, city_resolutions=res,
+                                        cfg=jobs.EnrichConfig(target=None))
+    rows = {r.ID: r.COMPANY_CITY for r in clean.collect()}
+    assert rows == {"1": "New York City"}  # "Gotham" resolves to a blank answer -> dropped as unresolved
+    mapping = {r.old_name: r.new_name for r in city_map.collect()}
+    assert mapping == {"Big Apple": "New York City", "Gotham": None}
