@@ -8,6 +8,7 @@ always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,20 +75,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage.
+    """The shared folder used to cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared filesystem and is used
-    as is.  Only when it is unset (local tests) do we create a scratch folder.
+    Without that setting only a single-process local session gets a scratch
+    folder; on a cluster executors would each write to their own disk, so the
+    call raises.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="refinery-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="refinery-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
