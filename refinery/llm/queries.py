@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import quality
+from . import licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        ({quality.kept_sql()}) AS kept
 FROM quality_scored
 """
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    phrases = "\nUNION ALL\n".join(
+        "SELECT r, i, '{}' AS label FROM license_next WHERE {}".format(
+            label, " AND ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())))
+        for p, label in licenses.PHRASES.items())
+    rows = ", ".join(
+        "('{}', [{}], {})".format(label, ", ".join(f"'{w}'" for w in words),
+                                  math.ceil(licenses.THRESHOLD * len(words) - 1e-9))
+        for label, words in ((k, sorted(set(t.split()))) for k, t in licenses.TEMPLATES.items()))
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sep = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {low} AS t FROM documents),
+worded AS (SELECT r, doc_id, t, [x for x in regexp_split_to_array(t, '{sep}') if x <> ''] AS w FROM texts),
+places_in AS (SELECT r, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS i FROM worded WHERE len(w) > 0),
+license_next AS (
+  SELECT r, i, w0, lead(w0, 1) OVER p AS w1, lead(w0, 2) OVER p AS w2 FROM places_in
+  WINDOW p AS (PARTITION BY r ORDER BY i)),
+places AS ({phrases}),
+base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY r),
+blocks AS (SELECT r, unnest(string_split(t, chr(10))) AS b FROM texts),
+block_sets AS (SELECT r, list_distinct(regexp_split_to_array(b, '{sep}')) AS s FROM blocks),
+templates(label, words, need) AS (VALUES {rows}),
+matches AS (
+  SELECT r, label, len(list_intersect(words, s)) / len(words) AS c
+  FROM block_sets JOIN templates ON len(list_intersect(words, s)) >= need),
+method AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS best FROM matches GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []),
+                                                                    coalesce(method.labels, [])))), ','), '') AS labels,
+       CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM worded LEFT JOIN base ON worded.r = base.r LEFT JOIN method ON worded.r = method.r
+"""
+
+
+ORACLE["op4_license_scan"] = _license_sql()
