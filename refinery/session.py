@@ -71,9 +71,20 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    if _single_process(spark):
+        # worker processes of a local session import the package from where the driver does;
+        # on a cluster the package is installed or passed with --py-files
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        env = spark.sparkContext.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     return spark
 
 
+def _single_process(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage: ``spark.checkpoint.dir`` of the session.
 
@@ -84,7 +95,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not _single_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="refinery-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
