@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import licenses, quality, simhash
+from . import licenses, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine keeps a public tokenizer file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -120,3 +127,10 @@ ORACLE["op4_license_scan"] = _license_sql()
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # places and a checksum of each piece's ids; packing.pack_documents carries the ids themselves by default
+    return packing.pack_documents(
+        read_table(spark, sf_dir, "documents"), tokenizer_file(), carry={"ids_crc32": F.crc32("ids")})
