@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import licenses, packing, quality, simhash
+from . import licenses, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # places and a checksum of each piece's ids; packing.pack_documents carries the ids themselves by default
     return packing.pack_documents(
         read_table(spark, sf_dir, "documents"), tokenizer_file(), carry={"ids_crc32": F.crc32("ids")})
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"] != "entropy")
+    n = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"),
+                        F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
+                        secrets.span_list(spans).alias("spans"))
