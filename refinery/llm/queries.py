@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import licenses, packing, quality, secrets, simhash
+from . import licenses, line_dedup, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +145,54 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"),
                         F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
                         secrets.span_list(spans).alias("spans"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.delete_repeated_lines(docs, mark="lines")
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_deleted"),
+                      F.array_join(F.col("lines").cast("array<string>"), ",").alias("deleted_lines"), "text")
+
+
+def line_dedup_sql(source: str, min_words: int = line_dedup.MIN_WORDS) -> str:
+    """CTEs that end in ``line_kept(doc_id, gone, text)``: brute force over whole blocks of text."""
+    return f"""
+line_raw AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM {source}),
+line_worded AS (
+  SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i,
+         len([x for x in regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+') if x <> '']) AS n
+  FROM line_raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+line_sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM line_worded),
+line_docs AS (SELECT doc_id, list(line ORDER BY i) AS seq FROM line_worded GROUP BY doc_id),
+line_ends AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM line_sums a JOIN line_sums b
+  ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {min_words} GROUP BY 1, 2),
+line_starts AS (
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM line_sums a JOIN line_sums b
+  ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {min_words} GROUP BY 1, 3),
+line_blocks AS (
+  SELECT doc_id, s, e, array_to_string(seq[s:e], chr(10)) AS block
+  FROM (SELECT * FROM line_ends UNION SELECT doc_id, s, e FROM line_starts) JOIN line_docs USING (doc_id)),
+line_first AS (
+  SELECT doc_id, s, e, row_number() OVER (PARTITION BY block ORDER BY doc_id, s) AS k FROM line_blocks),
+line_gone AS (
+  SELECT DISTINCT w.doc_id, w.no FROM line_worded w JOIN line_first f
+  ON w.doc_id = f.doc_id AND w.i BETWEEN f.s AND f.e WHERE f.k > 1),
+line_lists AS (SELECT doc_id, list(no ORDER BY no) AS gone FROM line_gone GROUP BY doc_id),
+line_kept AS (
+  SELECT d.doc_id, coalesce(gone, []) AS gone,
+         CASE WHEN gone IS NULL THEN d.text ELSE coalesce((
+           SELECT string_agg(r.line, chr(10) ORDER BY r.no) FROM line_raw r
+           WHERE r.doc_id = d.doc_id AND NOT list_contains(gone, r.no)), '') END AS text
+  FROM {source} d LEFT JOIN line_lists g ON d.doc_id = g.doc_id)
+"""
+
+
+ORACLE["op10_line_dedup"] = f"""
+WITH {line_dedup_sql('documents')}
+SELECT doc_id, CAST(len(gone) AS BIGINT) AS n_deleted, array_to_string(gone, ',') AS deleted_lines, text
+FROM line_kept
+"""
