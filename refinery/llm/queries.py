@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import licenses, line_dedup, packing, quality, secrets, simhash
+from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,3 +196,32 @@ WITH {line_dedup_sql('documents')}
 SELECT doc_id, CAST(len(gone) AS BIGINT) AS n_deleted, array_to_string(gone, ',') AS deleted_lines, text
 FROM line_kept
 """
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("h1", "h2")
+
+
+def decontamination_sql(source: str, items: str = "benchmark") -> str:
+    """CTEs that end in ``leak_pairs(doc_id, item_id, n_shared, n_shingles, containment)``."""
+    k = decontaminate.SHINGLE_WORDS
+    words = "[x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> '']"
+    cut = f"[array_to_string(w[i:i + {k} - 1], ' ') for i in range(1, len(w) - {k} + 2)]"
+    return f"""
+leak_docs AS (SELECT doc_id, unnest(list_distinct({cut})) AS s FROM (SELECT doc_id, {words} AS w FROM {source})),
+leak_items AS (
+  SELECT item_id, unnest(list_distinct({cut})) AS s FROM (SELECT item_id, {words} AS w FROM {items})),
+leak_sizes AS (SELECT item_id, count(*) AS n_shingles FROM leak_items GROUP BY item_id),
+leak_pairs AS (
+  SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+  FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM leak_docs JOIN leak_items USING (s) GROUP BY 1, 2)
+  JOIN leak_sizes USING (item_id) WHERE n_shared >= {decontaminate.THRESHOLD} * n_shingles - 1e-9)
+"""
+
+
+ORACLE["op3_decontamination"] = f"""
+WITH {decontamination_sql('documents')}
+SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leak_pairs
+"""
