@@ -184,7 +184,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(docs.select(F.col(id_col).alias("doc_id"),
                                     fingerprint_column(F.col(text), shingle_words).alias("fp")), "fingerprints")
-    return fps.join(classes(fps, scratch, max_distance), "fp").select(
+    # written first: a join of two plain exchanges, so that a very common fingerprint can be split
+    by_fp = scratch.table(classes(fps, scratch, max_distance), "classes")
+    return fps.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -199,7 +201,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(docs.select(F.col(id_col).alias("doc_id"),
                                     fingerprint_column(F.col(text), shingle_words).alias("fp")), "fingerprints")
-    by_fp = classes(fps, scratch, max_distance)
+    by_fp = scratch.table(classes(fps, scratch, max_distance), "classes")
     stay = (fps.join(by_fp, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select("s.*"))
     key, fp = free_name(docs, "_id_key"), free_name(docs, "_fp")
