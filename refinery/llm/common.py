@@ -9,9 +9,11 @@ Text conventions used throughout this subpackage
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a shared folder, for reads and writes inside tasks."""
+    return pafs.FileSystem.from_uri(uri)
+
+
 class Scratch:
     """Tables in the shared checkpoint folder that cut a plan's lineage.
 
@@ -67,6 +74,14 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
+    def folder(self, name: str) -> str:
+        """A new shared folder for files that tasks write themselves, as a full URI."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        return re.sub("^file:/+", "file:///", fs.makeQualified(path).toString())
+
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash
+from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,3 +225,9 @@ ORACLE["op3_decontamination"] = f"""
 WITH {decontamination_sql('documents')}
 SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leak_pairs
 """
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_files.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file())
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
