@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files
+from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -231,3 +231,19 @@ SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leak_pairs
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_files.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file())
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+ORACLE["op9_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n,
+                  sha1(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= {warc.MIN_REVISIT} GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON p.d = o.d
+"""
