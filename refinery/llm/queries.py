@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files, warc
+from . import ctw, decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -247,3 +247,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN original <> page_id THEN original END AS refers_to
 FROM p LEFT JOIN o ON p.d = o.d
 """
+
+
+@query
+def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(read_table(spark, sf_dir, "documents"))
