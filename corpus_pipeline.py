@@ -4,14 +4,18 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept.  ``run`` writes every stage's result as Parquet in the shared checkpoint
 folder and rereads it, so that a lost executor never costs more than the stage
 it was working on.
+
+The stages keep the columns of ``documents``; the last returns the pieces of
+the remaining documents with their ids and their places in sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refinery.llm import quality
+from refinery.llm import decontaminate, line_dedup, packing, quality, simhash
 from refinery.llm.common import Scratch
+from refinery.llm.queries import tokenizer_file
 from refinery.session import configure, read_table
 
 
@@ -20,10 +24,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those with nothing left go."""
+    return line_dedup.delete_repeated_lines(docs, drop_emptied=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of close fingerprints: that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
+    return packing.pack_documents(docs, tokenizer_file())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
+#: SimHash components and the packing plan are beyond SQL; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
