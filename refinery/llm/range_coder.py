@@ -209,7 +209,8 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
         a -= unit * start
         np.multiply(unit, count, out=b)
         while (thin := np.flatnonzero(b < _LOW)).size:
-            a[thin] = (a[thin] << _U(16)) | words[thin, at[thin]]
+            # past the end (of a damaged block) the words are 0
+            a[thin] = (a[thin] << _U(16)) | words[thin, np.minimum(at[thin], words.shape[1] - 1)]
             at[thin] += 1
             b[thin] <<= _U(16)
 
