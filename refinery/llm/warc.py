@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col: str
                     if out is not None:
                         out.close()
                     name, place = f"pages-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 data = _gzip(build_record(page, link, text.encode("utf-8", "surrogatepass"), digest,
                                           refers_to, target))
                 out.write(data)
@@ -196,7 +196,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for sort_key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    out, first = fs.open_output_stream(f"{root}/{name}"), sort_key
+                    out, first = fs.open_output_stream(f"{root}/{name}", compression=None), sort_key
                 lines.append(sort_key + "\t" + json.dumps(rest))
                 last = sort_key
                 if len(lines) == BLOCK_LINES:
@@ -317,7 +317,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for record in _records(stream):
                         fields, payload = parse_record(record)
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
