@@ -43,13 +43,13 @@ class Encoder(Estimator, HasColumn, DefaultParamsReadable, DefaultParamsWritable
     def _fit(self, df: DataFrame):
         col = self.getColumn()
         if col not in df.columns:
-            raise FitError(f"Failed to fit {type(self).__name__}: column '{col}' not found")
+            raise FitError(f"{type(self).__name__} needs column '{col}', which the frame does not have")
         try:
             model = self._fit_column(df, col)
         except FitError:
             raise
         except Exception as e:  # noqa: BLE001 -- base contract: wrap any failure
-            raise FitError(f"Failed to fit {type(self).__name__} on '{col}': {e}") from e
+            raise FitError(f"{type(self).__name__} could not be fitted on '{col}': {e}") from e
         return self._copyValues(model)
 
     def _fit_column(self, df: DataFrame, col: str):  # pragma: no cover - abstract
@@ -110,12 +110,12 @@ class _ArtifactWriter(MLWriter):
         self.instance = instance
 
     def saveImpl(self, path):
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
-        for name, kind in self.instance.ARTIFACTS.items():
+        held = [name for name in self.instance.ARTIFACTS if getattr(self.instance, name) is not None]
+        # the metadata names the artifacts, so a load needs no look at the file system
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"artifacts": held})
+        for name in held:
             obj = getattr(self.instance, name)
-            if obj is None:
-                continue
-            if kind == "frame":
+            if self.instance.ARTIFACTS[name] == "frame":
                 obj.write.mode("overwrite").parquet(f"{path}/{name}")
             else:
                 obj.write().overwrite().save(f"{path}/{name}")
@@ -127,20 +127,15 @@ class _ArtifactReader(MLReader):
         self.cls = cls
 
     def load(self, path):
-        import os
-
         from pyspark.ml import PipelineModel
 
         meta = DefaultParamsReader.loadMetadata(path, self.sc)
         inst = self.cls()
         DefaultParamsReader.getAndSetParams(inst, meta)
         inst._resetUid(meta["uid"])
-        fs_path = path[len("file:"):] if path.startswith("file:") else path
-        for name, kind in self.cls.ARTIFACTS.items():
+        for name in meta["artifacts"]:
             sub = f"{path}/{name}"
-            if "://" not in path and not os.path.exists(os.path.join(fs_path, name)):
-                continue
-            if kind == "frame":
+            if self.cls.ARTIFACTS[name] == "frame":
                 setattr(inst, name, self.sparkSession.read.parquet(sub))
             else:
                 setattr(inst, name, PipelineModel.load(sub))

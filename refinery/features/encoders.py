@@ -17,17 +17,12 @@ from refinery.features.base import ArtifactPersistence, Encoder, EncoderModel, F
 from refinery.functions.lists import any_outside_flag, contains_flag
 from refinery.functions.numeric import affine_scale, equals_flag, finite_or_null, not_in_flag
 from refinery.functions.text import snake_name_py
-from refinery.operators.counts import coverage_rows, exact_quantiles, item_counts
+from refinery.operators.counts import coverage_rows, exact_quantiles, item_counts, running_sum
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.tables import replace_with_derived
 from refinery.session import cut_lineage
 
 
-# Largest number of output columns / map literals an encoder builds from data.
-# Above it the fit fails with a message instead of silently truncating.
-MAX_VOCABULARY = 100_000
-
-
 def top_value(freq: DataFrame):
     """Most frequent non-null value of a ``(value, count)`` table, ties -> smallest.
 
@@ -39,12 +34,6 @@ def top_value(freq: DataFrame):
     return row[0]["value"] if row else None
 
 
-def _check_width(rows: list, col: str, who: str) -> None:
-    if len(rows) > MAX_VOCABULARY:
-        raise FitError(f"{who}: {len(rows)} selected values in '{col}' exceed {MAX_VOCABULARY} output columns; "
-                       "set a coverage threshold or use FrequencyEncoder")
-
-
 def _json_param(name: str, doc: str) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=TypeConverters.toString)
 
@@ -112,29 +101,29 @@ class OrdinalEncoder(Encoder):
         return self._from_counts(freq, col, df.schema[col].dataType.simpleString())
 
     def _from_counts(self, freq, col, dtype: str | None = None):
-        """Mode and (auto) mapping from ``(value, count)`` of this column."""
+        """Mode and (auto) mapping from ``(value, count)`` of this column.
+
+        An automatic mapping is a table: the codes are a distributed running
+        count over the sorted values, and transform joins it.
+        """
         typed = freq.select((F.col("value").cast(dtype) if dtype else F.col("value")).alias("value"), "count")
-        mode = top_value(typed)
         given = self.getOrDefault(self.mapping_json)
-        if given:
-            pairs = json.loads(given)
-        else:
-            # Distinct values of an ordinal column are few by nature; they become
-            # map literals, so their number is checked before they are fetched.
-            limit = MAX_VOCABULARY
-            values = [r[0] for r in typed.filter(F.col("value").isNotNull()).select("value").orderBy("value")
-                      .limit(limit + 1).collect()]
-            if len(values) > limit:
-                raise FitError(f"OrdinalEncoder: more than {limit} distinct values in '{col}'; "
-                               "use FrequencyEncoder or give a mapping")
-            pairs = [[v, i] for i, v in enumerate(values)]
-        return OrdinalModel(column=col, mapping_json=json.dumps(pairs, default=str),
-                            mode_json=json.dumps(mode, default=str),
-                            handle_invalid=self.getOrDefault(self.handle_invalid))
-
-
-class OrdinalModel(EncoderModel):
-    mapping_json = _json_param("mapping_json", "mapping as JSON pairs")
+        model = OrdinalModel(column=col, mapping_json=given or "", mode_json=json.dumps(top_value(typed), default=str),
+                             handle_invalid=self.getOrDefault(self.handle_invalid))
+        if not given:
+            values = typed.filter(F.col("value").isNotNull()).select("value")
+            coded = running_sum(values, [F.col("value")], F.lit(1), "n")
+            model.table = cut_lineage(coded.select("value", (F.col("n") - 1).cast("int").alias("code")))
+        return model
+
+
+class OrdinalModel(ArtifactPersistence, EncoderModel):
+    """A given mapping is a literal map; an automatic one is the ``table`` of (value, code)."""
+
+    ARTIFACTS = {"table": "frame"}
+    table: DataFrame | None = None
+
+    mapping_json = _json_param("mapping_json", "given mapping as JSON pairs")
     mode_json = _json_param("mode_json", "fill value as JSON")
     handle_invalid = Param(Params._dummy(), "handle_invalid", "error | null", typeConverter=TypeConverters.toString)
 
@@ -144,25 +133,32 @@ class OrdinalModel(EncoderModel):
                                             handle_invalid=handle_invalid).items() if v is not None})
 
     def _transform_column(self, df, col):
-        pairs = json.loads(self.getOrDefault(self.mapping_json))
         mode = json.loads(self.getOrDefault(self.mode_json))
         src_type = df.schema[col].dataType.simpleString()
         c = F.col(q(col))
         filled = F.coalesce(c, F.lit(mode).cast(src_type)) if mode is not None else c
-        if not pairs:
-            mapped = F.lit(None).cast("int")
-        else:
+        pairs = json.loads(self.getOrDefault(self.mapping_json) or "[]")
+        if self.table is not None:
+            table = checked_broadcast(self.table.select(F.col("value").alias("__ov"), F.col("code").alias("__oc")))
+            df = df.join(table, filled == F.col("__ov"), "left")
+            mapped = F.col("__oc")
+        elif pairs:
             m = F.create_map(*[x for k, v in pairs for x in (F.lit(k).cast(src_type), F.lit(int(v)))])
             mapped = F.try_element_at(m, filled)
+        else:
+            mapped = F.lit(None).cast("int")
         if self.getOrDefault(self.handle_invalid) == "error":
             mapped = F.when(mapped.isNull(), F.raise_error(
                 F.concat(F.lit(f"OrdinalModel: value outside the mapping in column '{col}': "),
                          F.coalesce(filled.cast("string"), F.lit("null"))))).otherwise(mapped)
-        return df.withColumn(col, mapped.cast("int"))
+        return df.withColumn(col, mapped.cast("int")).drop("__ov", "__oc")
 
     def fitted_params(self):
-        return {"mapping": json.loads(self.getOrDefault(self.mapping_json)),
-                "mode": json.loads(self.getOrDefault(self.mode_json))}
+        given = self.getOrDefault(self.mapping_json)
+        return {"mapping": json.loads(given) if given else "table", "mode": json.loads(self.getOrDefault(self.mode_json))}
+
+    def report_tables(self):
+        return {"mapping": self.table} if self.table is not None else {}
 
 
 # ---------------------------------------------------------------------------- E3
@@ -179,8 +175,7 @@ class NumericScaler(Encoder):
                            typeConverter=TypeConverters.toFloat)
 
     quantiles = Param(Params._dummy(), "quantiles",
-                      "robust quartiles: distributed (exact, no single-task histogram) | histogram (exact, "
-                      "one aggregate holding every distinct value) | approx (relative_error)",
+                      "robust quartiles: distributed (exact) | approx (relative_error)",
                       typeConverter=TypeConverters.toString)
 
     def __init__(self, column: str | None = None, kind: str = "standard", relative_error: float = 0.0,
@@ -188,7 +183,7 @@ class NumericScaler(Encoder):
         super().__init__()
         if kind not in ("standard", "minmax", "robust"):
             raise ValueError(f"unknown scaler kind {kind!r}")
-        if quantiles not in ("distributed", "histogram", "approx"):
+        if quantiles not in ("distributed", "approx"):
             raise ValueError(f"unknown quantile method {quantiles!r}")
         if column:
             self._set(column=column)
@@ -201,14 +196,18 @@ class NumericScaler(Encoder):
             return [F.avg(x).alias(f"{col}__a"), F.stddev_pop(x).alias(f"{col}__b")]
         if kind == "minmax":
             return [F.min(x).alias(f"{col}__a"), F.max(x).alias(f"{col}__b")]
-        method = self.getOrDefault(self.quantiles)
-        if method == "distributed":
-            return None  # multi-pass: fitted on its own in _fit_column
+        if self.getOrDefault(self.quantiles) == "distributed":
+            return None  # several passes: see fit_quantiles
         qs = F.array(F.lit(0.25), F.lit(0.75))
         err = self.getOrDefault(self.relative_error)
-        pct = F.percentile(x, qs) if method == "histogram" else \
-            F.percentile_approx(x, qs, int(round(1 / max(err, 1e-9))))
-        return [pct.alias(f"{col}__q")]
+        return [F.percentile_approx(x, qs, int(round(1 / max(err, 1e-9)))).alias(f"{col}__q")]
+
+    @staticmethod
+    def fit_quantiles(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+        """The quartile row of every column, all columns in the same passes."""
+        finite = df.select(*[finite_or_null(F.col(q(c))).alias(c) for c in cols])
+        found = exact_quantiles(finite, cols, [0.25, 0.75])
+        return {c: {f"{c}__q": None if found[c][0] is None else found[c]} for c in cols}
 
     def _from_scalars(self, row, col):
         kind = self.getOrDefault(self.kind)
@@ -229,9 +228,7 @@ class NumericScaler(Encoder):
     def _fit_column(self, df, col):
         aggs = self._scalar_aggs(col)
         if aggs is None:
-            finite = df.select(finite_or_null(F.col(q(col))).alias("__x"))
-            qs = exact_quantiles(finite, "__x", [0.25, 0.75])
-            return self._from_scalars({f"{col}__q": None if qs[0] is None else qs}, col)
+            return self._from_scalars(self.fit_quantiles(df, [col])[col], col)
         return self._from_scalars(df.agg(*aggs).first().asDict(), col)
 
 
@@ -294,7 +291,6 @@ class OneHotEncoder(Encoder):
         """Fit from ``(value, count)`` of this column (null row allowed, ignored here)."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq.filter(F.col("value").isNotNull()), thr, inclusive=False)
-        _check_width(rows, col, "OneHotEncoder")
         return OneHotModel(column=col, values_json=json.dumps([r[0] for r in rows], default=str),
                            shares=[float(r[2]) for r in rows], others=thr is not None)
 
@@ -343,7 +339,7 @@ class MultiLabelEncoder(Encoder):
     def __init__(self, column: str | None = None, threshold: float | None = None):
         super().__init__()
         if threshold is not None and not 0 <= threshold <= 1:
-            raise ValueError("threshold must be a float between 0 and 1, inclusive.")
+            raise ValueError(f"a coverage threshold lies in [0, 1], not {threshold}")
         if column:
             self._set(column=column)
         if threshold is not None:
@@ -351,6 +347,10 @@ class MultiLabelEncoder(Encoder):
 
     count_kind = "items"  # FeatureChain may fit it from a stacked (column, item, count) pass
 
+    def fit_counts(self, freq: DataFrame):
+        """Fit from ``(value, count)`` item counts, e.g. of the child rows the lists are built from."""
+        return self._copyValues(self._from_counts(freq, self.getColumn()))
+
     def _fit_column(self, df, col):
         return self._from_counts(item_counts(df, col), col)
 
@@ -358,7 +358,6 @@ class MultiLabelEncoder(Encoder):
         """Fit from ``(value, count)`` item counts of this list column."""
         thr = self.getOrDefault(self.threshold) if self.isSet(self.threshold) else None
         rows, _ = coverage_rows(freq, thr, inclusive=True)
-        _check_width(rows, col, "MultiLabelEncoder")
         return MultiLabelModel(column=col, values=[r[0] for r in rows], shares=[float(r[2]) for r in rows],
                                cumulative=[float(r[3]) for r in rows], others=bool(thr))
 
@@ -438,9 +437,9 @@ class FrequencyModel(ArtifactPersistence, EncoderModel):
             self._set(column=column)
 
     def _transform_column(self, df, col):
-        t = checked_broadcast(self.table.withColumnRenamed("value", "__fv"))
+        t = checked_broadcast(self.table.select(F.col("value").alias("__fv"), F.col("share").alias("__fs")))
         j = df.join(t, F.col(q(col)).eqNullSafe(F.col("__fv")), "left")
-        return j.withColumn(col, F.coalesce(F.col("share"), F.lit(0.0))).drop("__fv", "share")
+        return j.withColumn(col, F.coalesce(F.col("__fs"), F.lit(0.0))).drop("__fv", "__fs")
 
     def fitted_params(self):
         # The whole value -> share mapping grows with the data: it is reported as

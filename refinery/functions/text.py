@@ -146,11 +146,20 @@ def blank_to_null(c: ColumnOrName) -> Column:
     return F.when(F.trim(col).isin(*BLANK_ANSWERS), F.lit(None).cast("string")).otherwise(col)
 
 
+# The parts of a list literal: quoted strings whole, any other character alone (blanks outside strings go).
+_LITERAL_PARTS = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\bNone\b|[^\s]"""
+
+
 def parse_list_literal(c: ColumnOrName) -> Column:
-    """parse a Python/JSON list literal of strings; blank/null -> [], malformed -> null."""
+    """parse a Python/JSON list literal of strings; blank/null -> [], malformed -> null.
+
+    ``None`` outside quotes is a null item, as ``null`` is.
+    """
     col = _c(c)
+    parts = F.regexp_extract_all(col, F.lit(_LITERAL_PARTS), F.lit(0))
+    text = F.array_join(F.transform(parts, lambda x: F.when(x == "None", F.lit("null")).otherwise(x)), "")
     parsed = F.from_json(
-        col,
+        F.when(col.contains("None"), text).otherwise(col),
         "array<string>",
         {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "mode": "PERMISSIVE"},
     )

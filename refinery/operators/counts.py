@@ -1,23 +1,21 @@
 """Counting, shares, coverage cuts and column statistics.
 
 Frequency tables are built with ``groupBy().count()`` (partial aggregation
-map-side, so a hot value costs one row per task).  Coverage cuts need a
-running sum in frequency order; instead of a global window over every
-distinct value (one task), the running sum is taken over the *distinct
-frequencies* (at most ~sqrt(2N) of them for N items) and each frequency
-group's cut is solved arithmetically -- only the single group that straddles
-the threshold is ranked.
+map-side, so a hot value costs one row per task).  Running sums in frequency
+order are distributed: the table is range-sorted, every partition sums its own
+rows and starts from the total of the partitions before it.  One plan serves
+every size.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refinery.operators.joins import checked_broadcast
 from refinery.session import cut_lineage
 
 
@@ -31,10 +29,8 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
 
 def value_shares(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """``(value, count, share)``; share over non-null rows, or all rows with ``dropna=False``."""
-    counts = value_counts(df, col, dropna)
-    c = F.col(f"`{col}`")
-    total = (df if not dropna else df.filter(c.isNotNull())).count()
-    return counts.withColumn("share", F.col("count") / F.lit(float(max(total, 1))))
+    counts = cut_lineage(value_counts(df, col, dropna))  # read twice: for the total and for the result
+    return counts.withColumn("share", F.col("count") / F.lit(float(max(total_count(counts), 1))))
 
 
 def item_counts(df: DataFrame, col: str) -> DataFrame:
@@ -57,29 +53,6 @@ def stacked_value_counts(df: DataFrame, cols: Sequence[str], dropna: bool = True
     return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _cut_local(rows: list, threshold: float | None, inclusive: bool, count_idx: int, value_idx: int,
-               total: int) -> list:
-    """The coverage cut on a small, already collected frequency table (same integer rule)."""
-    ordered = sorted(rows, key=lambda r: (-r[count_idx], r[value_idx] is None, r[value_idx]))
-    if threshold is None:
-        return ordered
-    cut = float(threshold) * float(total)
-    kept, before = [], 0
-    for i, r in enumerate(ordered):
-        c = r[count_idx]
-        if inclusive:
-            if before < cut or i == 0:
-                kept.append(r)
-            else:
-                break
-        elif before + c < cut:
-            kept.append(r)
-        else:
-            break
-        before += c
-    return kept
-
-
 def stacked_item_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Item counts of several list columns in one pass: ``(column, value, count)``.
 
@@ -94,9 +67,32 @@ def stacked_item_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(tagged)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def running_sum(df: DataFrame, order: Sequence[Column], amount: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows up to and including each, in ``order``.
+
+    No task sees more than one range of rows: a range sort, the total of every
+    partition (as many rows as partitions), and a window inside each partition.
+    The order must be total for a reproducible result.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy("_part").agg(F.sum("_amount").alias("_total"))
+              .select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (placed.withColumn("_run", F.sum("_amount").over(inside))
+            .join(F.broadcast(starts), "_part")  # one row per shuffle partition
+            .withColumn(out, F.col("_start") + F.col("_run")).select(*df.columns, out))
+
+
+def _frequency_order(value: str, count: str) -> list[Column]:
+    return [F.desc(count), F.asc_nulls_last(value)]
+
+
 def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
-                    count: str = "count", total: int | None = None, checkpoint: bool = True,
-                    local_limit: int = 100_000) -> DataFrame:
+                    count: str = "count", total: int | None = None) -> DataFrame:
     """Values kept by a cumulative-coverage cut over frequency-desc, value-asc order.
 
     ``inclusive`` (W2, lists): keep values up to and including the one whose
@@ -105,133 +101,116 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     their own, stays strictly below ``threshold``.  ``threshold=None`` keeps all.
     Integer running counts are used, so a threshold of 1.0 never loses the
     tail to float drift.
-
-    A frequency table proven to hold at most ``local_limit`` rows (one
-    ``limit(n+1)`` fetch) is cut on the driver.  Larger tables are cut on the
-    cluster: a window over the *distinct frequencies* only, each frequency
-    group kept or dropped whole by arithmetic, and a top-k over the single
-    group that straddles the threshold.
     """
     if threshold is None:
         return freq
-    spark = freq.sparkSession
-    if local_limit > 0:
-        rows = freq.limit(local_limit + 1).collect()
-        if len(rows) <= local_limit:
-            ci, vi = freq.columns.index(count), freq.columns.index(value)
-            tot = total if total is not None else sum(r[ci] for r in rows)
-            kept = _cut_local(rows, threshold, inclusive, ci, vi, tot) if tot else []
-            return spark.createDataFrame(kept, freq.schema)
-    if checkpoint:
-        # The frequency table is read up to four times below: materialise it once.
-        freq = cut_lineage(freq)
+    return _coverage(freq, threshold, inclusive, value, count, total).select(*freq.columns)
+
+
+def _coverage(freq: DataFrame, threshold: float | None, inclusive: bool, value: str, count: str,
+              total: int | None) -> DataFrame:
+    """The kept rows with their running count ``_cum`` and the ``_total``."""
+    run = running_sum(freq, _frequency_order(value, count), F.col(f"`{count}`"), "_cum")
     if total is None:
-        total = freq.agg(F.sum(count)).collect()[0][0] or 0
-    if total == 0:
-        return freq.limit(0)
-    cut = float(threshold) * float(total)
-    f = F.col(f"`{count}`")
-    byf = freq.groupBy(f.alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.desc("_f")).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum(F.col("_f") * F.col("_n")).over(w), F.lit(0))
-    x = (F.lit(cut) - above) / F.col("_f")
-    k = F.ceil(x) if inclusive else F.ceil(x) - 1
-    if inclusive:
-        k = F.greatest(k, F.when(above == 0, F.lit(1)).otherwise(F.lit(0)))
-    byf = byf.withColumn("_k", F.least(F.greatest(k, F.lit(0)), F.col("_n")).cast("long"))
-    byf = cut_lineage(byf.select("_f", "_n", "_k").filter(F.col("_k") > 0))
-    j = freq.join(checked_broadcast(byf), f == F.col("_f"))
-    full = j.filter(F.col("_k") >= F.col("_n")).select(*freq.columns)
-    partial_groups = byf.filter(F.col("_k") < F.col("_n")).collect()
-    out = full
-    for g in partial_groups:  # at most one group straddles the cut
-        part = (freq.filter(f == F.lit(g["_f"])).orderBy(F.asc_nulls_last(value)).limit(int(g["_k"])))
-        out = out.unionByName(part)
-    return out
+        total = run.agg(F.max("_cum")).first()[0] or 0
+    run = run.withColumn("_total", F.lit(int(total)))
+    if threshold is None:
+        return run
+    cut, c = F.lit(float(threshold) * float(total)), F.col(f"`{count}`")
+    above = F.col("_cum") - c
+    return run.filter((above < cut) | (above == 0) if inclusive else F.col("_cum") < cut)
+
+
+def coverage_table(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
+                   count: str = "count", total: int | None = None) -> DataFrame:
+    """The kept values with ``ratio`` and ``cumulative_ratio``."""
+    run = _coverage(freq, threshold, inclusive, value, count, total)
+    return run.select(*freq.columns, (F.col(f"`{count}`") / F.col("_total")).alias("ratio"),
+                      (F.col("_cum") / F.col("_total")).alias("cumulative_ratio"))
 
 
 def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, total: int | None = None,
-                  value: str = "value", count: str = "count", local_limit: int = 100_000,
-                  max_rows: int = 100_000) -> tuple[list, int]:
+                  value: str = "value", count: str = "count") -> tuple[list, int]:
     """The kept ``(value, count, ratio, cumulative_ratio)`` rows in frequency order, and the total.
 
-    For encoders, whose output columns are the kept values: the selection is
-    needed on the driver anyway.  Small tables are cut locally in one job.
+    For encoders with one output column per kept value: the values are needed
+    on the driver to name the columns, so their number is that of the columns.
     """
-    rows = freq.select(value, count).limit(local_limit + 1).collect() if local_limit > 0 else None
-    if rows is not None and len(rows) <= local_limit:
-        tot = total if total is not None else sum(r[1] for r in rows)
-        kept = _cut_local(rows, threshold, inclusive, 1, 0, tot) if tot else []
-    else:
-        f = cut_lineage(freq.select(value, count))
-        tot = total if total is not None else (f.agg(F.sum(count)).first()[0] or 0)
-        sel = coverage_select(f, threshold, inclusive, value, count, tot, checkpoint=False, local_limit=0)
-        # The kept values become output columns: fetch at most max_rows + 1 of them.
-        kept = sorted(sel.limit(max_rows + 1).collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
-    out, run = [], 0
-    for v, c in kept:
-        run += c
-        out.append((v, c, c / tot if tot else 0.0, run / tot if tot else 0.0))
-    return out, tot
-
-
-def with_running_share(selected: DataFrame, total: int, value: str = "value", count: str = "count") -> DataFrame:
-    """W1 on a bounded (already selected) frequency table: ratio and running ratio."""
-    w = Window.orderBy(F.desc(count), F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return (selected.withColumn("ratio", F.col(count) / F.lit(float(total)))
-            .withColumn("cumulative_ratio", F.sum(F.col(count)).over(w) / F.lit(float(total))))
+    if threshold is None:  # every value is kept, so every value is read
+        everything = sorted(freq.select(value, count).collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
+        total = total or sum(r[1] for r in everything)
+        cums = itertools.accumulate(r[1] for r in everything)
+        return [(r[0], r[1], r[1] / total, c / total) for r, c in zip(everything, cums)], total
+    run = _coverage(freq.select(value, count), threshold, inclusive, value, count, total)
+    rows = sorted(run.collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
+    out = [(r[0], r[1], r[1] / r["_total"], r["_cum"] / r["_total"]) for r in rows]
+    return out, (rows[0]["_total"] if rows else 0)
 
 
 def top_k_share(df: DataFrame, col: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values with their share and running share."""
-    vc = value_counts(df, col)
-    total = vc.agg(F.sum("count")).collect()[0][0] or 0
-    top = vc.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(k)
-    return with_running_share(top, max(total, 1))
+    """The ``k`` most frequent values with their share and running share (``k`` rows in one window)."""
+    counts = cut_lineage(value_counts(df, col))
+    total = F.lit(float(max(total_count(counts), 1)))
+    order = _frequency_order("value", "count")
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (counts.orderBy(*order).limit(k).withColumn("ratio", F.col("count") / total)
+            .withColumn("cumulative_ratio", F.sum("count").over(w) / total))
+
+
+def _is_float(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() in ("float", "double")
+
+
+def _missing_to_null(df: DataFrame, col: str) -> Column:
+    """NaN counts as missing in the statistics, as null does."""
+    c = F.col(f"`{col}`")
+    return F.when(~F.isnan(c), c) if _is_float(df, col) else c
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Per column ``(column, nulls, non_nulls, distinct)`` in a single aggregate pass."""
+    """Per column ``(column, nulls, non_nulls, distinct)``; NaN is missing.
+
+    Exact distinct counts come from one stacked ``(column, value)`` count, not
+    from an aggregate that expands every row once per column.
+    """
     cols = list(cols or df.columns)
-    exprs = []
-    for c in cols:
-        col = F.col(f"`{c}`")
-        dist = F.approx_count_distinct(col) if approx else F.count_distinct(col)
-        exprs += [F.count_if(col.isNull()).alias(f"n_{c}"), F.count(col).alias(f"c_{c}"), dist.alias(f"d_{c}")]
-    wide = df.agg(*exprs)
-    stack = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`n_{c}`").alias("nulls"),
-                               F.col(f"`c_{c}`").alias("non_nulls"), F.col(f"`d_{c}`").alias("distinct"))
-                      for c in cols])
-    return wide.select(F.inline(stack))
+    clean = df.select(*[_missing_to_null(df, c).alias(c) for c in cols])
+    if approx:
+        stats = clean.agg(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"),
+            F.count(F.col(f"`{c}`")).alias("non_nulls"), F.approx_count_distinct(F.col(f"`{c}`")).alias("distinct"))
+            for c in cols]).alias("s"))
+        return stats.select(F.inline("s"))
+    known = F.col("value").isNotNull()
+    return (stacked_value_counts(clean, cols, dropna=False).groupBy("column").agg(
+        F.sum(F.when(known, 0).otherwise(F.col("count"))).alias("nulls"),
+        F.sum(F.when(known, F.col("count")).otherwise(0)).alias("non_nulls"),
+        F.count("value").alias("distinct")))
 
 
 def describe(df: DataFrame, cols: Sequence[str], quantiles: str = "distributed") -> DataFrame:
-    """Count, mean, sample std, min, interpolated quartiles, max per numeric column.
+    """Count, mean, sample std, min, interpolated quartiles, max per numeric column; NaN is missing.
 
     Moments and extremes of every column come from one aggregate.  Quartiles
-    are exact: ``quantiles='distributed'`` (default) brackets them without
-    holding a column in one task (:func:`exact_quantiles`); ``'histogram'``
-    uses Spark's exact ``percentile`` inside the same aggregate (fine for
-    columns with few distinct values); ``'approx'`` uses ``percentile_approx``.
+    are exact: ``quantiles='distributed'`` (default) finds those of all columns
+    together (:func:`exact_quantiles`); ``'approx'`` uses ``percentile_approx``.
     """
+    clean = df.select(*[_missing_to_null(df, c).cast("double").alias(c) for c in cols])
     moments = []
     for c in cols:
-        x = F.col(f"`{c}`").cast("double")
+        x = F.col(f"`{c}`")
         parts = [F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-        if quantiles == "histogram":
-            parts.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        elif quantiles == "approx":
+        if quantiles == "approx":
             parts.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
         moments.append(F.struct(*parts))
-    stats = df.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
-    if quantiles != "distributed":
+    stats = clean.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
+    if quantiles == "approx":
         return stats.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
                             F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-    rows = []
-    for r in stats.collect():  # one small row per described column
-        q = exact_quantiles(df, r["column"], [0.25, 0.5, 0.75])
-        rows.append((r["column"], r["count"], r["mean"], r["std"], r["min"], q[0], q[1], q[2], r["max"]))
+    found = exact_quantiles(clean, cols, [0.25, 0.5, 0.75])
+    rows = [(r["column"], r["count"], r["mean"], r["std"], r["min"], *found[r["column"]], r["max"])
+            for r in stats.collect()]  # one row per described column
     schema = ("column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double")
     return df.sparkSession.createDataFrame(rows, schema)
@@ -255,53 +234,61 @@ def total_count(freq: DataFrame, count: str = "count") -> int:
     return int(freq.agg(F.sum(count)).first()[0] or 0)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], window_rows: int = 1_000_000
-                    ) -> list[float | None]:
-    """Exact linear-interpolated quantiles (``numpy``/``percentile`` semantics) without a
-    single-task histogram of the whole column.
+BINS = 1024  # per bracket and pass
 
-    Three jobs for all ``probs`` together:
 
-    1. ``n`` = count of non-null values; target ranks ``p*(n-1)``.
-    2. One ``percentile_approx`` (rank error <= n/A, with ``A`` chosen so the
-       error is about ``window_rows/4``) brackets every target rank.
-    3. One aggregate counts the values below each bracket and collects the
-       values inside it (about ``window_rows``, a bounded group), sorted; the
-       two order statistics around each target are read from that array.
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several numeric columns (nulls and NaN skipped).
 
-    A bracket that misses its target (not expected) is widened and retried.
+    A quantile lies between two order statistics.  Each is known to lie in a
+    bracket of values, at first the whole range of its column.  A pass counts
+    the rows of every bracket in ``BINS`` equal bins, with the least and largest
+    value of each bin, and keeps the bin that holds the wanted rank; a bracket
+    is done when it is one value, whatever the number of rows that share it.
+    A pass returns at most ``BINS`` rows per open bracket, nothing grows with
+    the data, and all columns and probabilities share the passes.
     """
-    x = F.col(f"`{col}`").cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    accuracy = int(min(max(10_000, 4 * n // max(window_rows, 1) + 1), 2_000_000_000))
-    width = n // accuracy + 1
-    ranks = [(float(p) * (n - 1), int(math.floor(float(p) * (n - 1))), int(math.ceil(float(p) * (n - 1))))
-             for p in probs]
+    values = df.select(*[_missing_to_null(df, c).cast("double").alias(c) for c in cols])
+    ends = values.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(cols)
+                        for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    places = {}  # column -> (position, lower rank, upper rank) per probability
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # (column, rank) -> bracket, rows below it
+    for i, c in enumerate(cols):
+        n = ends[f"n{i}"]
+        places[c] = [(p * (n - 1), math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in map(float, probs)] \
+            if n else []
+        for _, low, high in places[c]:
+            for rank in (low, high):
+                open_[c, rank] = (ends[f"lo{i}"], ends[f"hi{i}"], 0)
+    found: dict[tuple[str, int], float] = {}
     while True:
-        fr = []
-        for _, lo, hi in ranks:
-            fr += [max(0.0, (lo - width) / n), min(1.0, (hi + width + 1) / n)]
-        row = vals.agg(F.percentile_approx("x", F.array(*[F.lit(f) for f in fr]), accuracy).alias("b"),
-                       F.min("x").alias("mn"), F.max("x").alias("mx")).first()
-        bounds = [row["mn"] if f == 0.0 else (row["mx"] if f == 1.0 else v) for f, v in zip(fr, row["b"])]
-        aggs = []
-        for i in range(len(ranks)):
-            lo_v, hi_v = bounds[2 * i], bounds[2 * i + 1]
-            inside = (F.col("x") >= F.lit(lo_v)) & (F.col("x") <= F.lit(hi_v))
-            aggs += [F.count_if(F.col("x") < F.lit(lo_v)).alias(f"b{i}"),
-                     F.count_if(F.col("x") <= F.lit(hi_v)).alias(f"u{i}"),
-                     F.array_sort(F.collect_list(F.when(inside, F.col("x")))).alias(f"w{i}")]
-        res = vals.agg(*aggs).first()
-        ok = all(res[f"b{i}"] <= lo and res[f"u{i}"] >= hi + 1 for i, (_, lo, hi) in enumerate(ranks))
-        if ok:
+        for key, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[key] = lo
+                del open_[key]
+        if not open_:
             break
-        width *= 4  # bracket missed: widen and retry (lossless)
-    out: list[float | None] = []
-    for i, (pos, lo, hi) in enumerate(ranks):
-        w, below = res[f"w{i}"], res[f"b{i}"]
-        a, b = w[lo - below], w[hi - below]
-        out.append(a + (pos - lo) * (b - a))
-    return out
+        brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
+        hits = []
+        for k, (c, lo, hi) in enumerate(brackets):
+            x = F.col(f"`{c}`")
+            # infinite ends: split at zero first, else in the finite middle; monotone in x either way
+            if math.isinf(lo) or math.isinf(hi) or math.isinf(hi - lo):
+                b = (F.when(x == F.lit(float("-inf")), 0).when(x < 0, 1).when(x == F.lit(float("inf")), 3).otherwise(2))
+            else:
+                b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS))
+            hits.append(F.when(x.between(lo, hi), F.struct(F.lit(k).alias("k"), b.cast("int").alias("b"), x.alias("x"))))
+        bins = (values.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.b")
+                .agg(F.count("*").alias("n"), F.min("h.x").alias("lo"), F.max("h.x").alias("hi")).collect())
+        by: dict[int, list] = {}
+        for r in sorted(bins, key=lambda r: (r["k"], r["b"])):
+            by.setdefault(r["k"], []).append(r)
+        number = {b: k for k, b in enumerate(brackets)}
+        for (c, rank), (lo, hi, below) in list(open_.items()):
+            for r in by[number[c, lo, hi]]:
+                if rank < below + r["n"]:
+                    open_[c, rank] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+    return {c: [found[c, low] + (at - low) * (found[c, high] - found[c, low]) if low != high else found[c, low]
+                for at, low, high in places[c]] or [None] * len(probs) for c in cols}

@@ -4,83 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refinery.operators.joins import checked_broadcast
-from refinery.session import cut_lineage
 
-
-def ordered_list(df: DataFrame, key: str, value: str, order_by: Sequence[str], alias: str | None = None,
-                 split: int = 8, hot_rows: int = 1_000_000) -> DataFrame:
+def ordered_list(df: DataFrame, key: str, value: str, order_by: Sequence[str], alias: str | None = None) -> DataFrame:
     """One row per key holding the list of ``value`` in ``order_by`` order.
 
     Null keys are dropped; null values and duplicates are kept (plain
-    ``collect_list`` would drop nulls, so each value travels inside a struct,
-    or -- when the list is ordered by the value itself -- nulls are counted).
+    ``collect_list`` would drop nulls, so each value travels inside a struct).
 
-    Hot keys are split, and only they: one counting pass finds the keys with
-    more than ``hot_rows`` rows (there are at most N / ``hot_rows`` of them).
-    Their rows are spread over ``split`` sub-groups, each collected and sorted
-    in its own task, and the per-key step only merges the sorted runs (TimSort
-    merges pre-sorted runs in O(n log split)).  Every other key takes the
-    single-level path with map-side partial aggregation.  The list itself is
-    the result, so its row is as large as its group.
+    A list in the order of its own values is built from ``(key, value)``
+    counts: the counting combines map-side, so a hot key travels as its
+    distinct values, and the list is unfolded from the counts at the end.  The
+    list itself is the result, so its row is as large as its group.
     """
     alias = alias or f"{value}_list"
-    k = F.col(f"`{key}`")
+    k, v = F.col(f"`{key}`"), F.col(f"`{value}`")
     base = df.filter(k.isNotNull())
-    by_value = list(order_by) == [value]
-    if by_value:
-        base = base.select(k, F.col(f"`{value}`").alias("_v"))
-        vtype = df.schema[value].dataType
-    else:
-        order_fields = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order_by)]
-        base = base.select(k, F.struct(*order_fields, F.col(f"`{value}`").alias("_v")).alias("_v"))
-        vtype = None
-    if split and split > 1:
-        hot = cut_lineage(base.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
-                          .filter(F.col("_n") > F.lit(hot_rows)).select(k))
-        if hot.limit(1).count():
-            tagged = base.join(checked_broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-            cold = _lists(tagged.filter(F.col("_hot").isNull()).drop("_hot"), k, 1, by_value)
-            warm = _lists(tagged.filter(F.col("_hot").isNotNull()).drop("_hot"), k, split, by_value)
-            merged = cold.unionByName(warm)
-        else:
-            merged = _lists(base, k, 1, by_value)
-    else:
-        merged = _lists(base, k, 1, by_value)
-    return merged.select(k, _finish(by_value, vtype).alias(alias))
-
-
-def _lists(base: DataFrame, k: Column, split: int, by_value: bool) -> DataFrame:
-    """Sorted lists per key (``_vals``) and, for value order, the null count (``_nulls``)."""
-    item = F.col("_v")
-    if by_value:
-        if split > 1:
-            salted = base.withColumn("_salt", F.floor(F.rand(17) * split).cast("int"))
-            chunks = salted.groupBy(k, "_salt").agg(F.array_sort(F.collect_list(item)).alias("_c"),
-                                                    F.count_if(item.isNull()).alias("_nulls"))
-            return chunks.groupBy(k).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_vals"),
-                                         F.sum("_nulls").alias("_nulls"))
-        return base.groupBy(k).agg(F.array_sort(F.collect_list(item)).alias("_vals"),
-                                   F.count_if(item.isNull()).alias("_nulls"))
-    if split > 1:
-        # Any salt assignment gives the same merged list, so a recomputed salt cannot change it.
-        salted = base.withColumn("_salt", F.floor(F.rand(17) * split).cast("int"))
-        chunks = salted.groupBy(k, "_salt").agg(F.array_sort(F.collect_list(item)).alias("_c"))
-        return chunks.groupBy(k).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_vals"),
-                                     F.lit(0).cast("bigint").alias("_nulls"))
-    return base.groupBy(k).agg(F.array_sort(F.collect_list(item)).alias("_vals"),
-                               F.lit(0).cast("bigint").alias("_nulls"))
-
-
-def _finish(by_value: bool, vtype) -> Column:
-    if by_value:
-        # A null sort key sorts first: same order as the struct path.
-        nulls = F.array_repeat(F.lit(None).cast(vtype), F.col("_nulls").cast("int"))
-        return F.concat(nulls, F.col("_vals"))
-    return F.transform("_vals", lambda x: x["_v"])
+    if list(order_by) == [value]:
+        counted = base.groupBy(k, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        runs = F.array_sort(F.collect_list(F.struct("_v", "_n")))  # a null value sorts first
+        unfolded = F.flatten(F.transform("_r", lambda x: F.array_repeat(x["_v"], x["_n"].cast("int"))))
+        return counted.groupBy(k).agg(runs.alias("_r")).select(k, unfolded.alias(alias))
+    fields = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order_by)]
+    items = F.array_sort(F.collect_list(F.struct(*fields, v.alias("_v"))))
+    return base.groupBy(k).agg(items.alias("_r")).select(k, F.transform("_r", lambda x: x["_v"]).alias(alias))
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

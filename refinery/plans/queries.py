@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from refinery import functions as RF
 from refinery.features import encoders as E
 from refinery.operators import counts, dedup, grouping, joins, resolve, tables
-from refinery.session import cut_lineage, read_table, spread
+from refinery.session import read_table, spread
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -62,9 +62,11 @@ FROM orders LEFT JOIN f ON o_orderkey = l_orderkey
 """)
 def q_flagship(spark, sf):
     """Minimum slice: integrate, aggregate lists, multi-label one-hot (E5, all items)."""
-    # Fitted and transformed on the same aggregated lists: build them once.
-    df = cut_lineage(return_flag_lists(spark, sf))
-    return E.MultiLabelEncoder(column="return_flags").fit(df).transform(df)
+    df = return_flag_lists(spark, sf)
+    # the items of the lists are the lines of the orders, so the fit counts the lines
+    lines = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    items = lines.groupBy(F.col("l_returnflag").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    return E.MultiLabelEncoder(column="return_flags").fit_counts(items).transform(df)
 
 
 # ------------------------------------------------------------------ hygiene
@@ -453,10 +455,9 @@ FROM w WHERE cum - count < 0.5 * total OR rn = 1
 """)
 def q_list_item_coverage(spark, sf):
     """D8 + W1 + W2: items kept by an inclusive 50% coverage cut."""
-    freq = cut_lineage(counts.item_counts(combo_lists(spark, sf), "items"))
-    total = freq.agg(F.sum("count")).first()[0]
-    sel = counts.coverage_select(freq, 0.5, inclusive=True, total=total, checkpoint=False)
-    out = counts.with_running_share(sel, total)
+    # the items of all lists are the child rows: they are counted without building the lists
+    li = _t(spark, sf, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("item"))
+    out = counts.coverage_table(counts.value_counts(li, "item"), 0.5, inclusive=True)
     return out.select("value", "count", _r6(F.col("ratio")).alias("ratio"),
                       _r6(F.col("cumulative_ratio")).alias("cumulative_ratio"))
 
@@ -470,15 +471,27 @@ FROM w WHERE cum < 0.7 * total
 """)
 def q_coverage_exclusive(spark, sf):
     """Categories whose running share stays below 70%."""
-    freq = cut_lineage(_t(spark, sf, "part").groupBy(F.col("p_type").alias("value"))
-                       .agg(F.count(F.lit(1)).alias("count")))
-    total = freq.agg(F.sum("count")).first()[0]
-    sel = counts.coverage_select(freq, 0.7, inclusive=False, total=total, checkpoint=False)
-    out = counts.with_running_share(sel, total)
+    out = counts.coverage_table(counts.value_counts(_t(spark, sf, "part"), "p_type"), 0.7, inclusive=False)
     return out.select("value", "count", _r6(F.col("ratio")).alias("ratio"),
                       _r6(F.col("cumulative_ratio")).alias("cumulative_ratio"))
 
 
+@register("coverage_tokens", """
+WITH f AS (SELECT t AS value, count(*) AS count FROM (
+             SELECT unnest(regexp_split_to_array(lower(text), '[^\\pL]+')) AS t FROM documents)
+           WHERE t <> '' GROUP BY 1),
+w AS (SELECT *, sum(count) OVER (ORDER BY count DESC, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             sum(count) OVER () AS total FROM f)
+SELECT value, count, round(cum / total, 6) AS cumulative_ratio FROM w WHERE cum - count < 0.8 * total
+""")
+def q_coverage_tokens(spark, sf):
+    """W2 on a large vocabulary: the words of all documents up to 80% coverage."""
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("t")).filter("t <> ''")
+    out = counts.coverage_table(counts.value_counts(words, "t"), 0.8, inclusive=True)
+    return out.select("value", "count", _r6(F.col("cumulative_ratio")).alias("cumulative_ratio"))
+
+
 @register("top_k_share", """
 WITH f AS (SELECT p_name AS value, count(*) AS count FROM part GROUP BY 1),
 t AS (SELECT *, sum(count) OVER () AS total FROM f ORDER BY count DESC, value LIMIT 40)
@@ -535,6 +548,24 @@ def q_describe_columns(spark, sf):
                                                                           "max"]])
 
 
+@register("describe_ties", """
+WITH x AS (SELECT l_quantity AS q, CASE WHEN l_linenumber = 2 THEN 'nan'::DOUBLE ELSE l_discount END AS d FROM lineitem)
+SELECT 'q' AS "column", count(q) AS count, round(avg(q), 6) AS mean, round(stddev_samp(q), 6) AS std, min(q) AS min,
+  quantile_cont(q, 0.25) AS p25, quantile_cont(q, 0.5) AS p50, quantile_cont(q, 0.75) AS p75, max(q) AS max FROM x
+UNION ALL
+SELECT 'd', count(d), round(avg(d), 6), round(stddev_samp(d), 6), min(d), round(quantile_cont(d, 0.25), 6),
+  round(quantile_cont(d, 0.5), 6), round(quantile_cont(d, 0.75), 6), max(d) FROM x WHERE NOT isnan(d)
+""")
+def q_describe_ties(spark, sf):
+    """D15 on 50 distinct quantities (heavy ties) and on a column with NaN, which counts as missing."""
+    li = _t(spark, sf, "lineitem")
+    x = li.select(F.col("l_quantity").alias("q"), F.when(F.col("l_linenumber") == 2, F.lit(float("nan")))
+                  .otherwise(F.col("l_discount")).alias("d"))
+    d = counts.describe(x, ["q", "d"])
+    return d.select("column", "count", *[_r6(F.col(c)).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75",
+                                                                          "max"]])
+
+
 @register("two_column_bins", """
 SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS x_bin, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS y_bin,
        count(*) AS count FROM lineitem GROUP BY 1, 2

@@ -212,3 +212,32 @@ def test_save_report_writes_tables(spark):
     assert [s.processor_class for s in stages] == ["FrequencyModel", "BooleanModel"]
     mapping = {r.value: r.share for r in spark.read.json(f"{path}/tables/1_c_frequency_mapping").collect()}
     assert mapping == {"a": 2 / 3, "b": 1 / 3}
+
+
+def test_frequency_encoder_beside_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 3, 4), (None, 5, 6)], "c string, share int, value int")
+    out = E.FrequencyEncoder(column="c").fit(df).transform(df)
+    assert out.columns == ["c", "share", "value"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1 / 3, 5, 6), (2 / 3, 1, 2), (2 / 3, 3, 4)]
+
+
+def test_null_vectors_get_null_components(spark):
+    from refinery.features.reduce import EmbeddingPCA
+
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, None), (3, [0.0, 5.0])],
+                               "id int, v array<double>")
+    out = {r.id: r.v_PC1 for r in EmbeddingPCA(column="v", n_components=1).fit(df).transform(df).collect()}
+    assert out[2] is None and all(out[i] is not None for i in (0, 1, 3))
+
+
+def test_ordinal_table_survives_save_without_scheme(spark, tmp_path):
+    from refinery.features import chain as C
+
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
+    model = C.from_spec([("c", "ordinal", {})]).fit(df)
+    path = str(tmp_path / "model")  # no scheme: the cluster's default file system
+    C.save_model(model, path)
+    assert sorted(r.c for r in C.load_model(path).transform(df).collect()) == [0, 1, 1, 1]
+    given = C.from_spec([("c", "ordinal", {"mapping": {"a": 5, "b": 6}})]).fit(df)
+    C.save_model(given, path)
+    assert sorted(r.c for r in C.load_model(path).transform(df).collect()) == [5, 6, 6, 6]

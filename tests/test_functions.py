@@ -131,3 +131,14 @@ def test_literal_map_and_templates(spark):
     arr = spark.createDataFrame([(["a", "b", "a"],), (None,)], "x array<string>")
     got = arr.select(RF.append_item("x", F.lit("c")).alias("ap"), RF.remove_item("x", "a").alias("rm")).collect()
     assert got[0].ap == ["a", "b", "a", "c"] and got[0].rm == ["b"] and got[1].ap == ["c"]
+
+
+def test_list_literal_with_none_and_odd_items(spark):
+    from refinery.functions.text import parse_list_literal
+
+    rows = {"['a', None]": ["a", None], "[None]": [None], "['None', \"it's None, really\", None]":
+            ["None", "it's None, really", None], "['a, None, b']": ["a, None, b"], r"['it\'s', None]": ["it's", None],
+            '["x", null]': ["x", None], "['a', ": None, "": [], "['Nonesuch']": ["Nonesuch"]}
+    df = spark.createDataFrame([(k,) for k in rows], "s string")
+    got = {r.s: r.p for r in df.select("s", parse_list_literal("s").alias("p")).collect()}
+    assert got == rows

@@ -50,21 +50,8 @@ def test_latest_per_key_and_row_dedup(spark):
 def test_ordered_list_keeps_nulls_duplicates_and_order(spark):
     rows = [(1, 3, "c"), (1, 1, "a"), (1, 2, None), (1, 4, "a"), (2, 1, "z"), (None, 1, "n")]
     df = spark.createDataFrame(rows, "k int, o int, v string")
-    for split in (1, 4):
-        got = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", ["o"], alias="vals", split=split,
-                                                          hot_rows=2).collect()}
-        assert got == {1: ["a", None, "c", "a"], 2: ["z"]}
-
-
-def test_ordered_list_hot_key_split_equals_single(spark):
-    rnd = random.Random(3)
-    rows = [(0 if rnd.random() < 0.4 else rnd.randint(1, 50), i, rnd.choice(["a", "b", None])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k int, o int, v string")
-    a = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["o"], alias="l", split=1).collect()}
-    b = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["o"], alias="l", split=16, hot_rows=100).collect()}
-    c = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=1).collect()}
-    d = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=16, hot_rows=100).collect()}
-    assert a == b and c == d
+    got = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", ["o"], alias="vals").collect()}
+    assert got == {1: ["a", None, "c", "a"], 2: ["z"]}
 
 
 def test_guarded_lookup_raises_on_fan_out(spark):
@@ -120,11 +107,22 @@ def test_coverage_select_matches_loop(spark, seed):
     for t in [0.0, 0.1, 0.5, 0.8, 0.99, 1.0, None]:
         for inc in (True, False):
             want = _python_cut(freq, t, inc)
-            for limit in (0, 100_000):  # distributed path and local path
-                got = {r.value for r in counts.coverage_select(df, t, inclusive=inc, local_limit=limit).collect()}
-                assert got == want, (t, inc, limit)
-                rows, _ = counts.coverage_rows(df, t, inclusive=inc, local_limit=limit)
-                assert {r[0] for r in rows} == want, (t, inc, limit)
+            got = {r.value for r in counts.coverage_select(df, t, inclusive=inc).collect()}
+            assert got == want, (t, inc)
+            rows, _ = counts.coverage_rows(df, t, inclusive=inc)
+            assert {r[0] for r in rows} == want, (t, inc)
+
+
+def test_running_sum_over_many_ranges(spark):
+    df = spark.range(5000).selectExpr("id % 700 AS a", "id AS b", "id % 13 AS n")
+    got = [tuple(r) for r in counts.running_sum(df, [F.desc("a"), F.asc("b")], F.col("n"), "s").collect()]
+    rows = sorted(((r.a, r.b, r.n) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    want, run = [], 0
+    for r in rows:
+        run += r[2]
+        want.append((*r, run))
+    assert sorted(got) == sorted(want)
+    assert counts.running_sum(df.limit(0), [F.col("a")], F.lit(1), "s").count() == 0
 
 
 def test_value_shares_and_profile(spark):
@@ -150,10 +148,38 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rnd.normal(size=3000), rnd.integers(0, 5, size=2000).astype(float), [np.nan] * 0])
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = counts.exact_quantiles(df, "v", probs, window_rows=100)
+    got = counts.exact_quantiles(df, ["v"], probs)["v"]
     want = np.quantile(vals, probs)
     assert np.allclose(got, want, rtol=0, atol=1e-12)
-    assert counts.exact_quantiles(df.filter("v IS NULL"), "v", [0.5]) == [None]
+    assert counts.exact_quantiles(df.filter("v IS NULL"), ["v"], [0.5]) == {"v": [None]}
+
+
+def test_exact_quantiles_ties_ranges_and_missing(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    cols = {"ties": np.where(rnd.random(4000) < 0.8, 0.0, rnd.integers(0, 50, 4000)),
+            "wide": np.exp(rnd.normal(0, 60, 4000)) * rnd.choice([-1, 1], 4000), "whole": rnd.integers(1, 51, 4000) * 1.0,
+            "same": np.full(4000, 7.0)}
+    df = spark.createDataFrame([tuple(map(float, r)) + (float("nan"),) for r in zip(*cols.values())],
+                               ", ".join(f"{c} double" for c in cols) + ", gap double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = counts.exact_quantiles(df, [*cols, "gap"], probs)
+    for c, v in cols.items():
+        assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12, atol=0), c
+    assert got["gap"] == [None] * len(probs)
+    ends = spark.createDataFrame([(float(x),) for x in ["-inf", -3, -1, 0, 2, 5, "inf"]], "v double")
+    assert counts.exact_quantiles(ends, ["v"], [0.0, 1 / 6, 0.5, 4 / 6, 1.0])["v"] == \
+        [float("-inf"), -3, 0, 2, float("inf")]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (3.0, None)], "x double, s string")
+    (d,) = counts.describe(df, ["x"]).collect()
+    assert (d["count"], d.mean, d.min, d.p50, d.max) == (2, 2.0, 1.0, 2.0, 3.0) and abs(d.std - 2 ** 0.5) < 1e-12
+    for approx in (False, True):
+        got = {r["column"]: (r.nulls, r.non_nulls, r.distinct) for r in counts.null_profile(df, approx=approx).collect()}
+        assert got == {"x": (1, 2, 2), "s": (1, 2, 2)}
 
 
 def test_ordered_by_value_fast_path_equals_general(spark):
@@ -161,13 +187,10 @@ def test_ordered_by_value_fast_path_equals_general(spark):
     rows = [(rnd.choice([0, 0, 0, 1, 2, None]), rnd.choice(["b", "a", None, "c", "a"])) for _ in range(2000)]
     df = spark.createDataFrame(rows, "k int, v string")
     df2 = df.withColumn("o", F.col("v"))
-    for split in (1, 8):
-        fast = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l", split=split,
-                                                        hot_rows=300).collect()}
-        general = {r.k: r.l for r in grouping.ordered_list(df2, "k", "v", ["o"], alias="l", split=split,
-                                                           hot_rows=300).collect()}
-        assert fast == general
-        assert all(lst[:lst.count(None)] == [None] * lst.count(None) for lst in fast.values())
+    fast = {r.k: r.l for r in grouping.ordered_list(df, "k", "v", ["v"], alias="l").collect()}
+    general = {r.k: r.l for r in grouping.ordered_list(df2, "k", "v", ["o"], alias="l").collect()}
+    assert fast == general
+    assert all(lst[:lst.count(None)] == [None] * lst.count(None) for lst in fast.values())
 
 
 def test_guarded_lookup_above_broadcast_limit_shuffles(spark):
