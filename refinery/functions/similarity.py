@@ -1,11 +1,9 @@
 """normalised Indel similarity ``2*LCS(a, b) / (len(a) + len(b))``.
 
 This is not Levenshtein: substitutions cost 2.  The longest common subsequence
-is computed by the classic row-by-row dynamic programme written with Spark's
-higher-order functions (``aggregate`` over the characters of ``a``, an inner
-``aggregate`` building the next DP row), so it runs JVM-side with no UDF.
-Cost is O(len(a) * len(b)^2) array work per pair; callers block and prefilter
-candidates (see ``operators.resolve``) so it only runs on plausible pairs.
+is computed bit-parallel: one bit per character of ``a`` in a long word, and a
+few word operations per character of ``b``.  Strings too long for a word take
+the row-by-row dynamic programme.  Both are built-in expressions, no UDF.
 """
 
 from __future__ import annotations
@@ -14,10 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _sql(a: str, b: str) -> str:
-    # prev: DP row for the characters of ``a`` seen so far (length lb + 1).
+WORD = 62  # characters of ``a`` that fit a long, with room for the carry of the addition
+
+
+def _by_words(a: str, b: str) -> str:
+    """Bit i of ``v`` is 0 where character i of ``a`` ends one more common character than its left neighbour."""
+    chars = f"filter(split({a}, ''), x -> length(x) > 0)"
+    masks = (f"map_from_entries(transform(array_distinct({chars}), c -> struct(c, aggregate("
+             f"transform({chars}, (x, i) -> IF(x = c, shiftleft(1L, i), 0L)), 0L, (m, y) -> m | y))))")
+    full = f"(shiftleft(1L, length({a})) - 1L)"
+    hit = "(v & coalesce(try_element_at(m, c), 0L))"
+    run = f"aggregate(filter(split({b}, ''), x -> length(x) > 0), {full}, (v, c) -> ((v + {hit}) | (v - {hit})) & {full})"
+    return f"element_at(transform(array({masks}), m -> length({a}) - bit_count({run})), 1)"
+
+
+def _by_rows(a: str, b: str) -> str:
+    # prev: row for the characters of ``a`` seen so far (length lb + 1).
     # row:  the row being built; element j+1 (1-based) holds LCS(a[:i], b[:j]).
-    lcs = (
+    return (
         f"element_at(aggregate(split({a}, ''), "
         f"transform(sequence(0, length({b})), z -> 0), "
         f"(prev, ca) -> aggregate(sequence(1, length({b})), array(0), "
@@ -25,11 +37,15 @@ def _sql(a: str, b: str) -> str:
         f"THEN element_at(prev, j) + 1 "
         f"ELSE greatest(element_at(prev, j + 1), element_at(row, j)) END)))), -1)"
     )
+
+
+def _sql(a: str, b: str) -> str:
+    lcs = f"CASE WHEN length({a}) <= {WORD} THEN {_by_words(a, b)} ELSE {_by_rows(a, b)} END"
     return (
         f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN CAST(NULL AS DOUBLE) "
         f"WHEN length({a}) + length({b}) = 0 THEN 1.0D "
         f"WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0D "
-        f"ELSE 2.0D * {lcs} / (length({a}) + length({b})) END"
+        f"ELSE 2.0D * ({lcs}) / (length({a}) + length({b})) END"
     )
 
 

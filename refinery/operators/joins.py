@@ -1,8 +1,8 @@
 """Integration and lookup joins.
 
 Physical strategy is left to Catalyst/AQE except for dimensions: a dimension
-is broadcast only after its row count has been checked against
-``refinery.broadcast.maxRows``; above that it is joined by shuffle (and AQE's
+is broadcast only after its rows and bytes have been checked against
+``refinery.broadcast.maxRows`` and ``maxBytes``; above that it is joined by shuffle (and AQE's
 skew-join splitting handles a hot fact key on the streamed side).
 """
 
@@ -13,41 +13,46 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refinery.session import broadcast_row_limit
+from refinery.session import broadcast_byte_limit, broadcast_row_limit
 
 
 class FanOutError(ValueError):
     """A lookup join would multiply rows: the lookup key is not unique."""
 
 
+def measured_bytes(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of the values of ``df``, from one distributed aggregate."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast-hint ``df`` only when its row count is proven small.
+    """Broadcast-hint ``df`` only when its rows and bytes are proven small.
 
-    The count is one job over the dimension; above the limit the plain
+    The measure is one job over the dimension; above a limit the plain
     DataFrame is returned so the join shuffles instead (and AQE may still turn
-    it into a broadcast from the measured size at run time).
+    it into a broadcast from the measured size at run time).  Derived dimensions
+    should be checkpointed by the caller so the measure does not recompute them.
     """
-    limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
-    # A distributed count (partial counts merged), not limit(n).count(), which
-    # would funnel up to n rows through one partition.  Derived dimensions
-    # should be checkpointed by the caller so the count does not recompute them.
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
+    rows = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
+    n, size = measured_bytes(df)
+    return F.broadcast(df) if n <= rows and size <= broadcast_byte_limit(df.sparkSession) else df
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def assert_unique(df: DataFrame, key: str | Sequence[str], what: str = "lookup") -> None:
-    """Raise :class:`FanOutError` if any key value occurs twice (one aggregate job)."""
-    keys = _keys(key)
-    dup = (df.groupBy(*[F.col(f"`{k}`") for k in keys]).count().filter(F.col("count") > 1)
-           .limit(1).collect())
-    if dup:
-        raise FanOutError(f"{what}: key {keys} is not unique, e.g. {dup[0].asDict()}")
-
-
 def join_prefixed(left: DataFrame, right: DataFrame, left_key: str, right_key: str, prefix: str,
                   how: str = "inner") -> DataFrame:
     """Join ``right`` with every column prefixed; the right key is dropped.
@@ -80,16 +85,10 @@ def guarded_lookup(left: DataFrame, right: DataFrame, left_key: str | Sequence[s
     lkeys = _keys(left_key)
     rkeys = _keys(right_key) if right_key is not None else lkeys
     if check:
-        # One aggregate answers both questions: is the key unique, and how many rows.
-        stats = (right.groupBy(*[F.col(f"`{k}`") for k in rkeys]).count()
-                 .agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first())
-        if stats["mx"] is not None and stats["mx"] > 1:
-            raise FanOutError(f"lookup: key {rkeys} is not unique ({stats['mx']} rows share one key)")
-        n = stats["n"] or 0
-        small = n <= broadcast_row_limit(right.sparkSession)
-        r = F.broadcast(right) if broadcast and small else right
-    else:
-        r = checked_broadcast(right) if broadcast else right
+        most = right.groupBy(*[F.col(f"`{k}`") for k in rkeys]).count().agg(F.max("count")).first()[0]
+        if most is not None and most > 1:
+            raise FanOutError(f"lookup: key {rkeys} is not unique ({most} rows share one key)")
+    r = checked_broadcast(right) if broadcast else right
     if lkeys == rkeys:
         return left.join(r, lkeys, how)
     cond = [left[f"`{a}`"] == r[f"`{b}`"] for a, b in zip(lkeys, rkeys)]

@@ -17,7 +17,8 @@ multisets instead of all pairs within a block:
   (tokens = character + occurrence number).  Rare tokens go first, so common
   letters rarely meet in the join.
 
-So the join is an equi-join on ``(block, token)`` over short prefixes,
+Names that equal an alias are settled by an equi-join first.  For the others
+the join is an equi-join on ``(block, token)`` over short prefixes,
 followed by a length-band test, a Levenshtein prefilter (Levenshtein <= Indel
 distance), and the exact score.  Tested equal to brute force in
 ``tests/test_resolve.py``.
@@ -147,6 +148,17 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
         # Both distinct-name tables are read three times below; compute each once.
         q, d = cut_lineage(q), cut_lineage(d)
 
+    # Exact pass: a score of 1.0 cannot be beaten, so equal names need no candidates.
+    worst = F.lit(0.0) - F.coalesce(F.col("_prio"), F.lit(float("-inf")))
+    exact = (q.join(d, (F.col("_q") == F.col("_a")) & (q["_blk"] == d["_blk"])).groupBy("_qid")
+             .agg(F.min(F.struct(worst.alias("p"), F.col("_canon").alias("c"))).alias("_m"))
+             .select("_qid", F.col("_m.c").alias("match"), F.lit(1.0).alias("score")))
+    if materialize:
+        exact = cut_lineage(exact)
+    everyone, q = q, q.join(exact.select("_qid"), "_qid", "left_anti")
+    if materialize:
+        q = cut_lineage(q)
+
     # Global token order: rare first (document frequency over the dimension),
     # ties by token.  No ranking window: each string orders its own tokens by
     # (df, token), which is the same total order everywhere.
@@ -172,7 +184,7 @@ def fuzzy_best_match(queries: DataFrame, name_col: str, block_col: str, dim: Dat
            .agg(F.min(F.struct((F.lit(0.0) - F.col("_score")).alias("s"), neg_prio.alias("p"),
                                F.col("_canon").alias("c"))).alias("_m"))
            .select("_qid", F.col("_m.c").alias("match"), (F.lit(0.0) - F.col("_m.s")).alias("score")))
-    return (q.join(top, "_qid", "left")
+    return (everyone.join(exact.unionByName(top), "_qid", "left")
             .select(F.col("_raw").alias(name_col), F.col("_blk").alias(block_col), "match", "score"))
 
 

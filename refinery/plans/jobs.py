@@ -48,11 +48,11 @@ class IntegrateConfig:
     company_prefix: str = "COMPANY_"
     segmentation_cols: list[str] = field(default_factory=lambda: ["JOBID", "NAME", "VALUE", "LABEL", "TYPE",
                                                                   "SORTORDER"])
-    segmentation_prefix: str = "SEGMENTATIONDATA_"
+    segmentation_prefix: str = "SEGMENTATION_DATA_"
     occupation_cols: dict[str, str] = field(default_factory=lambda: {"JOBID": "JOBID", "PREFLABEL": "OCCUPATION"})
     skill_link: tuple[str, str] = ("SKILLID", "ID")
     lists: list[ListSource] = field(default_factory=lambda: [
-        ListSource("additional_skills", "JOBID", "PREFLABEL", "ADDITIONALSKILLS"),
+        ListSource("additional_skills", "JOBID", "PREFLABEL", "ADDITIONAL_SKILLS"),
         ListSource("job_tags", "JOBID", "TAG", "TAGS"),
         ListSource("skills", "JOBID", "PREFLABEL", "SKILLS"),
     ])
@@ -197,7 +197,7 @@ def clean_enrich(df: DataFrame, countries: DataFrame, city_alias_dim: DataFrame,
     mapping = cut_lineage(resolve.accepted_union(acc, rest, [cfg.city, cfg.country, "match"]))
     city_map = mapping.select(F.col(cfg.city).alias("old_name"), F.col(cfg.country).alias("country"),
                               F.col("match").alias("new_name"))
-    df = df.join(mapping.withColumnRenamed("match", "__city"), [cfg.city, cfg.country], "left")
+    df = df.join(joins.checked_broadcast(mapping.withColumnRenamed("match", "__city")), [cfg.city, cfg.country], "left")
     df = df.withColumn(cfg.city, F.col("__city")).drop("__city")
     df = tables.require_not_null(df, cfg.city)
     # City population (R7: join on the normalised name, same-name cities -> max population).

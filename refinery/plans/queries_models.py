@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from refinery.features import chain as C
@@ -16,12 +17,12 @@ from refinery.features import encoders as E
 from refinery.features.reduce import EmbeddingPCA, TextPCA
 from refinery.functions.numeric import literal_map_lookup
 from refinery.functions.text import parse_list_literal
+from refinery.operators.joins import checked_broadcast
 from refinery.operators.sample import seeded_sample
 from refinery.plans.profile import profile_long
 from refinery.plans import topics as TP
-from refinery.plans.queries import TABLE_NAMES, _r6, _t, combo_lists, register
+from refinery.plans.queries import _r6, _t, combo_lists, register
 from refinery.session import checkpoint_dir, cut_lineage, spread
-from refinery.sources.files import file_manifest, probe_schemas
 
 CHAIN_SPEC = [
     ("o_orderkey", "pass", {}),
@@ -40,7 +41,8 @@ def chain_input(spark, sf):
     o = _t(spark, sf, "orders")
     c = _t(spark, sf, "customer")
     n = _t(spark, sf, "nation").select("n_nationkey", "n_name")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(
+        checked_broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return j.select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_orderstatus", "o_totalprice", "c_acctbal",
                     F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "O")
                     .alias("is_open"),
@@ -128,6 +130,26 @@ def q_pca_embeddings(spark, sf):
     return out.select("vec_id", "label", *[_r6(F.col(c)).alias(c) for c in pcs])
 
 
+@register("pca_variance", """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+m AS (SELECT d, avg(v) AS mu, var_samp(v) AS s2 FROM x GROUP BY d)
+SELECT CAST(count(*) AS INTEGER) AS dims, round(sum(s2), 4) AS total_variance,
+       (SELECT count(DISTINCT vec_id) FROM x) AS vectors FROM m
+""")
+def q_pca_variance(spark, sf):
+    """All components together hold the variance of the vectors, whatever the rotation."""
+    emb = _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = EmbeddingPCA(column="embedding", threshold=1.0, n_components=_width(emb)).fit(emb).transform(emb)
+    pcs = [c for c in out.columns if c.startswith("embedding_PC")]
+    total = sum((F.var_samp(c) for c in pcs[1:]), F.var_samp(pcs[0]))
+    return out.agg(F.lit(len(pcs)).alias("dims"), F.round(total, 4).alias("total_variance"),
+                   F.count("*").alias("vectors"))
+
+
+def _width(emb):
+    return emb.select(F.size("embedding").alias("d")).first()["d"]
+
+
 @register("pca_2d")
 def q_pca_2d(spark, sf):
     """M4: two principal components (e.g. for plotting)."""
@@ -135,60 +157,90 @@ def q_pca_2d(spark, sf):
     return EmbeddingPCA(column="embedding", n_components=2).fit(emb).transform(emb)
 
 
-def _doc_features(spark, sf):
-    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    docs = docs.select("doc_id", TP.word_tokens("text").alias("tokens"))
-    cv = TP.fit_vocabulary(docs, "tokens", vocab_size=1 << 14, min_df=2.0)
-    return cv, cv.transform(docs).select("doc_id", "features")
+TOPIC_WEIGHTS = (("names", 1.0), ("brands", 0.5))
+FIT_KS = range(2, 6)
+SWEEP_KS = range(2, 51)
+
+
+def _item_terms(spark, sf):
+    """M6 input: what each customer bought, part names with weight 1 and brands with weight 0.5."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    parts = _t(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    bought = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+              .select("o_custkey", F.array("p_name").alias("names"), F.array("p_brand").alias("brands")))
+    return cut_lineage(TP.weighted_terms(bought, "o_custkey", TOPIC_WEIGHTS))
+
+
+def _item_vectors(spark, sf):
+    terms = _item_terms(spark, sf)
+    vocab = TP.vocabulary(terms)
+    return vocab, cut_lineage(TP.weighted_vectors(terms, "o_custkey", [w for _, w in TOPIC_WEIGHTS], vocab))
 
 
 def _fit_topics(spark, sf):
-    cv, feats = _doc_features(spark, sf)
-    sweep, models = TP.lda_sweep(feats, ks=[2, 3, 4, 5], max_iter=10, seed=42)
-    k = TP.best_k(sweep)
-    return cv, feats, sweep, models[k]
+    """M7-M9: sweep k over the customers' item vectors, then fit the best k on all of them."""
+    vocab, feats = _item_vectors(spark, sf)
+    return vocab, feats, TP.fit_lda(feats, TP.best_k(TP.lda_sweep(feats, FIT_KS)))
 
 
-@register("lda_topics")
+_ITEMS_SQL = """SELECT o_custkey, p_name AS term, 1.0 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT o_custkey, p_brand, 0.5 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN part ON l_partkey = p_partkey"""
+
+
+@register("item_vectors", f"""
+SELECT o_custkey, CAST(count(DISTINCT term) AS INTEGER) AS n_terms, round(sum(w), 6) AS total_weight
+FROM ({_ITEMS_SQL}) GROUP BY 1
+""")
+def q_item_vectors(spark, sf):
+    """M5 + M6: two weighted item lists as one count vector per customer, over the whole vocabulary."""
+    _, feats = _item_vectors(spark, sf)
+    v = F.col("v")
+    return feats.select("o_custkey", vector_to_array("features").alias("v")).select(
+        "o_custkey", F.size(F.filter(v, lambda x: x > 0)).alias("n_terms"),
+        _r6(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias("total_weight"))
+
+
+@register("lda_topics", f"""
+SELECT DISTINCT o_custkey, 1.0::DOUBLE AS topic_sum, true AS label_fits FROM ({_ITEMS_SQL})
+""")
 def q_lda_topics(spark, sf):
-    """M5 + M7 + M8 + M9 + M10: sweep k, keep the lowest perplexity, label each document."""
-    cv, feats, sweep, model = _fit_topics(spark, sf)
-    return TP.assign_topics(model, feats, "doc_id", min_share=0.3).select("doc_id", "dominant_topic", "topic_label")
+    """The topic distribution of each customer sums to one and its label follows from it."""
+    _, feats, model = _fit_topics(spark, sf)
+    t = TP.assign_topics(model, feats, "o_custkey", min_share=0.3)
+    share = F.get("topics", F.col("dominant_topic"))
+    fits = (share == F.array_max("topics")) & (F.col("topic_label") == F.when(share < 0.3, -1).otherwise(
+        F.col("dominant_topic")))
+    return t.select("o_custkey", F.round(F.aggregate("topics", F.lit(0.0), lambda a, x: a + x), 6).alias("topic_sum"),
+                    fits.alias("label_fits"))
 
 
 @register("topic_terms")
 def q_topic_terms(spark, sf):
     """Ten heaviest terms of each topic."""
-    cv, feats, sweep, model = _fit_topics(spark, sf)
-    return TP.top_terms(model, TP.vocabulary_frame(spark, cv), 10)
+    vocab, _, model = _fit_topics(spark, sf)
+    return TP.top_terms(model, TP.vocabulary_frame(spark, vocab), 10)
 
 
-@register("topic_sweep")
+@register("topic_sweep", "SELECT CAST(k AS INTEGER) AS k, true AS finite FROM range(2, 51) t(k)")
 def q_topic_sweep(spark, sf):
-    """M7: perplexity per candidate k."""
-    cv, feats = _doc_features(spark, sf)
-    sweep, _ = TP.lda_sweep(feats, ks=[2, 3, 4, 5], max_iter=10, seed=42)
-    return sweep
-
-
-@register("schema_probe", f"""
-SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column",
-  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-                 WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
-                 ELSE lower(data_type) END AS type,
-  CAST(NULL AS VARCHAR) AS error
-FROM information_schema.columns
-WHERE table_name IN ({", ".join(repr(t) for t in TABLE_NAMES)})
-""")
-def q_schema_probe(spark, sf):
-    """S3: columns and types of every table file, read from the file footers."""
-    return probe_schemas(spark, [(t, os.path.join(sf, f"{t}.parquet")) for t in TABLE_NAMES])
+    """M7: perplexity of every k from 2 to 50."""
+    _, feats = _item_vectors(spark, sf)
+    return TP.lda_sweep(feats, SWEEP_KS).select("k", (F.col("perplexity") < float("inf")).alias("finite"))
 
 
-@register("file_manifest")
-def q_file_manifest(spark, sf):
-    """S9 + S10: recursive listing filtered by extension, sorted."""
-    return file_manifest(spark, sf, extensions=[".PARQUET"]).select("name", "length")
+@register("topic_sizes", """
+SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS documents, 1.0::DOUBLE AS share
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+""")
+def q_topic_sizes(spark, sf):
+    """Documents per topic label; the counts and shares of all labels together cover every document."""
+    _, feats, model = _fit_topics(spark, sf)
+    sizes = TP.topic_sizes(TP.assign_topics(model, feats, "o_custkey", min_share=0.3))
+    return sizes.agg(F.sum("count").alias("documents"), F.round(F.sum("share"), 6).alias("share"))
 
 
 @register("sample_seeded", """
@@ -271,13 +323,6 @@ def q_text_pca(spark, sf):
     return out.select("doc_id", *[_r6(F.col(c)).alias(c) for c in pcs])
 
 
-@register("topic_sizes")
-def q_topic_sizes(spark, sf):
-    """Documents per topic label, raw and normalised."""
-    cv, feats, sweep, model = _fit_topics(spark, sf)
-    return TP.topic_sizes(TP.assign_topics(model, feats, "doc_id", min_share=0.3))
-
-
 _WB_TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^\\pL]+'), lambda t: length(t) > 0)"
 
 
@@ -291,8 +336,7 @@ def q_weighted_bow(spark, sf):
     """M5 + M6: counts of text tokens (weight 1.0) plus source tokens (weight 0.5) per document."""
     docs = spread(_t(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
     docs = docs.select("doc_id", TP.word_tokens("text").alias("a"), TP.word_tokens("source").alias("b"))
-    both = docs.select(F.concat("a", "b").alias("ab"))
-    cv = TP.fit_vocabulary(both, "ab", vocab_size=1 << 20, min_df=1.0)
-    cells = TP.weighted_cells(docs, "doc_id", [("a", 1.0), ("b", 0.5)], TP.vocabulary_frame(spark, cv))
-    return cells.select("doc_id", F.size("indices").alias("n_terms"),
-                        _r6(F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)).alias("total_weight"))
+    terms = TP.weighted_terms(docs, "doc_id", [("a", 1.0), ("b", 0.5)])
+    sums = terms.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), F.sum("weight").alias("w"))
+    return docs.select("doc_id").join(sums, "doc_id", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_terms"), _r6(F.coalesce("w", F.lit(0.0))).alias("total_weight"))

@@ -25,24 +25,12 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Suggested settings for a large cluster (applied by the cluster owner at
-# session build time; ``configure`` never overrides what a session sets).
-# Many initial shuffle partitions let AQE coalesce small ones and split
-# skewed ones; advisory sizes keep partitions well inside executor memory.
-SCALE_SETTINGS = {
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-}
-
-# Largest dimension (in rows) a job may broadcast.  A dimension above this size
+# Largest dimension (rows, bytes) a job may broadcast.  A dimension above either
 # is joined by shuffle instead; the check is done by ``operators.joins``.
 BROADCAST_ROW_LIMIT_KEY = "refinery.broadcast.maxRows"
 BROADCAST_ROW_LIMIT_DEFAULT = 2_000_000
+BROADCAST_BYTE_LIMIT_KEY = "refinery.broadcast.maxBytes"
+BROADCAST_BYTE_LIMIT_DEFAULT = 256 << 20
 
 
 def build_local(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "refinery",
@@ -108,6 +96,10 @@ def broadcast_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROW_LIMIT_KEY, str(BROADCAST_ROW_LIMIT_DEFAULT)))
 
 
+def broadcast_byte_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_BYTE_LIMIT_KEY, str(BROADCAST_BYTE_LIMIT_DEFAULT)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives lost executors).
 

@@ -36,7 +36,7 @@ def test_integrate_end_to_end(spark):
     assert set(rows) == {("1", 10.0), ("2", 5.0), ("2", 6.0)}
     r1 = rows[("1", 10.0)]
     assert r1.COMPANY_NAME == "Acme" and r1.SKILLS == ["Python", "SQL"] and r1.TAGS == [] and r1.OCCUPATION is None
-    assert r1.SEGMENTATIONDATA_VALUE == "v" and r1.ADDITIONALSKILLS == ["Git"]
+    assert r1.SEGMENTATION_DATA_VALUE == "v" and r1.ADDITIONAL_SKILLS == ["Git"]
     assert rows[("2", 6.0)].TAGS == ["a", "b"] and rows[("2", 6.0)].OCCUPATION == "Dev"
 
 

@@ -96,18 +96,21 @@ def test_profile_parts(spark):
 
 
 def test_weighted_counts_and_topics(spark):
-    docs = spark.createDataFrame([(1, ["python", "sql"], ["python"]), (2, ["java"], []), (3, [], None)],
+    docs = spark.createDataFrame([(1, ["python", "sql"], ["python"]), (2, ["java", None], []), (3, [], None)],
                                  "id int, a array<string>, b array<string>")
-    vocab = spark.createDataFrame([("python", 0), ("sql", 1), ("java", 2)], "term string, index int")
-    out = {r.id: r.features.toArray().tolist() for r in
-           TP.weighted_counts(docs, "id", [("a", 1.0), ("b", 0.5)], vocab, 3).collect()}
-    assert out == {1: [1.5, 1.0, 0.0], 2: [0.0, 0.0, 1.0], 3: [0.0, 0.0, 0.0]}
-    cv = TP.fixed_vocabulary(["python", "sql", "java"], "a")
-    feats = cv.transform(docs).select("id", "features")
-    sweep, models = TP.lda_sweep(feats, [2, 3], max_iter=5)
+    terms = TP.weighted_terms(docs, "id", [("a", 1.0), ("b", 0.5)])
+    vocab = TP.vocabulary(terms)
+    assert vocab == ["python", "java", "sql"]
+    feats = TP.weighted_vectors(terms, "id", [1.0, 0.5], vocab)
+    assert {r.id: r.features.toArray().tolist() for r in feats.collect()} == {1: [1.5, 0.0, 1.0], 2: [0.0, 1.0, 0.0]}
+    fixed = TP.weighted_vectors(terms, "id", [1.0, 0.5], ["sql"])
+    assert {r.id: r.features.toArray().tolist() for r in fixed.collect()} == {1: [1.0], 2: [0.0]}
+    sweep = TP.lda_sweep(feats, [2, 3], max_iter=5)
     k = TP.best_k(sweep)
-    assert k in (2, 3) and sweep.count() == 2
-    assigned = TP.assign_topics(models[k], feats, "id", min_share=0.99)
+    assert k in (2, 3) and sweep.count() == 2 and not feats.is_cached
+    model = TP.fit_lda(feats, k, max_iter=5)
+    assert model.estimatedDocConcentration().size == k
+    assigned = TP.assign_topics(model, feats, "id", min_share=0.99)
     assert set(r.topic_label for r in assigned.collect()) <= set(range(k)) | {-1}
-    terms = TP.top_terms(models[k], TP.vocabulary_frame(spark, cv), 2)
-    assert terms.count() == 2 * k
+    assert TP.topic_sizes(assigned).agg({"count": "sum"}).first()[0] == 2
+    assert TP.top_terms(model, TP.vocabulary_frame(spark, vocab), 2).count() == 2 * k
