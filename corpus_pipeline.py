@@ -41,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
-    return packing.pack_documents(docs, tokenizer_file())
+    # executors also hold what the stages before left in memory
+    return packing.pack_documents(docs, tokenizer_file(), texts_per_call=256, words_kept=50_000)
 
 
 STAGES = [

@@ -29,7 +29,6 @@ Defined results
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -40,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
-from .tokens import ID_BYTES, encoder
+from .tokens import ID_BYTES, encoder, release_memory
 
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 64
 SMALL = 1 / 8  # lengths up to this share of the capacity are small
 SHARE = 0.75  # of the configurations that is used; the rounding's excess is in the rest
-SLICE = 50_000  # pieces of one length ranked together
+SLICE = 10_000  # pieces of one length ranked together
 
 
 # --- the plan, on counts -------------------------------------------------------------------------
@@ -204,18 +203,22 @@ def plan_places(runs: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...
 # --- the pieces, in Spark ------------------------------------------------------------------------
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
-                    capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of every piece; ids as little-endian uint32 bytes."""
+                    capacity: int = CAPACITY, end_id: int = END_ID, texts_per_call: int = 2048,
+                    words_kept: int = 200_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids) of every piece; ids as little-endian uint32 bytes.
+
+    ``texts_per_call`` and ``words_kept`` trade a worker's memory for time; they do not change the result.
+    """
     end = int(end_id).to_bytes(ID_BYTES, "little")
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer_path)
+        tok = encoder(tokenizer_path, words_kept)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, texts_per_call):
+                part = batch.slice(at, texts_per_call)
                 owner, piece, start, ids = [], [], [], []
-                for k, one in enumerate(tok.encode(part.column(1).to_pylist())):
+                for k, one in enumerate(tok.encode(part.column(1))):
                     one += end
                     n = len(one) // ID_BYTES
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -229,6 +232,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                     [part.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"])
+        release_memory()
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -240,7 +244,6 @@ def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY,
                  small: float = SMALL) -> DataFrame:
     """``pieces`` (any columns next to doc_id, piece, length) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
     length, first, sequence, copies, offset = plan_places(plan_packing(histogram, capacity, groups, small))
     key = length * np.int64(1 << 48) + first
 
@@ -251,8 +254,9 @@ def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY,
         into, spot = np.divmod(rank - first[k], copies[k])
         return pd.DataFrame({"sequence_id": sequence[k] + into, "offset": offset[k] + spot * n})
 
-    slices = max(1, math.ceil(total / SLICE))
-    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    # only lengths with many pieces are sliced, so there are few slices in all
+    slices = F.array(*[F.lit(max(1, -(-histogram.get(n, 0) // SLICE))) for n in range(capacity + 1)])
+    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (salted.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
               .select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
@@ -264,11 +268,14 @@ def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY,
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, small: float = SMALL,
-                   carry: Mapping[str, Column] | None = None) -> DataFrame:
-    """Every piece with its place.  ``carry``: columns to take along instead of the ids themselves."""
+                   carry: Mapping[str, Column] | None = None, **memory: int) -> DataFrame:
+    """Every piece with its place.
+
+    ``carry``: columns to take along instead of the ids themselves; ``memory``: see ``tokenize_pieces``.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
     carry = {"ids": F.col("ids")} if carry is None else carry
-    pieces = tokenize_pieces(docs, tokenizer_path, id_col, text, capacity, end_id)
+    pieces = tokenize_pieces(docs, tokenizer_path, id_col, text, capacity, end_id, **memory)
     kept = scratch.table(pieces.select("doc_id", "piece", "start", "length",
                                        *[c.alias(name) for name, c in carry.items()]), "pieces")
     return place_pieces(kept, scratch, capacity, groups, small)
