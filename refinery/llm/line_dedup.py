@@ -102,9 +102,14 @@ def _positions(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataF
             .withColumn("pos", F.monotonically_increasing_id()))
 
 
-def _ranked(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """Rows whose keys occur twice or more, with the first position of the class as ``rank``."""
-    named = rows.groupBy(*keys).agg(F.min("pos").alias("rank"), F.count("*").alias("n")).filter("n > 1").drop("n")
+def _ranked(rows: DataFrame, keys: list[str], keep: list[str], scratch: Scratch) -> DataFrame:
+    """Rows whose keys occur twice or more, with the first position of the class as ``rank``.
+
+    The classes are written first: the join then meets two plain exchanges, and
+    a class of very many rows (a line that a third of the corpus repeats) can be split.
+    """
+    named = scratch.table(rows.groupBy(*keys).agg(F.min("pos").alias("rank"), F.count("*").alias("n"))
+                          .filter("n > 1").drop("n"), "classes")
     return rows.join(named, keys).select(*keep, "rank")
 
 
@@ -113,7 +118,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     """(doc_id, h1, h2, line_nos) of the lines that are later copies; h1, h2: the two hashes of the text."""
     lines = scratch.table(_positions(docs, id_col, text, min_words), "lines")
     level = scratch.table(_ranked(lines.select("pos", "hi", "lo", "ahead", "back", "rest"), ["hi", "lo"],
-                                  ["pos", "ahead", "back", "rest"]), "ranks")
+                                  ["pos", "ahead", "back", "rest"], scratch), "ranks")
     blocks = scratch.table(
         level.filter("ahead > 0").select(F.col("pos").alias("start"), F.col("ahead").alias("m")).union(
             level.filter("back > 0").select(F.col("pos") - F.col("back") + 1, "back")).distinct(), "blocks")
@@ -127,14 +132,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                  .withColumn("tail", F.col("start") + F.col("m") - size)
                  .join(rank.select(F.col("pos").alias("tail"), F.col("rank").alias("r2")), "tail")
                  .select("m", "r1", "r2", F.col("start").alias("pos")))
-        copies = _ranked(pairs, ["m", "r1", "r2"], ["pos", "m"]).filter("rank < pos")
+        pairs = scratch.table(pairs, "pairs")
+        copies = _ranked(pairs, ["m", "r1", "r2"], ["pos", "m"], scratch).filter("rank < pos")
         found.append(scratch.table(copies.select(
             F.explode(F.sequence("pos", F.col("pos") + F.col("m") - 1)).alias("pos")).distinct(), "copies"))
         if 2 * size <= longest:
             after = rank.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("r2"))
             doubled = (level.filter(F.col("rest") >= 2 * size - 1).withColumnRenamed("rank", "r1")
                        .join(after, "pos"))
-            following = scratch.table(_ranked(doubled, ["r1", "r2"], ["pos", "ahead", "back", "rest"]), "ranks")
+            doubled = scratch.table(doubled, "doubled")
+            following = scratch.table(_ranked(doubled, ["r1", "r2"], ["pos", "ahead", "back", "rest"], scratch), "ranks")
             scratch.drop(level)
             level = following
         size *= 2
