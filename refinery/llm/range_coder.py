@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 LANES = 1024  # blocks coded together; bounds the memory of a task
-REFRESH = (64, 256, 1024, 2048, 3072)
-TABLE_BITS = 12
+REFRESH = (64, 256, 1024)
+TABLE_BITS = 11
 LEVELS = 16  # of confidence
 PRIOR_BITS = 20
 CLASS_BITS = 24
@@ -105,7 +105,7 @@ class _History:
         self.n, self.sorted = n, np.sort(ids[:, :n], axis=1)
         change = np.ones((ids.shape[0], n + 1), bool)
         change[:, 1:n] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        place = np.arange(n + 1)
+        place = np.arange(n + 1, dtype=np.int32)
         self.first = np.maximum.accumulate(np.where(change[:, :n], place[:n], 0), axis=1)
         self.end = np.minimum.accumulate(np.where(change[:, 1:], place[1:], n)[:, ::-1], axis=1)[:, ::-1]
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import range_coder
 from .common import Scratch, open_folder
-from .tokens import ID_BYTES, encoder
+from .tokens import ID_BYTES, encoder, release_memory
 
 MAGIC = b"TOKIDS1\n"
 _BLOCK, _FOOTER, _HEADER = "<III", "<QQIQ8s", "<8sI"
@@ -66,10 +66,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 if some.num_rows and out is None:
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(struct.pack(_HEADER, MAGIC, vocabulary))
                 owners.append(some.column(0))
-                for one in tok.encode(some.column(1).to_pylist()):
+                for one in tok.encode(some.column(1)):
                     counts.append(len(one) // ID_BYTES + 1)
                     held += (one, end)
                     n += len(one) + ID_BYTES
@@ -96,6 +96,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([name]), pa.array([len(counts)], pa.int64()),
              pa.array([sum(counts)], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
+        release_memory()
 
     order = [F.col(id_col).asc_nulls_last(), F.xxhash64(text)]
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
