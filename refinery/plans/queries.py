@@ -576,4 +576,4 @@ def q_two_column_bins(spark, sf):
 
 
 # Further query families register themselves on import.
-from refinery.plans import queries_encoding, queries_models, queries_resolution  # noqa: E402,F401
+from refinery.plans import queries_encoding, queries_hygiene, queries_models, queries_resolution  # noqa: E402,F401
