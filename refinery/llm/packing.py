@@ -203,8 +203,8 @@ def plan_places(runs: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...
 # --- the pieces, in Spark ------------------------------------------------------------------------
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
-                    capacity: int = CAPACITY, end_id: int = END_ID, texts_per_call: int = 2048,
-                    words_kept: int = 200_000) -> DataFrame:
+                    capacity: int = CAPACITY, end_id: int = END_ID, texts_per_call: int = 4096,
+                    words_kept: int = 300_000) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every piece; ids as little-endian uint32 bytes.
 
     ``texts_per_call`` and ``words_kept`` trade a worker's memory for time; they do not change the result.

@@ -23,6 +23,7 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = re.compile(r"\s")
 _BEFORE_MARKS = r"^(?s:.*)[^!-/:-@\[-`{-~]"  # up to the last character that is no ASCII punctuation
 _GROUP = 256
+CALL_BYTES = 64 << 20  # of text handled at once, unless one text is longer
 
 
 class ChunkEncoder:
@@ -120,7 +121,7 @@ class ChunkEncoder:
         first = np.zeros(n, bool)
         first[word_at[:-1]] = True
         # every word is two items: itself, or its letters and the marks behind them, each a piece of its own
-        start, size = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        start, size = np.zeros((n, 2), np.int32), np.zeros((n, 2), np.int32)
         pool, filled, bad = [self.feed_bytes], len(self.feed_bytes), np.zeros(n, bool)
 
         def put(found: list[bytes], code: np.ndarray, where: np.ndarray, column: int) -> None:
@@ -148,12 +149,15 @@ class ChunkEncoder:
         doc_of_line = np.repeat(np.arange(d), np.diff(line_at))
         place = 2 * np.arange(n) + np.repeat(np.arange(len(per_line)) - doc_of_line, per_line)
         items = 2 * n + len(per_line) - d
-        starts, sizes = np.zeros(items, np.int64), np.full(items, len(self.feed_bytes))
+        starts, sizes = np.zeros(items, np.int32), np.full(items, len(self.feed_bytes), np.int32)
         for column in (0, 1):
             starts[place + column], sizes[place + column] = start[:, column], size[:, column]
         starts, sizes = starts // ID_BYTES, sizes // ID_BYTES
-        ends = np.cumsum(sizes)
-        ids = np.frombuffer(b"".join(pool), "<u4")[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if items else 0)]
+        del start, size, place
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(starts - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(pool), "<u4")[at]
         item_at = 2 * word_at[line_at] + line_at - np.arange(d + 1)  # items before each text
         item_at[-1] = items
         at = np.concatenate([[0], ends])[item_at]
@@ -170,6 +174,9 @@ class ChunkEncoder:
         column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
         if not len(column):
             return []
+        if column.nbytes > CALL_BYTES and len(column) > 1:
+            half = len(column) // 2
+            return self.encode(column.slice(0, half)) + self.encode(column.slice(half))
         ids, at = self.encode_column(column)
         return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
