@@ -136,6 +136,7 @@ class EnrichConfig:
     city_overrides: dict[str, str] = field(default_factory=dict)
     fuzzy_threshold: float = 0.80
     accept_threshold: float = 0.88
+    require_state: bool = False  # true: a row without a state never gets an agglomeration
     flags: list[str] = field(default_factory=list)
     target: str | None = "WH_TOTALCHARGE"
     remove_columns: list[str] = field(default_factory=list)
@@ -209,7 +210,8 @@ def clean_enrich(df: DataFrame, countries: DataFrame, city_alias_dim: DataFrame,
         res = agglomerations.select(F.col("city").alias("c"), F.col("state").alias("s"), F.col("country").alias("k"),
                                     "agglomeration")
         agg = resolve.fallback_resolve(trip, [cfg.city, cfg.state, cfg.country], res, ["c", "s", "k"],
-                                       answer_col="agglomeration", out_col="CITY_AGGLOMERATION", null_safe=[cfg.state])
+                                       answer_col="agglomeration", out_col="CITY_AGGLOMERATION",
+                                       null_safe=[] if cfg.require_state else [cfg.state])
         cond = [df[cfg.city] == agg[cfg.city], df[cfg.state].eqNullSafe(agg[cfg.state]),
                 df[cfg.country] == agg[cfg.country]]
         df = df.join(agg, cond, "left").drop(agg[cfg.city]).drop(agg[cfg.state]).drop(agg[cfg.country])

@@ -76,6 +76,12 @@ def test_clean_enrich_and_featurize(spark):
     assert (a.BUDGET_MIN, a.BUDGET_MAX, b.BUDGET_MIN, b.BUDGET_MAX) == (100.0, 100.0, 10.0, 20.0)
     assert a.PREMIUM is True and b.PREMIUM is False and b.COMPANY_CITY == "Munchen"
     assert city_map.count() == 2
+    anywhere = spark.createDataFrame([("Munchen", None, "DEU", "munich metro")],
+                                     "city string, state string, country string, agglomeration string")
+    for require, want in ((False, "Munich Metro"), (True, None)):
+        cfg = jobs.EnrichConfig(flags=["PREMIUM"], require_state=require)
+        again, _ = jobs.clean_enrich(df, countries, dim, gdp=gdp, agglomerations=anywhere, cfg=cfg)
+        assert {r.ID: r.CITY_AGGLOMERATION for r in again.collect()}["2"] == want
     spec = [("ID", "pass", {}), ("JOBTYPE", "onehot", {}), ("WH_TOTALCHARGE", "numeric", {}),
             ("PREMIUM", "boolean", {}), ("COMPANY_CITY", "frequency", {})]
     model, feats = jobs.featurize(clean, spec)

@@ -52,6 +52,10 @@ def test_ordered_list_keeps_nulls_duplicates_and_order(spark):
     df = spark.createDataFrame(rows, "k int, o int, v string")
     got = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", ["o"], alias="vals").collect()}
     assert got == {1: ["a", None, "c", "a"], 2: ["z"]}
+    for order in (["o"], ["v"]):
+        kept = {r.k: r.vals for r in grouping.ordered_list(df, "k", "v", order, alias="vals",
+                                                           null_items="drop").collect()}
+        assert {k: sorted(v) for k, v in kept.items()} == {1: ["a", "a", "c"], 2: ["z"]}
 
 
 def test_guarded_lookup_raises_on_fan_out(spark):
