@@ -1,7 +1,10 @@
 """License scans: phrases in place, and an exact set-similarity join against notice templates.
 
-A text block is one line.  A template labels a block when the block holds at
-least ``threshold`` of the template's distinct words.  The join is exact:
+A text block is a line, or a run of words that crosses line breaks: for a
+template of n words every run of ``RUN`` x n words of a text is a block, so a
+notice that wraps is found wherever its lines end.  A template labels a block
+when the block holds at least ``threshold`` of the template's distinct words.
+The join is exact:
 
   1. one pass counts how often each template word occurs in the whole corpus;
      words are ordered by that count, rarest first;
@@ -13,6 +16,10 @@ least ``threshold`` of the template's distinct words.  The join is exact:
      words; pairs below k go (positional filter);
   4. what is left is verified by counting the common words.
 
+Runs need no list of their own: a matching one holds a word of the template's
+prefix, so only the words around each such word are looked at, filtered by the
+same bounds and verified run by run.  A text of one line has no further runs.
+
 The driver sees the word counts of the template vocabulary only, whose size
 the template list fixes.
 
@@ -54,6 +61,8 @@ TEMPLATES = {
     "public-domain": "released into the public domain",
 }
 THRESHOLD = 0.9
+#: Words of a run that crosses line breaks, for each word of the template.
+RUN = 2
 
 
 def _words(text: Column) -> Column:
@@ -115,10 +124,9 @@ def _values(spark: SparkSession, names: str, rows: list[str]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({names})")
 
 
-def license_blocks(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
-                   templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (row, line) that reaches a template: the ``keep`` columns, line number, line, label, containment."""
-    spark = docs.sparkSession
+def _sides(docs: DataFrame, text: str, templates: Mapping[str, str],
+           threshold: float) -> tuple[list[str], list[str], DataFrame]:
+    """Template words rarest first, the words of all prefixes, and a row per template and prefix word."""
     sets = {label: sorted(set(t.split())) for label, t in templates.items()}
     vocabulary = sorted(set().union(*sets.values()))
     counts = word_counts(docs, vocabulary, text)
@@ -131,25 +139,73 @@ def license_blocks(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
         quoted = ", ".join(f"'{w}'" for w in ordered)
         for i, w in enumerate(ordered[:len(ordered) - need + 1]):
             prefix.add(w)
-            rows.append(f"('{label}', '{w}', {i}, {need}, array({quoted}))")
-    sides = _values(spark, "t_label, t_word, t_pos, t_need, t_words", rows)
+            rows.append(f"('{label}', '{w}', {i}, {need}, {RUN * len(templates[label].split())}, array({quoted}))")
+    return order, sorted(prefix), _values(docs.sparkSession, "t_label, t_word, t_pos, t_need, t_run, t_words", rows)
+
+
+def _reach(size: Column, pos: Column) -> Column:
+    """Whether a block of ``size`` template words that shares the one at ``pos`` can hold enough of them."""
+    rest = F.least(F.size("t_words") - F.col("t_pos") - 1, size - pos - 1)
+    return (size >= F.col("t_need")) & (F.least(F.col("t_pos"), pos) + 1 + rest >= F.col("t_need"))
 
+
+def _line_matches(docs: DataFrame, keep: tuple[str, ...], text: str, order: list[str], prefix: list[str],
+                  sides: DataFrame) -> DataFrame:
     low = F.lower(F.col("_line"))
     literal = F.array(*[F.lit(w) for w in order])
     blocks = (docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
                           .alias("_line_no", "_line"))
-              .filter(F.arrays_overlap(F.split(low, SEPARATORS), F.array(*[F.lit(w) for w in sorted(prefix)]))))
+              .filter(F.arrays_overlap(F.split(low, SEPARATORS), F.array(*[F.lit(w) for w in prefix]))))
     # the block's template words in global order (the literal is in that order, and so is the intersection)
     blocks = blocks.withColumn("_set", F.array_intersect(literal, F.split(ascii_lower(F.col("_line")), SEPARATORS)))
     tokens = blocks.select("*", F.posexplode("_set").alias("_pos", "_word"))
-    size, n = F.size("_set"), F.size("t_words")
-    bound = F.least("t_pos", "_pos") + 1 + F.least(n - F.col("t_pos") - 1, size - F.col("_pos") - 1)
     common = F.size(F.array_intersect("t_words", "_set"))
-    pairs = tokens.join(F.broadcast(sides), (F.col("_word") == F.col("t_word")) & (size >= F.col("t_need"))
-                        & (bound >= F.col("t_need")))
+    pairs = tokens.join(F.broadcast(sides), (F.col("_word") == F.col("t_word")) & _reach(F.size("_set"), F.col("_pos")))
     return (pairs.filter(common >= F.col("t_need"))
             .select(*keep, F.col("_line_no").alias("line_no"), F.col("_line").alias("line"),
-                    F.col("t_label").alias("label"), (common / n).alias("containment")))
+                    F.col("t_label").alias("label"), (common / F.size("t_words")).alias("containment")))
+
+
+def _run_matches(docs: DataFrame, keep: tuple[str, ...], text: str, order: list[str], prefix: list[str],
+                 sides: DataFrame, longest: int) -> DataFrame:
+    """Runs over line breaks around every prefix word: the best one of each word and template, without a line number."""
+    literal, rare = F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(w) for w in prefix])
+    worded = (docs.filter(F.col(text).contains("\n"))
+              .filter(F.arrays_overlap(F.split(F.lower(F.col(text)), SEPARATORS), rare))
+              .select(*keep, _words(ascii_lower(F.col(text))).alias("_w")))
+
+    def around(w: Column) -> Column:
+        first = lambda i: F.greatest(i - longest + 1, F.lit(0))
+        return F.filter(F.transform(w, lambda x, i: F.when(x.isin(prefix), F.struct(
+            x.alias("word"), (i - first(i)).alias("at"),
+            F.slice(w, first(i) + 1, i - first(i) + longest).alias("near")))), lambda x: x.isNotNull())
+
+    near = worded.select(*keep, F.explode(around(F.col("_w"))).alias("_hit")).select(*keep, "_hit.*")
+    pairs = near.join(F.broadcast(sides), F.col("word") == F.col("t_word"))
+    # the words that any run of this template through the hit can hold
+    first = F.greatest(F.col("at") - F.col("t_run") + 1, F.lit(0))
+    pairs = pairs.withColumn("_span", F.slice("near", first + 1, F.col("at") - first + F.col("t_run")))
+    pairs = pairs.withColumn("_set", F.array_intersect(literal, F.col("_span")))
+    pairs = pairs.filter(_reach(F.size("_set"), F.array_position("_set", F.col("word")).cast("int") - 1)
+                         & (F.size(F.array_intersect("t_words", "_set")) >= F.col("t_need")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_span") - F.col("t_run") + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: let(F.slice("_span", i, F.col("t_run")), lambda r: F.struct(
+        F.size(F.array_intersect("t_words", r)).alias("n"), F.array_join(r, " ").alias("words"))))
+    best = pairs.withColumn("_best", F.array_max(runs)).filter(F.col("_best.n") >= F.col("t_need"))
+    return best.select(*keep, F.lit(None).cast("int").alias("line_no"), F.col("_best.words").alias("line"),
+                       F.col("t_label").alias("label"), (F.col("_best.n") / F.size("t_words")).alias("containment"))
+
+
+def license_blocks(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
+                   templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Blocks that reach a template: the ``keep`` columns, line number, line, label, containment.
+
+    Every such line is there; a run over line breaks has a null line number and its words as the line.
+    """
+    order, prefix, sides = _sides(docs, text, templates, threshold)
+    longest = max(RUN * len(t.split()) for t in templates.values())
+    return (_line_matches(docs, keep, text, order, prefix, sides)
+            .unionByName(_run_matches(docs, keep, text, order, prefix, sides, longest)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",

@@ -46,6 +46,54 @@ def test_license_places_and_labels(spark, docs, corpus, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+WRAPPED = {
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and "
+    "associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted "
+    "provided that the following conditions\r\n * are met:",
+    "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of "
+    "the MPL was not distributed with this\n# file, You can obtain one at",
+    "mit": "Released\nunder\nthe\nMIT\nlicense",
+}
+
+
+def test_wrapped_notices(spark):
+    filler = "\n".join(f"line {i} of some other text" for i in range(40))
+    texts = [f"{filler}\n{t}\n{filler}" for t in WRAPPED.values()]
+    # the words of a notice, but further apart than a run
+    texts.append("\n".join(f"{w} {'other ' * 12}" for w in "released under the mit license".split()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(rows).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert got[i][0] == label and got[i][1] >= licenses.THRESHOLD
+    assert got[len(WRAPPED)] == ("", 0.0)
+
+
+def test_runs_match_brute_force(spark):
+    rng = random.Random(3)
+    pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["other", "word"]
+    texts = []
+    for _ in range(60):
+        w = rng.choice(list(licenses.TEMPLATES.values())).split()
+        for _ in range(rng.randint(0, len(w) + 2)):
+            w.insert(rng.randint(0, len(w)), rng.choice(pool))
+        w = [rng.choice(pool) for _ in range(rng.randint(0, 20))] + w + [rng.choice(pool) for _ in range(20)]
+        texts.append("".join(x + rng.choice("  \n") for x in w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in licenses.license_blocks(rows, ("doc_id",)).collect():
+        got[r.doc_id, r.label] = max(r.containment, got.get((r.doc_id, r.label), 0))
+    want = {}
+    for i, t in enumerate(texts):
+        for label, notice in licenses.TEMPLATES.items():
+            n, need, w = licenses.RUN * len(notice.split()), set(notice.split()), t.split()
+            blocks = [x.split() for x in t.split("\n")] + [w[k:k + n] for k in range(max(len(w) - n, 0) + 1)]
+            share = max(len(need & set(b)) / len(need) for b in blocks)
+            if share >= licenses.THRESHOLD - 1e-9:
+                want[i, label] = share
+    assert got == pytest.approx(want) and len(want) > 20
+
+
 # --- secrets
 
 def test_secret_spans(spark, docs, corpus, no_docs):
