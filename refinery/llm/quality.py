@@ -9,6 +9,11 @@ Defined results
   - null, empty or blank text: all counts 0, ``base_failed`` true, not kept;
   - very long text: every step is linear or n log n in the words of that text;
   - repeated rows are judged one by one; an empty table gives an empty result;
+  - the stop-word ratio is asked of texts whose ``lang`` value names a language
+    with a list; other languages, a null one and a table without that column
+    are not asked.  Stop words count in any letter case;
+  - the word length is not asked of texts of which a quarter or more is in words
+    of scripts that set no blanks between words (Chinese, Japanese, Thai ...);
   - other columns, whatever their names, are neither read nor changed.
 """
 
@@ -32,23 +37,39 @@ STOP_WORDS = tuple(
     "ist it la las le les los mit nicht not of on or para pas por pour que qui se sich sur that the this to "
     "un una und une von was with y zu".split())
 
+#: Values of ``lang`` (before any region or script) whose function words are in the list.
+LISTED = ("en", "eng", "fr", "fra", "fre", "es", "spa", "de", "deu", "ger")
+
+#: Letters of scripts without blanks between words: Thai to Myanmar, Khmer, Tai, Balinese, Javanese, Han, Kana, Yi.
+UNSPACED = ("[\\x{0E00}-\\x{109F}\\x{1780}-\\x{17FF}\\x{1950}-\\x{19FF}\\x{1A20}-\\x{1AAF}\\x{1B00}-\\x{1B7F}"
+            "\\x{2E80}-\\x{2FDF}\\x{3005}-\\x{3007}\\x{3040}-\\x{312F}\\x{31A0}-\\x{31FF}\\x{3400}-\\x{4DBF}"
+            "\\x{4E00}-\\x{A4CF}\\x{A980}-\\x{A9DF}\\x{F900}-\\x{FAFF}\\x{FF66}-\\x{FF9F}\\x{20000}-\\x{3FFFF}]")
+_MAYBE_UNSPACED = "[\\x{0E00}-\\x{10FFFF}]"
+UNSPACED_SHARE = 0.25
+
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a text when ``low <= metric <= high``; ask only from ``min_words`` words on."""
+    """Keep a text when ``low <= metric <= high``.
+
+    Ask only from ``min_words`` words on, only of the ``languages`` named (all
+    if none are), and with ``spaced`` only of texts with blanks between words.
+    """
 
     metric: str
     low: float
     high: float
     min_words: int = 0
+    languages: tuple[str, ...] = ()
+    spaced: bool = False
 
 
 #: The threshold table.  Ratios are per word, or per line with a word.
 THRESHOLDS = (
     Rule("n_words", MIN_WORDS, 100_000_000),
-    Rule("mean_word_chars", 2.0, 14.0),
+    Rule("mean_word_chars", 2.0, 14.0, spaced=True),
     Rule("symbol_ratio", 0.0, 0.1),
-    Rule("stop_word_ratio", 0.04, 1.0, min_words=30),
+    Rule("stop_word_ratio", 0.04, 1.0, min_words=30, languages=LISTED),
     Rule("dup_line_ratio", 0.0, 0.5, min_words=30),
     Rule("ellipsis_line_ratio", 0.0, 0.5, min_words=30),
 )
@@ -93,12 +114,17 @@ def metrics(text: Column) -> Column:
         chars = F.char_length(F.regexp_replace(text, BLANK_RUN, "")).cast("long")
         symbols = F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long")
         dup = (F.size(ln) - F.size(F.array_distinct(ln))).cast("long")
-        stop = F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long")
+        stop = F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long")
+        # most texts have no letter this high, and ASCII ones are known by their size
+        unspaced = F.when((F.octet_length(text) > F.char_length(text)) & text.rlike(_MAYBE_UNSPACED), F.aggregate(
+            F.filter(w, lambda x: x.rlike(UNSPACED)), F.lit(0).cast("long"),
+            lambda a, x: a + F.char_length(x))).otherwise(F.lit(0).cast("long"))
         dots = F.size(F.filter(ln, lambda x: F.rtrim(x).endswith("..."))).cast("long")
         return F.struct(
             n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"),
             _repeat_words(w).alias("n_repeat_words"), stop.alias("n_stop_words"),
-            F.size(ln).cast("long").alias("n_lines"), dots.alias("n_ellipsis_lines"))
+            F.size(ln).cast("long").alias("n_lines"), dots.alias("n_ellipsis_lines"),
+            unspaced.alias("n_unspaced_chars"))
 
     return let(words_of(text), lambda w: let(lines, lambda ln: build(w, ln)))
 
@@ -122,31 +148,51 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def verdict(m: Column, rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
+def _language(docs: DataFrame, lang: str) -> Column:
+    """The first part of a language tag in lower case; null where the table has no such column."""
+    name = next((c for c in docs.columns if c.lower() == lang.lower()), None)
+    return F.lit(None).cast("string") if name is None else F.lower(
+        F.split(F.btrim(F.col(f"`{name}`").cast("string")), "[-_]")[0])
+
+
+def verdict(m: Column, rules: tuple[Rule, ...] = THRESHOLDS, language: Column | None = None) -> Column:
     """The threshold table as one Boolean column (the base rules included)."""
     value, ok = ratios(m), ~base_failed(m)
+    language = F.lit(None).cast("string") if language is None else language
     for r in rules:
-        inside = value[r.metric].between(r.low, r.high)
-        ok = ok & (inside if not r.min_words else (m["n_words"] < r.min_words) | inside)
+        good = value[r.metric].between(r.low, r.high)
+        if r.min_words:
+            good = (m["n_words"] < r.min_words) | good
+        if r.languages:
+            good = ~F.coalesce(language.isin(*r.languages), F.lit(False)) | good
+        if r.spaced:
+            good = (_per(m["n_unspaced_chars"], m["word_chars"]) >= UNSPACED_SHARE) | good
+        ok = ok & good
     return ok
 
 
 def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-                    rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+                    rules: tuple[Rule, ...] = THRESHOLDS, lang: str = "lang") -> DataFrame:
     """Metrics, ``base_failed`` and ``kept`` of every row, next to the ``keep`` columns."""
+    language = _language(docs, lang)
     scored = docs.select(*keep, let(metrics(F.col(text)), lambda x: F.struct(
-        x.alias("m"), base_failed(x).alias("base_failed"), verdict(x, rules).alias("kept"))).alias("v"))
+        x.alias("m"), base_failed(x).alias("base_failed"), verdict(x, rules, language).alias("kept"))).alias("v"))
     return scored.select(*keep, F.col("v.m").alias("m"), "v.base_failed", "v.kept").select(
         *keep, "m.*", "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS,
+                     lang: str = "lang") -> DataFrame:
     """The rows whose text the rules keep, all columns unchanged."""
-    return docs.filter(let(metrics(F.col(text)), lambda m: verdict(m, rules)))
+    language = _language(docs, lang)
+    return docs.filter(let(metrics(F.col(text)), lambda m: verdict(m, rules, language)))
 
 
 def kept_sql(rules: tuple[Rule, ...] = THRESHOLDS) -> str:
-    """The same verdict as SQL over the metric columns (for the oracle)."""
+    """The verdict as SQL over the metric columns (for the oracle), every rule asked of every text.
+
+    It equals ``verdict`` on texts of listed languages with blanks between words.
+    """
     per = lambda a, b: f"(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0 END)"
     value = {
         "n_words": "CAST(n_words AS DOUBLE)", "mean_word_chars": per("word_chars", "n_words"),

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -45,3 +46,28 @@ def test_rules_are_data(docs):
     none = quality.score_documents(docs, rules=(quality.Rule("n_words", 1e9, 1e10),))
     assert none.filter("kept").count() == 0
     assert quality.score_documents(docs, rules=()).filter(F.col("kept") == F.col("base_failed")).count() == 0
+
+
+def test_languages_scripts_and_capitals(spark):
+    rng = random.Random(2)
+    prose = lambda words: " ".join(rng.choice(words.split()) + str(i % 7) * (i % 3) for i in range(60))
+    stops = "the of and to"
+    cases = [
+        (" ".join(f"{w.upper()} word{i}" for i in range(20) for w in stops.split()), "en", True),
+        (" ".join(f"{w.title()} word{i}" for i in range(20) for w in stops.split()), "EN-us", True),
+        (prose("gatto casa mare sole luna vento strada libro"), "it", True),
+        (prose("kot dom morze wiatr droga niebo ptak rzeka"), "pl", True),
+        (prose("кошка дом море ветер дорога книга небо"), "ru", True),
+        (prose("gatto casa mare sole luna vento strada libro"), None, True),
+        (prose("gatto casa mare sole luna vento strada libro"), "en", False),
+        (prose("gatto casa mare sole luna vento strada libro"), "de_AT", False),
+        ("\n".join("这是一段没有空格的中文文本它的词之间没有空白" + chr(0x4E00 + i) for i in range(40)), "zh", True),
+        ("\n".join("ภาษาไทยไม่มีการเว้นวรรคระหว่างคำ" + chr(0x0E01 + i) for i in range(40)), "th", True),
+        (" ".join("unbrokenlongwordwithoutend" + str(i) for i in range(40)), "it", False),
+        (" ".join("очень" * 4 + str(i) for i in range(40)), "ru", False),
+    ]
+    rows = spark.createDataFrame([(i, t, x) for i, (t, x, _) in enumerate(cases)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.score_documents(rows).collect()}
+    assert got == {i: (False, want) for i, (*_, want) in enumerate(cases)}
+    assert {r.doc_id for r in quality.filter_documents(rows).collect()} == {i for i, c in enumerate(cases) if c[2]}
+    assert quality.filter_documents(rows.drop("lang").filter("doc_id = 6")).count() == 1
