@@ -5,7 +5,8 @@ them every long candidate string is searched with a window of ``WINDOW``
 characters: counts are kept incrementally while the window slides, so the
 Shannon entropy of each window costs a constant number of steps.  Windows at
 or above the limit of the candidate's character class merge into spans of kind
-``entropy``; an allow-list suppresses strings that are random but public.
+``entropy``; an allow-list suppresses strings that are random but public: a
+candidate that one of its matches overlaps or directly precedes.
 
 The scan is a map over rows: no shuffle, memory bounded by one Arrow batch.
 
@@ -43,13 +44,14 @@ CLASSES = (
     ("upper-digit", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[A-Z0-9]+"), 3.6),
     ("base64", re.compile(r"(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]+"), 3.8),
 )
-#: Strings around a candidate that are random by nature but no secret.
+#: Strings at a candidate that are random by nature but no secret: whole URLs, hashes and addresses.
 ALLOWED = (
-    r"(?i)https?://|www\.|://",
+    r"""(?i)(?:https?://|www\.|://)[^\s"'<>\\^`{|},;()\[\]]*""",
     r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}",
-    r"(?i)sha(?:1|256|384|512)[:-]|md5[:-]|urn:",
+    r"(?i)(?:sha(?:1|256|384|512)[:-]|md5[:-])[a-z0-9+/_=-]*",
+    r"(?i)(?<![a-z0-9])urn:[a-z0-9+/_=.:%-]*",
     r"(?i)example|sample|dummy|placeholder|x{8,}",
-    r"@[A-Za-z0-9-]+\.",
+    r"(?i)(?<![a-z0-9._%+/=-])[a-z0-9._%+/=-]*@[a-z0-9-]+\.[a-z0-9.-]*",
 )
 _SUM_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
@@ -90,8 +92,12 @@ def find_secrets(text: str | None, allowed: re.Pattern) -> list[tuple[int, int,
     at = 0
     for word in [w for w in text.split() if len(w) >= WINDOW]:
         at = text.index(word, at)
-        if not allowed.search(word):
-            for m in _CANDIDATE.finditer(word):
+        candidates = list(_CANDIDATE.finditer(word))
+        public, k = [m.span() for m in allowed.finditer(word)] if candidates else [], 0
+        for m in candidates:
+            while k < len(public) and public[k][1] < m.start():
+                k += 1
+            if k == len(public) or public[k][0] >= m.end():
                 limit = next((b for _, shape, b in CLASSES if shape.fullmatch(m[0])), None)
                 if limit is not None:
                     found += [(at + m.start() + a, at + m.start() + b, 3) for a, b in entropy_spans(m[0], limit)]

@@ -118,6 +118,27 @@ def test_secret_spans(spark, docs, corpus, no_docs):
     assert {r.doc_id: r.t for r in clean}[5] == "é😀 [SECRET] cafe"
 
 
+KEY = "Zx9Kq2Lw8Vr4Tn6Yp1Bd3Fh5Jm7"
+UUID = "550e8400-e29b-41d4-a716-446655440000"
+
+
+def entropy_strings(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "entropy"]
+            for r in secrets.scan_secrets(rows).collect()}
+
+
+def test_allowed_strings_suppress_only_themselves(spark):
+    found = [f'{{"url":"https://a.b","k":"{KEY}"}}', f'{{"k":"{KEY}","mail":"a@b.cc","u":"http://c.d/e"}}',
+             f"id,{UUID},{KEY},sha256-AbC", f"f('sample');g('{KEY}');" + "h(1);" * 5000 + "open('https://a.b')",
+             f"https://a.b,{KEY}", f"return:{KEY}"]
+    public = [f"https://a.b/c?d={KEY}", f'{{"u":"https://a.b/c.d/{KEY}"}}', f"sha512-{KEY}==", f"sha256:{KEY}",
+              f"{KEY}@mail.host.net", f"{KEY}EXAMPLEKEY", f"ftp://host/{KEY}", f"urn:x:{KEY}", UUID]
+    got = entropy_strings(spark, found + public)
+    assert [got[i] for i in range(len(found))] == [[KEY]] * len(found)
+    assert not any(got[len(found) + i] for i in range(len(public)))
+
+
 @pytest.mark.parametrize("limit", [2.0, 3.0, 3.7])
 def test_incremental_entropy_equals_direct(limit):
     rng = random.Random(1)
