@@ -2,9 +2,10 @@
 
 Patterns find assignments, access keys and long hexadecimal runs.  Besides
 them every long candidate string is searched with a window of ``WINDOW``
-characters: counts are kept incrementally while the window slides, so the
-Shannon entropy of each window costs a constant number of steps.  Windows at
-or above the limit of the candidate's character class merge into spans of kind
+characters, as a whole and between its separators: counts are kept
+incrementally while the window slides, so the Shannon entropy of each window
+costs a constant number of steps.  Windows at or above the limit of the
+character class of the candidate or its part merge into spans of kind
 ``entropy``; an allow-list suppresses strings that are random but public: a
 candidate that one of its matches overlaps or directly precedes.
 
@@ -37,12 +38,17 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 WINDOW = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_RUN = re.compile(r"[A-Za-z0-9]{%d,}" % WINDOW)
 #: Character class, what a candidate of the class looks like, and the entropy in bits that a window must reach.
+#: The last class takes every candidate, so none is left out.
 CLASSES = (
     ("hex", re.compile(r"(?=[^0-9]*[0-9])(?=[^a-fA-F]*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)"), 3.0),
     ("lower-digit", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[a-z0-9]+"), 3.6),
     ("upper-digit", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[A-Z0-9]+"), 3.6),
     ("base64", re.compile(r"(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]+"), 3.8),
+    ("lower-digit in parts", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[a-z0-9+/_=-]+"), 3.8),
+    ("upper-digit in parts", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[A-Z0-9+/_=-]+"), 3.6),
+    ("other", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.0),
 )
 #: Strings at a candidate that are random by nature but no secret: whole URLs, hashes and addresses.
 ALLOWED = (
@@ -53,7 +59,7 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|x{8,}",
     r"(?i)(?<![a-z0-9._%+/=-])[a-z0-9._%+/=-]*@[a-z0-9-]+\.[a-z0-9.-]*",
 )
-_SUM_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_SUM_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # a window holds one more while it slides
 
 
 def entropy_spans(text: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -79,6 +85,23 @@ def entropy_spans(text: str, limit: float, window: int = WINDOW) -> list[tuple[i
     return spans
 
 
+def candidate_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of a candidate as a whole, and of its long runs between separators, each by its own class."""
+    limit = lambda part: next(b for _, shape, b in CLASSES if shape.fullmatch(part))
+    spans = entropy_spans(text, limit(text))
+    if text.isalnum():
+        return spans
+    for m in _RUN.finditer(text):
+        spans += [(m.start() + a, m.start() + b) for a, b in entropy_spans(m[0], limit(m[0]))]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def find_secrets(text: str | None, allowed: re.Pattern) -> list[tuple[int, int, int]]:
     """(start, end, index of the kind) of every span, in order."""
     if not text:
@@ -98,9 +121,7 @@ def find_secrets(text: str | None, allowed: re.Pattern) -> list[tuple[int, int,
             while k < len(public) and public[k][1] < m.start():
                 k += 1
             if k == len(public) or public[k][0] >= m.end():
-                limit = next((b for _, shape, b in CLASSES if shape.fullmatch(m[0])), None)
-                if limit is not None:
-                    found += [(at + m.start() + a, at + m.start() + b, 3) for a, b in entropy_spans(m[0], limit)]
+                found += [(at + m.start() + a, at + m.start() + b, 3) for a, b in candidate_spans(m[0])]
         at += len(word)
     return sorted(found, key=lambda x: (x[0], x[2], x[1])) if len(found) > 1 else found
 

@@ -139,6 +139,20 @@ def test_allowed_strings_suppress_only_themselves(spark):
     assert not any(got[len(found) + i] for i in range(len(public)))
 
 
+def test_no_candidate_skips_the_window(spark):
+    whole = ["ABCD1-2EFG3-4HJK5-6LMN7", "ABCDEFGHJKLMNPQRSTUVWXYZ", "qwe_rtyuiopasdfghjklzxcvb"]
+    parts = [("key-", "3ax6xnjp29jd6fds4gc373sgvjxteol0"), ("auth=", "zx9kq2lw8vr4tn6yp1bd3fh5jm7"),
+             ("Path/", "zx9kq2lw8vr4tn6yp1bd3fh5jm7")]
+    plain = ["some_module_name/and_another_file_name", "the-quick-brown-fox-jumps-over", "=" * 40, "a-b-" * 20,
+             "2024-03-15-12-30-45-1234567"]
+    got = entropy_strings(spark, whole + [a + b for a, b in parts] + plain)
+    for i, t in enumerate(whole):
+        assert got[i] == [t]
+    for i, (_, t) in enumerate(parts):
+        assert [x for x in got[len(whole) + i] if x.endswith(t)]
+    assert not any(got[len(whole) + len(parts) + i] for i in range(len(plain)))
+
+
 @pytest.mark.parametrize("limit", [2.0, 3.0, 3.7])
 def test_incremental_entropy_equals_direct(limit):
     rng = random.Random(1)
