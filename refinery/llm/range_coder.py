@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Adaptive escape-chain range coder for token ids, many blocks at a time.
 
 Blocks are independent: each starts from an empty model.  To keep the work in
 vector operations the blocks of a batch are coded in lockstep, one id of every
@@ -10,8 +10,9 @@ Model of one id, all parts adaptive and per block:
   - order 0: the sorted ids of the block so far (refreshed at ``REFRESH``), and
     behind them a fixed prior that falls with the id, as byte-pair ids do.
 Each prediction has a probability of being right, learned per confidence (hits
-in a row).  The probabilities mix into one interval per outcome (order 2,
-order 1, order 0, prior); the last two then code the id itself.
+in a row).  They share one interval per outcome (order 2, order 1, order 0,
+prior) and the first order that names the id codes it: predictions of several
+orders are never summed.  The last two then code the id itself.
 
 The coder keeps 48 bits of low and range and puts out 16-bit words.  A carry is
 added to the last word and resolved when the block ends.
