@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refinery.session import checkpoint_dir
@@ -97,3 +97,28 @@ class Scratch:
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
                 df._scratch_path = None
+
+
+def dense_rank(stored: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Number the rows of a written table that carries ``pos`` (``monotonically_increasing_id`` at its writing).
+
+    Adds ``rank`` (from 0, in the order of ``pos``, within ``group``), ``n`` (rows of the group)
+    and ``first`` (its smallest ``pos``).  A group must not come back in ``pos`` after another one has
+    begun in the same partition: sort by it, or give none.  Only one row per group and partition is
+    aggregated and joined back; no window runs over the rows themselves.
+    """
+    group = group or []
+    part = F.shiftright("pos", 33).alias("_part")
+    whole = Window.partitionBy(*(f"_g{i}" for i in range(len(group))))
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (stored.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), part, "pos")
+            .groupBy(*(f"_g{i}" for i in range(len(group))), "_part")
+            .agg(F.min("pos").alias("_lo"), F.count("*").alias("_size"))
+            .select("*", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_lo")).alias("_shift"),
+                    F.sum("_size").over(whole).alias("n"), F.min("_lo").over(whole).alias("first"))
+            .withColumnRenamed("_part", "_p"))
+    on = F.shiftright(stored["pos"], 33) == runs["_p"]
+    for i, g in enumerate(group):
+        on &= stored[g].eqNullSafe(runs[f"_g{i}"])
+    return stored.join(runs, on).select(*(stored[c] for c in stored.columns), (stored["pos"] + runs["_shift"]).alias("rank"),
+                                        runs["n"], runs["first"])

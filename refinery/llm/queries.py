@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from refinery.session import read_table
 
-from . import ctw, decontaminate, licenses, line_dedup, packing, quality, secrets, simhash, token_files, warc
+from . import chunk_bpe, collocations, ctw, decontaminate, licenses, line_dedup, merkle, packing, quality, secrets
+from . import simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -252,3 +253,127 @@ FROM p LEFT JOIN o ON p.d = o.d
 @query
 def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+def _phrase_sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    longest, least, top = collocations.LONGEST, collocations.MIN_COUNT, collocations.TOP
+    grams = "\nUNION ALL\n".join(
+        f"SELECT lang, {k} AS m, " + " || ' ' || ".join(f"w{j}" for j in range(k)) +
+        f" AS phrase, count(*) AS a FROM phrase_next WHERE w{k - 1} IS NOT NULL GROUP BY ALL" for k in range(1, longest + 1))
+    leads = ", ".join(f"lead(w0, {j}) OVER p AS w{j}" for j in range(1, longest))
+    return f"""
+WITH phrase_pieces AS (
+  SELECT row_number() OVER () AS r, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({low}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)),
+phrase_words AS (
+  SELECT r, lang, unnest(w) AS w0, generate_subscripts(w, 1) AS i
+  FROM (SELECT r, lang, [x for x in regexp_split_to_array(piece, '[\\x20\\x09]+') if x <> ''] AS w FROM phrase_pieces)),
+phrase_next AS (SELECT lang, w0, {leads} FROM phrase_words WINDOW p AS (PARTITION BY r ORDER BY i)),
+grams AS ({grams}),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND a >= {least}),
+cuts AS (
+  SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS h, array_to_string(w[k + 1:], ' ') AS t
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r,
+         CAST((CAST({collocations.SCALE} AS HUGEINT) * c.a) // (x.a + y.a) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase
+                            ORDER BY (CAST({collocations.SCALE} AS HUGEINT) * c.a) // (x.a + y.a), k) AS nth
+  FROM cuts c JOIN grams x ON c.lang = x.lang AND c.h = x.phrase JOIN grams y ON c.lang = y.lang AND c.t = y.phrase),
+inner_parts AS (
+  SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM cand WHERE m > 2))),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score,
+         row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer USING (lang, phrase)
+  WHERE nth = 1 AND NOT coalesce(100 * most >= {collocations.INSIDE_PERCENT} * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {top}
+"""
+
+
+ORACLE["op11_phrase_mining"] = _phrase_sql()
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row by checksum is tampered with after the manifest is made; its fold must miss the root."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(f) for f in merkle.FIELDS]
+    forged = [F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    claimed = F.when(tampered, merkle.leaf_digest(forged)).otherwise(merkle.leaf_digest(fields))
+    out = merkle.manifest(docs, carry={"claimed": claimed})
+    return (out.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("proof")))
+            .select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+def _merkle_sql() -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = "sha256(" + " || ".join(part(f) for f in merkle.FIELDS) + ")"
+    forged = "sha256(" + " || ".join(part("(n_chars + 1)" if f == "n_chars" else f) for f in merkle.FIELDS) + ")"
+    # CRC-32 bit by bit: a byte is folded in, then eight steps (-1) shift it out
+    steps = ("list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] "
+             "for c in string_split(CAST(doc_id AS VARCHAR), '')]))")
+    crc = (f"xor(4294967295, list_reduce({steps}, lambda x, s: CASE WHEN s >= 0 THEN xor(x, s) "
+           "ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END))")
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {leaf} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {crc} % 7 = 0 THEN {forged} ELSE {leaf} END AS claimed FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree AS (
+  SELECT lang, 0 AS lvl, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1
+  GROUP BY lang, lvl, i // 2, n),
+subroots AS (SELECT lang, lvl AS depth, h AS subroot FROM tree WHERE n = 1),
+langs AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS li, count(*) OVER () AS ln FROM subroots),
+upper_tree AS (
+  SELECT 0 AS lvl, li AS i, ln AS n, subroot AS h FROM langs
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM upper_tree WHERE n > 1
+  GROUP BY lvl, i // 2, n),
+walk AS (
+  SELECT r, 0 AS lvl, p.i, p.n, 0 AS high, claimed AS cur, '' AS proof, p.lang, li, ln, depth
+  FROM placed p JOIN langs ON p.lang IS NOT DISTINCT FROM langs.lang
+  UNION ALL
+  SELECT r, lvl + 1, i // 2, (n + 1) // 2, high,
+         sha256(CASE WHEN i % 2 = 0 THEN cur || coalesce(sib, '') ELSE sib || cur END), proof || coalesce(sib, ''),
+         lang, li, ln, depth
+  FROM (SELECT w.*, t.h AS sib FROM walk w LEFT JOIN tree t
+        ON w.lang IS NOT DISTINCT FROM t.lang AND w.lvl = t.lvl AND t.i = xor(w.i, 1) WHERE w.n > 1)),
+top_walk AS (
+  SELECT r, 0 AS lvl, li AS i, ln AS n, cur, proof FROM walk WHERE n = 1
+  UNION ALL
+  SELECT r, lvl + 1, i // 2, (n + 1) // 2,
+         sha256(CASE WHEN i % 2 = 0 THEN cur || coalesce(sib, '') ELSE sib || cur END), proof || coalesce(sib, '')
+  FROM (SELECT w.*, t.h AS sib FROM top_walk w LEFT JOIN upper_tree t ON w.lvl = t.lvl AND t.i = xor(w.i, 1) WHERE w.n > 1)),
+root AS (SELECT h AS root FROM upper_tree WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM placed p JOIN langs ON p.lang IS NOT DISTINCT FROM langs.lang JOIN top_walk w ON p.r = w.r AND w.n = 1, root
+"""
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    coded = chunk_bpe.encode_documents(read_table(spark, sf_dir, "documents"), path)
+    out = chunk_bpe.decode_documents(coded, path)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
