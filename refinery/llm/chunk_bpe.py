@@ -310,21 +310,21 @@ def _first_pass(docs: DataFrame, path: str, filter_bytes) -> DataFrame:
                 hit &= (table[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
             at = np.cumsum([0, *map(len, places)])
             held = np.add.reduceat(hit, at[:-1]) > 0
-            strings = pc.fill_null(batch.column("text"), "")
-            own = lib.encode(strings.filter(pa.array(~held)).to_pylist())
+            strings = [t or "" for t in batch.column("text").to_pylist()]
+            own = lib.encode([t for t, waits in zip(strings, held.tolist()) if not waits])
             flat = {"no": np.concatenate([np.arange(len(p)) for p in places]), "h1": h[:, 0], "h2": h[:, 1],
                     "begin": np.concatenate(places), "shared": hit,
                     "end": np.concatenate([[*p[1:], len(t)] for t, p in zip(texts, places)])}
             chunks = pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in chunk_type], fields=list(chunk_type))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), chunks)
-            mask, ids, k = pa.array(held), [], 0
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), chunks, mask=pa.array(~held))
+            ids, k = [], 0
             for waits in held.tolist():
                 ids.append(None if waits else own[k])
                 k += not waits
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.arange(n, n + len(texts))),
-                 pc.if_else(mask, strings, pa.scalar(None, strings.type)), pa.array(ids, pa.binary()),
-                 pc.if_else(mask, lists, pa.scalar(None, lists.type))], names=schema.names)
+                 pa.array([t if waits else None for t, waits in zip(strings, held.tolist())], pa.string()),
+                 pa.array(ids, pa.binary()), lists], names=schema.names)
             n += len(texts)
         release_memory()
 
