@@ -49,7 +49,8 @@ MOST = 1 << 16
 WINDOW = 32
 FILTER_BYTES = 16 << 20
 FILTER_PROBES = 4
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+CALL_TEXTS = 4096  # of one call of the library, whose results are large objects
 AROUND = (1, 4, 16)  # words on both sides of a join that must agree
 _BLANK_BYTES = np.zeros(256, bool)
 _BLANK_BYTES[list(BLANKS.encode())] = True
@@ -113,6 +114,7 @@ class Library:
         self.by_word = self._drops_blanks(spec)
         self.plain = not spec["decoder"]
         size = self.model.get_vocab_size(with_added_tokens=True)
+        self.short = size <= 1 << 16
         self.pieces = pa.array([self.model.id_to_token(i) for i in range(size)], pa.string())
 
     @staticmethod
@@ -126,7 +128,15 @@ class Library:
             kinds <= {"NFC", "Replace", "Lowercase"} and not spec["post_processor"] and not added
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), CALL_TEXTS)
+                for e in self.model.encode_batch_fast(texts[i:i + CALL_TEXTS], add_special_tokens=False)]
+
+    def narrow(self, ids: bytes) -> bytes:
+        """Ids as they are kept between stages: two bytes each if the vocabulary allows."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.short else ids
+
+    def widen(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if self.short else ids
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         new = [w for w in words if w not in self.words]
@@ -311,7 +321,7 @@ def _first_pass(docs: DataFrame, path: str, filter_bytes) -> DataFrame:
             at = np.cumsum([0, *map(len, places)])
             held = np.add.reduceat(hit, at[:-1]) > 0
             strings = [t or "" for t in batch.column("text").to_pylist()]
-            own = lib.encode([t for t, waits in zip(strings, held.tolist()) if not waits])
+            own = [lib.narrow(i) for i in lib.encode([t for t, waits in zip(strings, held.tolist()) if not waits])]
             flat = {"no": np.concatenate([np.arange(len(p)) for p in places]), "h1": h[:, 0], "h2": h[:, 1],
                     "begin": np.concatenate(places), "shared": hit,
                     "end": np.concatenate([[*p[1:], len(t)] for t, p in zip(texts, places)])}
@@ -357,8 +367,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(tokenizer_path)
         for batch in _groups(batches, "chunk"):
-            ids = lib.encode([c.decode("utf-8", "surrogatepass") for c in batch.column("chunk").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(ids, pa.binary())],
+            ids = map(lib.narrow, lib.encode([c.decode("utf-8", "surrogatepass") for c in batch.column("chunk").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(list(ids), pa.binary())],
                                              names=["h1", "h2", "ids"])
 
     texts = waiting.select("text", "chunks").mapInArrow(pick, "h1 long, h2 long, chunk binary")
@@ -376,7 +386,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 places = chunks.values.field("begin").to_pylist()
                 found: list[bytes | None] = [None] * len(places)
                 for no, ids in zip(parts.values.field("no").to_pylist(), parts.values.field("ids").to_pylist()):
-                    found[no] = ids
+                    found[no] = lib.widen(ids)
                 own = [i for i, ids in enumerate(found) if ids is None]
                 texts = chunks_of(raw, places)
                 for i, ids in zip(own, lib.encode([texts[i].decode("utf-8", "surrogatepass") for i in own])):
@@ -385,9 +395,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
         release_memory()
 
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = library(tokenizer_path)
+        for batch in batches:
+            ids = [lib.widen(i) for i in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
     rest = waiting.select("key", "doc_id", "text", "chunks").join(parts, "key")
-    return done.union(rest.select("doc_id", "text", "chunks", "parts").mapInArrow(assemble, schema))
+    return done.mapInArrow(widen, schema).union(rest.select("doc_id", "text", "chunks", "parts").mapInArrow(assemble, schema))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
