@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from refinery.features import chain as C
@@ -20,6 +20,7 @@ from refinery.functions.text import parse_list_literal
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.sample import seeded_sample
 from refinery.plans.profile import profile_long
+from refinery.plans import topic_sweep as TS
 from refinery.plans import topics as TP
 from refinery.plans.queries import _r6, _t, combo_lists, register
 from refinery.session import checkpoint_dir, cut_lineage, spread
@@ -158,8 +159,8 @@ def q_pca_2d(spark, sf):
 
 
 TOPIC_WEIGHTS = (("names", 1.0), ("brands", 0.5))
-FIT_KS = range(2, 6)
 SWEEP_KS = range(2, 51)
+WORD_KS = (4, 8, 16)
 
 
 def _item_terms(spark, sf):
@@ -173,16 +174,28 @@ def _item_terms(spark, sf):
     return cut_lineage(TP.weighted_terms(bought, "o_custkey", TOPIC_WEIGHTS))
 
 
-def _item_vectors(spark, sf):
-    terms = _item_terms(spark, sf)
-    vocab = TP.vocabulary(terms)
-    return vocab, cut_lineage(TP.weighted_vectors(terms, "o_custkey", [w for _, w in TOPIC_WEIGHTS], vocab))
+_SWEEPS: dict[tuple[str, str, str], TS.TopicSweep] = {}
+
 
+def _sweep(spark, sf, name, make, ks):
+    """M7-M9: one checkpointed sweep that the topic queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SWEEPS:
+        terms, id_col = make(spark, sf)
+        words = TS.dictionary(terms)
+        _SWEEPS[key] = TS.fit_sweep(TS.postings(terms, words, id_col), words, ks)
+    return _SWEEPS[key]
 
-def _fit_topics(spark, sf):
-    """M7-M9: sweep k over the customers' item vectors, then fit the best k on all of them."""
-    vocab, feats = _item_vectors(spark, sf)
-    return vocab, feats, TP.fit_lda(feats, TP.best_k(TP.lda_sweep(feats, FIT_KS)))
+
+def _item_sweep(spark, sf):
+    """All k over the customers' items."""
+    return _sweep(spark, sf, "items", lambda *a: (_item_terms(*a), "o_custkey"), SWEEP_KS)
+
+
+def _word_terms(spark, sf):
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.select("doc_id", TP.word_tokens("text").alias("words"))
+    return cut_lineage(TP.weighted_terms(docs, "doc_id", [("words", 1.0)])), "doc_id"
 
 
 _ITEMS_SQL = """SELECT o_custkey, p_name AS term, 1.0 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -196,12 +209,20 @@ SELECT o_custkey, CAST(count(DISTINCT term) AS INTEGER) AS n_terms, round(sum(w)
 FROM ({_ITEMS_SQL}) GROUP BY 1
 """)
 def q_item_vectors(spark, sf):
-    """M5 + M6: two weighted item lists as one count vector per customer, over the whole vocabulary."""
-    _, feats = _item_vectors(spark, sf)
-    v = F.col("v")
-    return feats.select("o_custkey", vector_to_array("features").alias("v")).select(
-        "o_custkey", F.size(F.filter(v, lambda x: x > 0)).alias("n_terms"),
-        _r6(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias("total_weight"))
+    """M5 + M6: two weighted item lists as one sparse vector per customer, over the dictionary of all terms."""
+    terms = _item_terms(spark, sf)
+    entries = TS.postings(terms, TS.dictionary(terms), "o_custkey")
+    return entries.groupBy(F.col("id").alias("o_custkey")).agg(
+        F.count_distinct("index").cast("int").alias("n_terms"), _r6(F.sum("value")).alias("total_weight"))
+
+
+@register("item_dictionary", f"""
+SELECT CAST(row_number() OVER (ORDER BY weight DESC, term) - 1 AS BIGINT) AS index, term, round(weight, 6) AS weight
+FROM (SELECT term, sum(w) AS weight FROM ({_ITEMS_SQL}) GROUP BY 1)
+""")
+def q_item_dictionary(spark, sf):
+    """M5: the complete vocabulary as a numbered table, heaviest term first."""
+    return TS.dictionary(_item_terms(spark, sf)).select("index", "term", _r6(F.col("weight")).alias("weight"))
 
 
 @register("lda_topics", f"""
@@ -209,27 +230,55 @@ SELECT DISTINCT o_custkey, 1.0::DOUBLE AS topic_sum, true AS label_fits FROM ({_
 """)
 def q_lda_topics(spark, sf):
     """The topic distribution of each customer sums to one and its label follows from it."""
-    _, feats, model = _fit_topics(spark, sf)
-    t = TP.assign_topics(model, feats, "o_custkey", min_share=0.3)
+    t = _item_sweep(spark, sf).assign(min_share=0.3)
     share = F.get("topics", F.col("dominant_topic"))
     fits = (share == F.array_max("topics")) & (F.col("topic_label") == F.when(share < 0.3, -1).otherwise(
         F.col("dominant_topic")))
-    return t.select("o_custkey", F.round(F.aggregate("topics", F.lit(0.0), lambda a, x: a + x), 6).alias("topic_sum"),
+    return t.select(F.col("id").alias("o_custkey"),
+                    F.round(F.aggregate("topics", F.lit(0.0), lambda a, x: a + x), 6).alias("topic_sum"),
                     fits.alias("label_fits"))
 
 
+@register("topic_labels")
+def q_topic_labels(spark, sf):
+    """M9 + M10: every customer's dominant topic, its share and the label, by the k of least perplexity out of 2..50."""
+    t = _item_sweep(spark, sf).assign(min_share=0.3)
+    return t.select(F.col("id").alias("o_custkey"), "dominant_topic", "topic_label",
+                    _r6(F.array_max("topics")).alias("share"))
+
+
 @register("topic_terms")
 def q_topic_terms(spark, sf):
     """Ten heaviest terms of each topic."""
-    vocab, _, model = _fit_topics(spark, sf)
-    return TP.top_terms(model, TP.vocabulary_frame(spark, vocab), 10)
+    return _item_sweep(spark, sf).top_terms(n=10)
+
+
+@register("topic_weights", f"""
+SELECT count(DISTINCT term) AS terms, 1.0::DOUBLE AS least_sum, 1.0::DOUBLE AS largest_sum, true AS ordered
+FROM ({_ITEMS_SQL})
+""")
+def q_topic_weights(spark, sf):
+    """The weights of a topic's terms sum to one, over all terms, and the top list falls with its rank."""
+    sweep = _item_sweep(spark, sf)
+    sums = sweep.term_weights().groupBy("topic").agg(F.sum("weight").alias("w"), F.count("index").alias("n"))
+    following = Window.partitionBy("topic").orderBy("rank")
+    falls = sweep.top_terms(n=10).select((F.lead("weight").over(following) <= F.col("weight")).alias("ok"))
+    checks = falls.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ordered"))
+    return sums.agg(F.max("n").alias("terms"), F.round(F.min("w"), 6).alias("least_sum"),
+                    F.round(F.max("w"), 6).alias("largest_sum")).join(checks)  # one row each
 
 
 @register("topic_sweep", "SELECT CAST(k AS INTEGER) AS k, true AS finite FROM range(2, 51) t(k)")
 def q_topic_sweep(spark, sf):
-    """M7: perplexity of every k from 2 to 50."""
-    _, feats = _item_vectors(spark, sf)
-    return TP.lda_sweep(feats, SWEEP_KS).select("k", (F.col("perplexity") < float("inf")).alias("finite"))
+    """M7: every k from 2 to 50 has a finite perplexity."""
+    return _item_sweep(spark, sf).table().select("k", (F.col("perplexity") < float("inf")).alias("finite"))
+
+
+@register("topic_perplexity")
+def q_topic_perplexity(spark, sf):
+    """M7 + M8: the perplexity of every k from 2 to 50, and which is chosen."""
+    sweep = _item_sweep(spark, sf)
+    return sweep.table().withColumn("chosen", F.col("k") == sweep.best)
 
 
 @register("topic_sizes", """
@@ -238,11 +287,25 @@ FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
 """)
 def q_topic_sizes(spark, sf):
     """Documents per topic label; the counts and shares of all labels together cover every document."""
-    _, feats, model = _fit_topics(spark, sf)
-    sizes = TP.topic_sizes(TP.assign_topics(model, feats, "o_custkey", min_share=0.3))
+    sizes = TP.topic_sizes(_item_sweep(spark, sf).assign(min_share=0.3))
     return sizes.agg(F.sum("count").alias("documents"), F.round(F.sum("share"), 6).alias("share"))
 
 
+@register("topic_counts")
+def q_topic_counts(spark, sf):
+    """Documents per topic label, raw and as a share."""
+    return TP.topic_sizes(_item_sweep(spark, sf).assign(min_share=0.3))
+
+
+@register("document_topics")
+def q_document_topics(spark, sf):
+    """M5-M10 on texts: topics of all words of all documents; label and share of the dominant topic."""
+    sweep = _sweep(spark, sf, "words", _word_terms, WORD_KS)
+    t = sweep.assign(min_share=0.3)
+    return t.select(F.col("id").alias("doc_id"), F.lit(sweep.best).alias("k"), "topic_label",
+                    _r6(F.array_max("topics")).alias("share"))
+
+
 @register("sample_seeded", """
 SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|' || '42'), o_orderkey LIMIT 10
@@ -316,13 +379,44 @@ def q_onehot_list_items_all(spark, sf):
 
 @register("text_pca")
 def q_text_pca(spark, sf):
-    """E9 on text: whole documents -> TF-IDF -> mean-centred PCA keeping 85% of the variance."""
-    docs = spread(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    out = TextPCA(column="text", threshold=0.85, num_features=256).fit(docs).transform(docs)
+    """E9 on text: whole documents -> TF-IDF over all words -> mean-centred PCA, at most 32 components."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    out = TextPCA(column="text", threshold=0.85, max_components=32).fit(docs).transform(docs)
     pcs = [c for c in out.columns if c.startswith("text_PC")]
     return out.select("doc_id", *[_r6(F.col(c)).alias(c) for c in pcs])
 
 
+_TFIDF_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, 'Missing')), '[^\\pL\\pN]+'), lambda t: t <> '')"
+
+
+@register("text_pca_checks", f"""
+WITH d AS (SELECT row_number() OVER () AS r, {_TFIDF_TOKENS} AS w FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+tf AS (SELECT r, term, count(*) AS c FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+idf AS (SELECT term, ln((any_value(n) + 1) / (count(*) + 1)) AS i FROM tf, n GROUP BY term),
+s AS (SELECT term, sum(c * i) AS s1, sum(c * i * c * i) AS s2 FROM tf JOIN idf USING (term) GROUP BY term)
+SELECT any_value(n) AS documents, count(*) AS terms,
+       round((sum(s2) - sum(s1 * s1) / any_value(n)) / (any_value(n) - 1), 4) AS total_variance,
+       true AS orthonormal, true AS scores_have_variances FROM s, n
+""")
+def q_text_pca_checks(spark, sf):
+    """Vocabulary size and total variance of the complete TF-IDF matrix; loadings are orthonormal, and
+    the scores of all documents vary as the components say."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    model = TextPCA(column="text", n_components=8).fit(docs)
+    k = model.getOrDefault(model.k)
+    pair = lambda i, j: F.sum(F.get("loadings", F.lit(i)) * F.get("loadings", F.lit(j)))
+    unit = [F.abs(pair(i, j) - (1.0 if i == j else 0.0)) < 1e-6 for i in range(k) for j in range(i + 1)]
+    frame = model.components.agg(F.count("*").alias("terms"), F.forall(F.array(*unit), lambda x: x).alias("orthonormal"))
+    total = model.fitted_params()["total_variance"]
+    near = [F.abs(F.var_samp(f"text_PC{i + 1}") - e * total) <= 1e-6 * total
+            for i, e in enumerate(model.getOrDefault(model.explained))]
+    scores = model.transform(docs).agg(F.count("*").alias("documents"), F.forall(F.array(*near), lambda x: x)
+                                       .alias("scores_have_variances"))
+    return scores.join(frame).select("documents", "terms", F.round(F.lit(total), 4).alias("total_variance"),
+                                     "orthonormal", "scores_have_variances")  # one row each
+
+
 _WB_TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^\\pL]+'), lambda t: length(t) > 0)"
 
 

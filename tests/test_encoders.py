@@ -174,7 +174,7 @@ def test_pca_and_text_pca_persist(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     base = tempfile.mkdtemp(prefix="refinery-model-")
     for df, enc, key in [(emb, EmbeddingPCA(column="embedding", threshold=0.5), "vec_id"),
-                         (docs, TextPCA(column="text", n_components=3, num_features=64), "doc_id")]:
+                         (docs, TextPCA(column="text", n_components=3), "doc_id")]:
         model = C.FeatureChain([E.PassThrough(column=key), enc]).fit(df)
         out = model.transform(df)
         path = os.path.join(base, key)
