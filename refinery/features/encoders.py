@@ -17,7 +17,8 @@ from refinery.features.base import ArtifactPersistence, Encoder, EncoderModel, F
 from refinery.functions.lists import any_outside_flag, contains_flag
 from refinery.functions.numeric import affine_scale, equals_flag, finite_or_null, not_in_flag
 from refinery.functions.text import snake_name_py
-from refinery.operators.counts import coverage_rows, exact_quantiles, item_counts, running_sum
+from refinery.operators.blocked import number_rows
+from refinery.operators.counts import coverage_rows, exact_quantiles, item_counts
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.tables import replace_with_derived
 from refinery.session import cut_lineage
@@ -103,8 +104,8 @@ class OrdinalEncoder(Encoder):
     def _from_counts(self, freq, col, dtype: str | None = None):
         """Mode and (auto) mapping from ``(value, count)`` of this column.
 
-        An automatic mapping is a table: the codes are a distributed running
-        count over the sorted values, and transform joins it.
+        An automatic mapping is a table: the codes are the places of the sorted
+        values, numbered range by range, and transform joins it.
         """
         typed = freq.select((F.col("value").cast(dtype) if dtype else F.col("value")).alias("value"), "count")
         given = self.getOrDefault(self.mapping_json)
@@ -112,8 +113,7 @@ class OrdinalEncoder(Encoder):
                              handle_invalid=self.getOrDefault(self.handle_invalid))
         if not given:
             values = typed.filter(F.col("value").isNotNull()).select("value")
-            coded = running_sum(values, [F.col("value")], F.lit(1), "n")
-            model.table = cut_lineage(coded.select("value", (F.col("n") - 1).cast("int").alias("code")))
+            model.table = number_rows(values, [F.col("value")], "code").withColumn("code", F.col("code").cast("int"))
         return model
 
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refinery.operators.blocked import number_rows
 from refinery.session import cut_lineage
 
 
@@ -102,31 +103,51 @@ def coverage_select(freq: DataFrame, threshold: float | None, inclusive: bool, v
     Integer running counts are used, so a threshold of 1.0 never loses the
     tail to float drift.
     """
-    if threshold is None:
-        return freq
-    return _coverage(freq, threshold, inclusive, value, count, total).select(*freq.columns)
+    return freq if threshold is None else _kept(freq, threshold, inclusive, value, count, total)[0]
 
 
-def _coverage(freq: DataFrame, threshold: float | None, inclusive: bool, value: str, count: str,
-              total: int | None) -> DataFrame:
-    """The kept rows with their running count ``_cum`` and the ``_total``."""
-    run = running_sum(freq, _frequency_order(value, count), F.col(f"`{count}`"), "_cum")
-    if total is None:
-        total = run.agg(F.max("_cum")).first()[0] or 0
-    run = run.withColumn("_total", F.lit(int(total)))
-    if threshold is None:
-        return run
-    cut, c = F.lit(float(threshold) * float(total)), F.col(f"`{count}`")
-    above = F.col("_cum") - c
-    return run.filter((above < cut) | (above == 0) if inclusive else F.col("_cum") < cut)
+def _kept(freq: DataFrame, threshold: float, inclusive: bool, value: str, count: str,
+          total: int | None) -> tuple[DataFrame, int]:
+    """The kept rows and the total.
+
+    The cut is found on the histogram of counts: n counted items give at most
+    sqrt(2 n) different counts.  All values above the cut's count stay, and only
+    the values tied at it are put in order, if some of them stay and others go.
+    """
+    c = F.col(f"`{count}`")
+    sizes = freq.groupBy(c.alias("c")).agg(F.count(F.lit(1)).alias("m"))
+    higher = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = sizes.select("c", "m", F.coalesce(F.sum(F.col("c") * F.col("m")).over(higher), F.lit(0)).alias("before"))
+    whole = F.lit(int(total)) if total is not None else F.sum(F.col("c") * F.col("m")).over(Window.partitionBy())
+    classes = classes.withColumn("total", whole).withColumn("cut", F.lit(float(threshold)) * F.col("total").cast("double"))
+    # values of a class whose running count stays below the cut; the estimate may be off by one
+    guess = F.ceil((F.col("cut") - F.col("before")) / F.col("c")).cast("long")
+    below = F.greatest(F.lit(0).cast("long"), F.array_max(F.filter(
+        F.transform(F.sequence(F.lit(-2), F.lit(1)), lambda i: guess + i),
+        lambda j: F.col("before") + j * F.col("c") < F.col("cut"))))
+    if inclusive:  # one more: the value that reaches the cut; at least the very first one
+        reached = (F.col("before") < F.col("cut")) | (F.col("before") == 0)
+        below = F.when(reached, below + 1).otherwise(0)
+    stay = classes.withColumn("stay", F.least(F.coalesce(below, F.lit(0)), F.col("m")))
+    found = stay.agg(F.max("total").alias("total"), F.min(F.when(F.col("stay") == F.col("m"), F.col("c"))).alias("least"),
+                     F.max(F.when((F.col("stay") > 0) & (F.col("stay") < F.col("m")), F.struct("c", "stay"))).alias("tied")).first()
+    out = freq.filter(c >= F.lit(found["least"])) if found["least"] is not None else freq.limit(0)
+    if found["tied"] is not None:
+        ties = number_rows(freq.filter(c == F.lit(found["tied"]["c"])), [F.asc_nulls_last(f"`{value}`")], "_place")
+        out = out.unionByName(ties.filter(F.col("_place") < found["tied"]["stay"]).drop("_place"))
+    return out, int(found["total"] or 0)
 
 
 def coverage_table(freq: DataFrame, threshold: float | None, inclusive: bool, value: str = "value",
                    count: str = "count", total: int | None = None) -> DataFrame:
     """The kept values with ``ratio`` and ``cumulative_ratio``."""
-    run = _coverage(freq, threshold, inclusive, value, count, total)
-    return run.select(*freq.columns, (F.col(f"`{count}`") / F.col("_total")).alias("ratio"),
-                      (F.col("_cum") / F.col("_total")).alias("cumulative_ratio"))
+    if threshold is None:
+        kept, whole = freq, total_count(freq, count) if total is None else total
+    else:
+        kept, whole = _kept(freq, threshold, inclusive, value, count, total)
+    run = running_sum(kept, _frequency_order(value, count), F.col(f"`{count}`"), "_cum")  # the head of the order
+    return run.select(*freq.columns, (F.col(f"`{count}`") / F.lit(whole)).alias("ratio"),
+                      (F.col("_cum") / F.lit(whole)).alias("cumulative_ratio"))
 
 
 def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, total: int | None = None,
@@ -141,10 +162,10 @@ def coverage_rows(freq: DataFrame, threshold: float | None, inclusive: bool, tot
         total = total or sum(r[1] for r in everything)
         cums = itertools.accumulate(r[1] for r in everything)
         return [(r[0], r[1], r[1] / total, c / total) for r, c in zip(everything, cums)], total
-    run = _coverage(freq.select(value, count), threshold, inclusive, value, count, total)
-    rows = sorted(run.collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
-    out = [(r[0], r[1], r[1] / r["_total"], r["_cum"] / r["_total"]) for r in rows]
-    return out, (rows[0]["_total"] if rows else 0)
+    kept, whole = _kept(freq.select(value, count), threshold, inclusive, value, count, total)
+    rows = sorted(kept.collect(), key=lambda r: (-r[1], r[0] is None, r[0]))
+    cums = itertools.accumulate(r[1] for r in rows)
+    return [(r[0], r[1], r[1] / whole, c / whole) for r, c in zip(rows, cums)], whole if rows else 0
 
 
 def top_k_share(df: DataFrame, col: str, k: int) -> DataFrame:
