@@ -11,6 +11,7 @@ from refinery.features import chain as C
 from refinery.features.reduce import embed_with
 from refinery.functions import dates, lists, numeric, text
 from refinery.operators import grouping, joins, resolve, tables
+from refinery.operators.answers import read_answers, resolve_resumable
 from refinery.plans.queries import _NATION_CODES_SQL, _nation_codes, _r6, _t, register
 from refinery.plans.queries_models import CHAIN_SPEC, chain_input
 from refinery.session import checkpoint_dir
@@ -201,6 +202,29 @@ def q_resolver_hook(spark, sf):
     return resolve.resolve_with_callable(c, ["c_mktsegment"], answer).select("c_custkey", "match")
 
 
+@register("resumable_resolver", """
+WITH k AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || c_nationkey AS match, CAST(NULL AS VARCHAR)
+  AS resolve_error, (SELECT count(*) FROM k) AS answered FROM customer
+""")
+def q_resumable_resolver(spark, sf):
+    """J13 + X4: a resolver's answers kept in a table; the second call finds them all there and asks nothing."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    path = _folder(spark, "answers")
+    keys = ["c_nationkey", "c_mktsegment"]
+
+    def answer(asked: pd.DataFrame) -> pd.Series:
+        return asked["c_mktsegment"].str.lower() + " " + asked["c_nationkey"].astype(str)
+
+    def unreachable(asked: pd.DataFrame) -> pd.Series:
+        raise RuntimeError("asked again")
+
+    resolve_resumable(c, keys, answer, path)
+    out = resolve_resumable(c, keys, unreachable, path, tries=1)
+    kept = read_answers(spark, path, [c.schema[k] for k in keys]).agg(F.count("*").alias("answered"))
+    return out.select("c_custkey", "match", "resolve_error").join(kept)  # one row
+
+
 @register("embedding_hook", """
 SELECT item_id, CAST(length(text) AS INTEGER) AS n_chars,
        CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) AS n_e FROM benchmark
