@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from refinery.features import chain as C
 from refinery.features import encoders as E
-from refinery.features.reduce import EmbeddingPCA, TextPCA
+from refinery.features.reduce import EmbeddingPCA, TextPCA, WidePCA
 from refinery.functions.numeric import literal_map_lookup
 from refinery.functions.text import parse_list_literal
 from refinery.operators.joins import checked_broadcast
@@ -147,6 +147,29 @@ def q_pca_variance(spark, sf):
                    F.count("*").alias("vectors"))
 
 
+@register("pca_wide", """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+m AS (SELECT d, var_samp(v) AS s2 FROM x GROUP BY d)
+SELECT round(sum(s2), 4) AS total_variance, true AS uncorrelated, true AS ordered, true AS cut_holds,
+       (SELECT count(DISTINCT vec_id) FROM x) AS vectors FROM m
+""")
+def q_pca_wide(spark, sf):
+    """Components by block power iteration: total variance, uncorrelated falling scores, and the fewest
+    components that hold 85% of the variance."""
+    emb = _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    model = WidePCA(column="embedding", threshold=0.85, max_components=_width(emb)).fit(emb)
+    share, total = model.getOrDefault(model.explained), model.fitted_params()["total_variance"]
+    k = len(share)
+    pc = [F.col(f"embedding_PC{i + 1}") for i in range(k)]
+    apart = [F.abs(F.covar_samp(pc[i], pc[j])) <= 1e-6 * total for i in range(min(k, 8)) for j in range(i)]
+    falls = [F.var_samp(pc[i + 1]) <= F.var_samp(pc[i]) * (1 + 1e-9) for i in range(k - 1)]
+    held = sum((F.var_samp(c) for c in pc[1:]), F.var_samp(pc[0])) / total
+    cut = (held >= 0.85 - 1e-9) & (held - F.var_samp(pc[-1]) / total < 0.85)
+    every = lambda checks: F.forall(F.array(F.lit(True), *checks), lambda x: x)
+    return model.transform(emb).agg(F.round(F.lit(total), 4).alias("total_variance"), every(apart).alias("uncorrelated"),
+                                    every(falls).alias("ordered"), cut.alias("cut_holds"), F.count("*").alias("vectors"))
+
+
 def _width(emb):
     return emb.select(F.size("embedding").alias("d")).first()["d"]
 
