@@ -20,10 +20,12 @@ from refinery.functions.text import parse_list_literal
 from refinery.operators.joins import checked_broadcast
 from refinery.operators.sample import seeded_sample
 from refinery.plans.profile import profile_long
+from refinery.plans import jobs
 from refinery.plans import topic_sweep as TS
 from refinery.plans import topics as TP
 from refinery.plans.queries import _r6, _t, combo_lists, register
 from refinery.session import checkpoint_dir, cut_lineage, spread
+from refinery.sources import files
 
 CHAIN_SPEC = [
     ("o_orderkey", "pass", {}),
@@ -457,3 +459,54 @@ def q_weighted_bow(spark, sf):
     sums = terms.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), F.sum("weight").alias("w"))
     return docs.select("doc_id").join(sums, "doc_id", "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_terms"), _r6(F.coalesce("w", F.lit(0.0))).alias("total_weight"))
+
+
+_LIST_SQL = "(SELECT {key} AS k, string_agg({value}, ',' ORDER BY {value}) AS v FROM {table} GROUP BY 1)"
+
+
+@register("job_integrate", f"""
+WITH hist AS (SELECT max(CAST(l_orderkey AS VARCHAR)) AS k, l_partkey, l_suppkey, l_extendedprice, l_shipdate
+              FROM lineitem GROUP BY ALL)
+SELECT CAST(o_orderkey AS VARCHAR) AS "ID", o_custkey AS "COMPANYUID", o_orderstatus AS "STATUS", l_partkey AS "WH_PART",
+       l_suppkey AS "WH_SUPP", round(l_extendedprice, 6) AS "WH_PRICE", CAST(c_custkey AS VARCHAR) AS "COMPANY_UID",
+       c_mktsegment AS "COMPANY_SEGMENT", o_orderpriority AS "SEGMENTATION_DATA_VALUE", o_orderstatus AS "OCCUPATION",
+       a.v AS "ADDITIONAL_SKILLS", t.v AS "TAGS", s.v AS "SKILLS"
+FROM orders JOIN hist ON CAST(o_orderkey AS VARCHAR) = hist.k
+LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="l_linestatus", table="lineitem")} a ON o_orderkey = a.k
+LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="l_returnflag", table="lineitem")} t ON o_orderkey = t.k
+LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="p_brand", table="lineitem JOIN part ON l_partkey = p_partkey")} s
+  ON o_orderkey = s.k
+""")
+def q_job_integrate(spark, sf):
+    """Job I over orders (jobs), their lines (work history, tags, skills) and customers (companies)."""
+    o, line, c, p = (_t(spark, sf, x) for x in ("orders", "lineitem", "customer", "part"))
+    job = F.col("l_orderkey").alias("JOBID")
+    wide = jobs.integrate({
+        "jobs": o.select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("COMPANYUID"),
+                         F.col("o_orderdate").alias("PARSED"), F.col("o_orderstatus").alias("STATUS")),
+        "work_history": line.select(job, F.col("l_partkey").alias("PART"), F.col("l_suppkey").alias("SUPP"),
+                                    F.col("l_extendedprice").alias("PRICE"), F.col("l_shipdate").alias("PARSED")),
+        "companies": c.select(F.col("c_custkey").alias("UID"), F.col("c_mktsegment").alias("SEGMENT"),
+                              F.col("c_acctbal").alias("PARSED")),
+        "segmentation": o.select(F.col("o_orderkey").alias("JOBID"), F.lit("priority").alias("NAME"),
+                                 F.col("o_orderpriority").alias("VALUE"), F.lit("P").alias("LABEL"),
+                                 F.lit("text").alias("TYPE"), F.lit(1).alias("SORTORDER")),
+        "occupations": o.select(F.col("o_orderkey").alias("JOBID"), F.col("o_orderstatus").alias("PREFLABEL")),
+        "additional_skills": line.select(job, F.col("l_linestatus").alias("PREFLABEL")),
+        "job_tags": line.select(job, F.col("l_returnflag").alias("TAG")),
+        "job_skill_links": line.select(job, F.col("l_partkey").alias("SKILLID")),
+        "skill_labels": p.select(F.col("p_partkey").alias("ID"), F.col("p_brand").alias("PREFLABEL"))})
+    joined = [F.array_join(x, ",").alias(x) for x in ("ADDITIONAL_SKILLS", "TAGS", "SKILLS")]
+    return wide.select("ID", "COMPANYUID", "STATUS", "WH_PART", "WH_SUPP", _r6(F.col("WH_PRICE")).alias("WH_PRICE"),
+                       "COMPANY_UID", "COMPANY_SEGMENT", "SEGMENTATION_DATA_VALUE", "OCCUPATION", *joined)
+
+
+@register("schema_probe", """
+SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column"
+FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'documents')
+""")
+def q_schema_probe(spark, sf):
+    """S3: columns of given tables from their footers."""
+    return files.probe_schemas(spark, [(t, os.path.join(sf, f"{t}.parquet")) for t in ("customer", "orders", "documents")]
+                               ).select("table", "ordinal", "column")
