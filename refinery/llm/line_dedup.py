@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,8 +85,8 @@ def _line_rows(min_words: int):
 
 
 def _hashed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"),
-                       F.xxhash64(F.col(text), F.lit(1)).alias("h2"), F.col(text).alias("text"))
+    return docs.select(_named(id_col).alias("doc_id"), F.xxhash64(_named(text)).alias("h1"),
+                       F.xxhash64(_named(text), F.lit(1)).alias("h2"), _named(text).alias("text"))
 
 
 def _positions(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
@@ -160,20 +160,24 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     ``mark`` names an extra column that lists the deleted line numbers (from 0).
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    h1, h2, nos, key = (free_name(docs, x) for x in ("_h1", "_h2", "_nos", "_key"))
+    h1, h2, nos, key, no_id = (free_name(docs, x) for x in ("_h1", "_h2", "_nos", "_key", "_no_id"))
+    ids, texts = _named(id_col), _named(text)
     found = repeated_lines(docs, scratch, id_col, text, min_words).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("doc_id").isNull().alias("_no_id"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("doc_id").isNull().alias(no_id),
         F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("line_nos").alias(nos))
-    found = scratch.table(found.withColumnRenamed("_no_id", key + "n"), "deleted")
-    marked = (docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-              .withColumn(key + "n", F.col(id_col).isNull())
-              .withColumn(h1, F.xxhash64(text)).withColumn(h2, F.xxhash64(F.col(text), F.lit(1))))
-    joined = marked.join(found.hint("shuffle_hash"), [key, key + "n", h1, h2], "left")
-    rest = let(F.split(F.col(text), "\n"), lambda lines: F.array_join(F.transform(
+    found = scratch.table(found, "deleted")
+    marked = (docs.withColumn(key, F.coalesce(ids.cast("string"), F.lit(""))).withColumn(no_id, ids.isNull())
+              .withColumn(h1, F.xxhash64(texts)).withColumn(h2, F.xxhash64(texts, F.lit(1))))
+    joined = marked.join(found.hint("shuffle_hash"), [key, no_id, h1, h2], "left")
+    rest = let(F.split(texts, "\n"), lambda lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(nos)), lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn(text, F.when(F.col(nos).isNull(), F.col(text)).otherwise(rest))
+    out = joined.withColumn(text, F.when(F.col(nos).isNull(), texts).otherwise(rest))
     if drop_emptied:
-        out = out.filter(F.col(nos).isNull() | (F.btrim(F.col(text), F.lit(BLANKS + "\n")) != ""))
+        out = out.filter(F.col(nos).isNull() | (F.btrim(texts, F.lit(BLANKS + "\n")) != ""))
     if mark:
         out = out.withColumn(mark, F.coalesce(F.col(nos), F.array().cast("array<int>")))
-    return out.select(*docs.columns, *([mark] if mark else []))
+    return out.select(*map(_named, docs.columns), *([_named(mark)] if mark else []))
+
+
+def _named(column: str) -> Column:
+    return F.col("`{}`".format(column.replace("`", "``")))

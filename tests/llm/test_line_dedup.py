@@ -59,3 +59,17 @@ def test_empty_table_and_string_ids(spark, no_docs):
     df = spark.createDataFrame([("b", text), ("a", text)], "doc_id string, text string")
     got = {r.doc_id: r.text for r in line_dedup.delete_repeated_lines(df).collect()}
     assert got == {"a": text, "b": ""}
+
+
+def test_other_columns_keep_their_names_and_values(spark, corpus):
+    names = ["_key", "_keyn", "_no_id", "_nos", "a.b", "h1", "pos", "`q`"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in corpus], schema)
+    out = line_dedup.delete_repeated_lines(docs)
+    plain = line_dedup.delete_repeated_lines(docs.select("doc_id", "text"))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r[2 + k] == f"{n}{r.doc_id}" for r in rows for k, n in enumerate(names))
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r.doc_id), str(r.text)) for r in plain.collect())
+    marked = line_dedup.delete_repeated_lines(docs, mark="x.y")
+    assert marked.columns == [*docs.columns, "x.y"] and marked.count() == len(corpus)
