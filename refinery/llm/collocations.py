@@ -319,7 +319,10 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, text: str = "text", lang: s
 
 def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                  longest: int = LONGEST, top: int = TOP, **sizes) -> DataFrame:
-    """The ``top`` phrases of each language by score, with their counts; see the contract of the columns in the README."""
+    """The ``top`` phrases of each language by score: (lang, rank, phrase, a, l, r, n, score).
+
+    ``a`` counts the phrase, ``l`` and ``r`` the parts of its lowest-scoring cut, ``n`` all words of the language.
+    """
     scratch = Scratch(docs.sparkSession, "phrases")
     counts, words, totals = phrase_counts(docs, scratch, text, lang, min_count, longest, **sizes)
     phrases = counts.filter(F.size("key") > 1)
