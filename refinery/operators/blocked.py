@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from refinery.session import compute_partitions, cut_lineage
 
-BLOCK_ENTRIES = 1 << 13
+BLOCK_ENTRIES = 1 << 15
 HELD_BYTES = 64 << 20  # of sums kept in a task before they are handed on
 
 VECTORS = T.StructType([T.StructField("index", T.LongType()), T.StructField("vec", T.BinaryType())])
@@ -53,9 +53,9 @@ class Blocked:
 
     @classmethod
     def of(cls, entries: DataFrame, block_entries: int = BLOCK_ENTRIES) -> Blocked:
-        """Deal ``(id, index, value)`` entries into blocks; all entries of a row stay together."""
+        """Deal ``(id, index, value)`` entries into blocks, enough for all cores; all entries of a row stay together."""
         n = entries.count()
-        blocks = max(1, -(-n // block_entries))
+        blocks = max(1, -(-n // block_entries), min(compute_partitions(entries.sparkSession), -(-n // 1024)))
         dealt = cut_lineage(entries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), "id",
                                            F.col("index").cast("long").alias("index"),
                                            F.col("value").cast("double").alias("value")))
