@@ -9,9 +9,12 @@ reaches the driver.  There the plan is made on counts, never on documents:
      of which combination of sizes), solved by column generation;
   3. actual lengths are substituted for the rounded sizes in a share of the
      solution (rounding up asks for too many sequences; the excess stays in the
-     unused share), the smallest member of each configuration left open;
+     unused share), the smallest member of each configuration left open or not;
   4. the rest and the small lengths go, longest first, where they fit best.
 
+Several numbers of groups and shares are tried on the counts, best-fit alone
+among them, and the plan of fewest sequences is kept.
+
 Sequences with the same content of lengths stay one run of the plan, so its
 size depends on the capacity and not on the number of documents.  The pieces
 are then ranked among those of their length (in salted slices, so that a
@@ -29,7 +32,7 @@ Defined results
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,9 +46,9 @@ from .tokens import ID_BYTES, encoder, release_memory
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 64
+GROUPS = (32, 64)  # numbers of groups tried
 SMALL = 1 / 8  # lengths up to this share of the capacity are small
-SHARE = 0.75  # of the configurations that is used; the rounding's excess is in the rest
+SHARES = (0.95, 0.85, 0.75, 0.5, 0.25, 0.1)  # of the configurations, tried; the rounding's excess is in the rest
 SLICE = 10_000  # pieces of one length ranked together
 
 
@@ -91,63 +94,92 @@ def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -
     return list(zip(columns, amount))
 
 
-def plan_packing(histogram: Mapping[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
-                 small: float = SMALL, share: float = SHARE) -> list[tuple[int, dict[int, int]]]:
-    """Runs (number of sequences, {length: copies in each}) that hold every counted length."""
-    runs: list[tuple[int, dict[int, int]]] = []
-    if histogram.get(capacity):
-        runs.append((histogram[capacity], {capacity: 1}))
+def plan_packing(histogram: Mapping[int, int], capacity: int = CAPACITY, groups: int | Sequence[int] = GROUPS,
+                 small: float = SMALL, shares: Sequence[float] = SHARES) -> list[tuple[int, dict[int, int]]]:
+    """Runs (number of sequences, {length: copies in each}) that hold every counted length.
+
+    Every number of groups and every share of its configurations gives a plan,
+    with the smallest members open or not; the one of fewest sequences is
+    returned, or best-fit of all lengths where that takes fewer still.
+    """
+    full = [(histogram[capacity], {capacity: 1})] if histogram.get(capacity) else []
     rest = {n: c for n, c in histogram.items() if n < capacity and c}
+    size = lambda runs: sum(c for c, _ in runs)
+    least = size(full) - (-sum(n * c for n, c in rest.items()) // capacity)  # no plan is below this
+    best = None
+    for k in [groups] if isinstance(groups, int) else groups:
+        grouped, left = _group(rest, capacity, k, small)
+        if not grouped:
+            break
+        sizes = np.array([g[0][0] for g in grouped])
+        counts = np.array([sum(c for _, c in g) for g in grouped], float)
+        solution = solve_configurations(sizes, counts, capacity)
+        for share in shares:
+            for keep_open in (True, False):
+                runs = _substitute(full, grouped, left, solution, share, keep_open, capacity)
+                if best is None or size(runs) < size(best):
+                    best = runs
+                if size(best) == least:
+                    return best
+    plain = _best_fit(full, rest, capacity)
+    return plain if best is None or size(plain) < size(best) else best
+
+
+def _group(rest: Mapping[int, int], capacity: int, groups: int,
+           small: float) -> tuple[list[list[tuple[int, int]]], dict[int, int]]:
+    """Large lengths in groups of equal cardinality, as (length, count) from the longest, and the small lengths."""
     large = sorted((n for n in rest if n > small * capacity), reverse=True)
-    total = sum(rest[n] for n in large)
-
-    grouped: list[list[list[int]]] = []  # per group [length, count], longest first
-    quota = max(1, -(-total // groups))
+    left = {n: c for n, c in rest.items() if n <= small * capacity}
+    quota = max(1, -(-sum(rest[n] for n in large) // groups))
+    grouped: list[list[tuple[int, int]]] = []
     room = 0
     for n in large:
-        left = rest.pop(n)
-        while left:
+        more = rest[n]
+        while more:
             if not room:
                 if not grouped or grouped[-1][0][0] != n:
                     grouped.append([])
                 room = quota
-            took = min(left, room)
-            grouped[-1].append([n, took])
-            left, room = left - took, room - took
-    if grouped:
-        sizes = np.array([g[0][0] for g in grouped])
-        counts = np.array([sum(c for _, c in g) for g in grouped], float)
-        for column, amount in solve_configurations(sizes, counts, capacity):
-            whole = int(amount * share + 1e-6)
-            used = [(i, int(a)) for i, a in enumerate(column) if a]
-            if sum(a for _, a in used) > 1:  # the smallest member is fitted on actual lengths below
-                used[-1] = (used[-1][0], used[-1][1] - 1)
-                used = [x for x in used if x[1]]
-            whole = min([whole, *(sum(c for _, c in grouped[i]) // a for i, a in used)])
-            while whole:  # as many equal sequences as the front lengths of the groups allow
-                mix: dict[int, int] = {}
-                same = whole
-                for i, a in used:
+            took = min(more, room)
+            grouped[-1].append((n, took))
+            more, room = more - took, room - took
+    return grouped, left
+
+
+def _substitute(full: list[tuple[int, dict[int, int]]], groups: list[list[tuple[int, int]]], small: Mapping[int, int],
+                solution: list[tuple[np.ndarray, float]], share: float, keep_open: bool,
+                capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """A share of the configurations filled with actual lengths; all that is left goes by best-fit."""
+    runs, rest = list(full), dict(small)
+    grouped = [[list(x) for x in g] for g in groups]
+    for column, amount in solution:
+        whole = int(amount * share + 1e-6)
+        used = [(i, int(a)) for i, a in enumerate(column) if a]
+        if keep_open and sum(a for _, a in used) > 1:  # the smallest member is fitted on actual lengths below
+            used[-1] = (used[-1][0], used[-1][1] - 1)
+            used = [x for x in used if x[1]]
+        whole = min([whole, *(sum(c for _, c in grouped[i]) // a for i, a in used)])
+        while whole:  # as many equal sequences as the front lengths of the groups allow
+            mix: dict[int, int] = {}
+            same = whole
+            for i, a in used:
+                n, c = grouped[i][0]
+                same = min(same, c // a) if c >= a else 1
+            for i, a in used:
+                need = a * same
+                while need:
                     n, c = grouped[i][0]
-                    if c >= a:
-                        same = min(same, c // a)
-                    else:
-                        same = 1
-                for i, a in used:
-                    need = a * same
-                    while need:
-                        n, c = grouped[i][0]
-                        took = min(c, need)
-                        mix[n] = mix.get(n, 0) + took
-                        need -= took
-                        grouped[i][0][1] -= took
-                        if not grouped[i][0][1]:
-                            grouped[i].pop(0)
-                runs.append((same, {n: c // same for n, c in mix.items()}))
-                whole -= same
-        for g in grouped:
-            for n, c in g:
-                rest[n] = rest.get(n, 0) + c
+                    took = min(c, need)
+                    mix[n] = mix.get(n, 0) + took
+                    need -= took
+                    grouped[i][0][1] -= took
+                    if not grouped[i][0][1]:
+                        grouped[i].pop(0)
+            runs.append((same, {n: c // same for n, c in mix.items()}))
+            whole -= same
+    for g in grouped:
+        for n, c in g:
+            rest[n] = rest.get(n, 0) + c
     return _best_fit(runs, rest, capacity)
 
 
@@ -240,7 +272,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(cut, schema)
 
 
-def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, groups: int = GROUPS,
+def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, groups: int | Sequence[int] = GROUPS,
                  small: float = SMALL) -> DataFrame:
     """``pieces`` (any columns next to doc_id, piece, length) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -256,7 +288,7 @@ def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY,
 
     # only lengths with many pieces are sliced, so there are few slices in all
     slices = F.array(*[F.lit(max(1, -(-histogram.get(n, 0) // SLICE))) for n in range(capacity + 1)])
-    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
+    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64(*pieces.columns), F.get(slices, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (salted.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
               .select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
@@ -267,8 +299,8 @@ def place_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY,
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
-                   capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, small: float = SMALL,
-                   carry: Mapping[str, Column] | None = None, **memory: int) -> DataFrame:
+                   capacity: int = CAPACITY, end_id: int = END_ID, groups: int | Sequence[int] = GROUPS,
+                   small: float = SMALL, carry: Mapping[str, Column] | None = None, **memory: int) -> DataFrame:
     """Every piece with its place.
 
     ``carry``: columns to take along instead of the ids themselves; ``memory``: see ``tokenize_pieces``.
