@@ -1,4 +1,4 @@
-"""Adaptive escape-chain range coder for token ids, many blocks at a time.
+"""Adaptive context-mixing range coder for token ids, many blocks at a time.
 
 Blocks are independent: each starts from an empty model.  To keep the work in
 vector operations the blocks of a batch are coded in lockstep, one id of every
@@ -7,15 +7,21 @@ block per step; block k is lane k.  A single block decodes just as well alone.
 Model of one id, all parts adaptive and per block:
   - order 2: the id that last followed the two ids before (hashed table);
   - order 1: the id that last followed the id before;
-  - order 0: the sorted ids of the block so far (refreshed at ``REFRESH``), and
-    behind them a fixed prior that falls with the id, as byte-pair ids do.
-Each prediction has a probability of being right, learned per confidence (hits
-in a row).  They share one interval per outcome (order 2, order 1, order 0,
-prior) and the first order that names the id codes it: predictions of several
-orders are never summed.  The last two then code the id itself.
-
-The coder keeps 48 bits of low and range and puts out 16-bit words.  A carry is
-added to the last word and resolved when the block ends.
+  - order 0: the counts of the block's ids so far (refreshed at ``REFRESH``);
+  - a fixed prior that falls with the id, as byte-pair ids do.
+Their mixture codes the id in one step: an id's probability is the sum of what
+every order gives it,
+
+    P(x) = w2 [x = id2] + w1 [x = id1] + w0 count(x) / n + wp prior(x),
+
+and its place is the sum of the cumulative probabilities, so the decoder finds
+it by binary search.  The weights of orders 2 and 1 are kept per confidence
+(hits in a row).  All weights follow the share that their order had in the
+probability of the ids coded (online expectation maximisation).
+
+Weights and places are integers of 2**TOTAL_BITS, so that both sides compute
+the same.  The coder keeps 48 bits of low and range and puts out 16-bit words.
+A carry is added to the last word and resolved when the block ends.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ import numpy as np
 
 BLOCK = 2048
 LANES = 1024  # blocks coded together; bounds the memory of a task
-REFRESH = (64, 256, 1024)
+REFRESH = (16, 32, 64, 128, 256, 512, 1024)  # powers of 2
 TABLE_BITS = 11
-LEVELS = 16  # of confidence
+LEVELS = 16  # of confidence; 0: the context is new
 PRIOR_BITS = 20
-CLASS_BITS = 24
+TOTAL_BITS = 28
+RATE = 5  # weights move by 2**-RATE of the difference
+_FLOOR = 1 << PRIOR_BITS  # of the prior's weight: every id can be coded
+_ONE = 1 << 16  # of the weights within what higher orders leave
 _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 _LOW = _U(1 << 32)
@@ -39,90 +48,110 @@ def prior(vocabulary: int) -> np.ndarray:
     weight = 1.0 / (np.arange(vocabulary) + 64.0)
     count = 1 + np.floor(weight / weight.sum() * ((1 << PRIOR_BITS) - vocabulary)).astype(np.int64)
     count[0] += (1 << PRIOR_BITS) - count.sum()
-    return np.concatenate([[0], np.cumsum(count)])
+    return np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+
+
+class _Past:
+    """Counts of the lanes' ids so far: sorted, behind a sentinel, with the run of equal ids around each place."""
+
+    def __init__(self, ids: np.ndarray, n: int, cum: np.ndarray):
+        order = np.argsort(ids[:, :n], axis=1)
+        found = np.take_along_axis(ids[:, :n], order, 1)
+        change = np.ones((ids.shape[0], n + 1), bool)
+        change[:, 1:n] = found[:, 1:] != found[:, :-1]
+        place = np.arange(n + 1, dtype=np.int32)
+        first = np.maximum.accumulate(np.where(change[:, :n], place[:n], 0), axis=1)
+        end = np.minimum.accumulate(np.where(change[:, 1:], place[1:], n)[:, ::-1], axis=1)[:, ::-1]
+        #: (first place, end) of the id at each time so far
+        self.by_time = np.empty((2, *order.shape), np.int32)
+        for side, values in zip(self.by_time, (first, end)):
+            np.put_along_axis(side, order, values, 1)
+        self.n, self.width = n, n + 1
+        padded = np.zeros((4, ids.shape[0], n + 1), np.int32)
+        padded[:, :, 1:] = found, first, end, cum[found]
+        self.sorted, self.first, self.end, self.cum = (x.ravel() for x in padded)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, end) of each id of the lanes; equal where it did not occur."""
+        lane = np.arange(ids.shape[0], dtype=np.int64)[:, None]
+        rows = self.sorted.reshape(-1, self.width)[:, 1:]
+        keys = (rows + (lane << 32)).ravel()
+        at = np.searchsorted(keys, (ids + (lane << 32)).ravel()).reshape(ids.shape) - lane * self.n
+        inside = np.minimum(at, self.n - 1)
+        there = (at < self.n) & (np.take_along_axis(rows, inside, 1) == ids)
+        end = np.take_along_axis(self.end.reshape(-1, self.width)[:, 1:], inside, 1)
+        return at.astype(np.int32), np.where(there, end, at).astype(np.int32)
 
 
 class _Mixer:
-    """The predictions and their learned probabilities, for the first ``k`` lanes at a step."""
+    """The predictions and their weights, for the first ``k`` lanes at a step.
 
-    def __init__(self, lanes: int):
+    Tables hold the time at which a context's last id stood (from 1; 0: none)
+    and its confidence.  ``ids`` are the lanes' ids by time, ``runs`` their
+    (first place, end) among the past ones.
+    """
+
+    def __init__(self, lanes: int, longest: int):
         self.base = np.arange(lanes, dtype=np.int64)
-        self.table1 = np.zeros(lanes << TABLE_BITS, np.uint32)
-        self.table2 = np.zeros(lanes << TABLE_BITS, np.uint32)
-        self.p1 = np.full(lanes * LEVELS, 8192, np.int64)
-        self.p2 = np.full(lanes * LEVELS, 8192, np.int64)
-        self.p0 = np.full(lanes, 16384, np.int64)
+        self.rows = self.base * (longest + 1)
+        self.ids = np.zeros((lanes, longest + 1), np.int32)
+        self.runs = np.zeros((2, lanes, longest + 1), np.int32)
+        self.table1 = np.zeros(lanes << TABLE_BITS, np.uint16)
+        self.table2 = np.zeros(lanes << TABLE_BITS, np.uint16)
+        start = np.minimum(6144 + 8192 * np.arange(LEVELS, dtype=np.int32), 49152)
+        self.p2, self.p1 = np.tile(start, lanes), np.tile(start // 2, lanes)
+        self.p2[::LEVELS] = self.p1[::LEVELS] = 0
+        self.p0 = np.full(lanes, 32768, np.int32)
         self.last1 = np.zeros(lanes, np.uint32)
         self.last2 = np.zeros(lanes, np.uint32)
-        self.lanes = lanes
-        self.ends = np.zeros((5, lanes), np.int64)
-        self.ends[4] = 1 << CLASS_BITS
 
-    def predict(self, k: int, history: bool) -> np.ndarray:
-        """Rows 0 to 4: where the intervals of order 2, order 1, order 0 and prior begin and end in 2**CLASS_BITS."""
-        base, shift = self.base[:k], np.uint32(32 - TABLE_BITS)
+    def predict(self, k: int, n: int) -> None:
+        """Set id2, id1, their weights w2 and w1, and the units u0 (of a count of ``n``) and up (of the prior)."""
+        self.n, base, shift = n, self.base[:k], np.uint32(32 - TABLE_BITS)
         a = self.last1[:k] * np.uint32(0x9E3779B1)
         self.at1 = (base << TABLE_BITS) + (a >> shift)
         self.at2 = (base << TABLE_BITS) + ((a ^ self.last2[:k] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
                                            >> shift)
         e1, e2 = self.table1[self.at1], self.table2[self.at2]
-        self.id1, self.id2 = e1 & np.uint32(0xFFFFFF), e2 & np.uint32(0xFFFFFF)
-        self.c1, self.c2 = e1 >> np.uint32(24), e2 >> np.uint32(24)
+        self.c1, self.c2 = e1 & np.uint16(15), e2 & np.uint16(15)
+        self.t1, self.t2 = self.rows[:k] + (e1 >> np.uint16(4)), self.rows[:k] + (e2 >> np.uint16(4))
+        ids = self.ids.ravel()
+        self.id1, self.id2 = ids[self.t1], ids[self.t2]
         self.q1, self.q2 = base * LEVELS + self.c1, base * LEVELS + self.c2
         self.v1, self.v2 = self.p1[self.q1], self.p2[self.q2]
-        end2 = self.v2 << 8
-        rest = (1 << CLASS_BITS) - end2
-        end1 = end2 + (rest * np.where(self.id1 == self.id2, 256, self.v1) >> 16)
-        rest = (1 << CLASS_BITS) - end1
-        ends = self.ends
-        ends[1, :k], ends[2, :k] = end2, end1
-        ends[3, :k] = end1 + (rest * (self.p0[:k] if history else 256) >> 16)
-        return ends
-
-    def interval(self, k: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = kind * self.lanes + self.base[:k]
-        lower = self.ends.take(at)
-        return lower.astype(_U), (self.ends.take(at + self.lanes) - lower).astype(_U)
-
-    def update(self, k: int, ids: np.ndarray, kind: np.ndarray) -> None:
-        hit2, hit1 = ids == self.id2, ids == self.id1
-        miss2 = ~hit2
-        # the targets 256 and 65280 keep every probability away from 0 and 1
-        self.p2[self.q2] = self.v2 + ((hit2 * 65024 + 256 - self.v2) >> 4)
-        self.p1[self.q1] = self.v1 + ((hit1 * 65024 + 256 - self.v1) >> 4) * miss2
-        old = self.p0[:k]
-        self.p0[:k] = old + (((kind == 2) * 65024 + 256 - old) >> 5) * (kind >= 2)
-        top = np.uint32(LEVELS - 1)
-        self.table2[self.at2] = ids | (np.minimum(self.c2 + np.uint32(1), top) * hit2 << np.uint32(24))
-        self.table1[self.at1] = ids | (np.minimum(self.c1 + np.uint32(1), top) * hit1 << np.uint32(24))
-        self.last2[:k] = self.last1[:k]
-        self.last1[:k] = ids
-
+        rest = (1 << TOTAL_BITS) - _FLOOR
+        self.w2 = self.v2 * np.int32(rest >> 16)
+        rest = rest - self.w2
+        self.w1 = (rest >> 16) * self.v1
+        rest -= self.w1
+        if n:
+            self.u0 = (rest >> 16) * self.p0[:k] >> n.bit_length() - 1
+            rest -= self.u0 * np.int32(n)
+        else:
+            self.u0 = np.zeros(k, np.int32)
+        self.up = (rest >> PRIOR_BITS) + 1
 
-class _History:
-    """The sorted ids of the lanes so far, with the run of equal ids around each place."""
-
-    def __init__(self, ids: np.ndarray, n: int):
-        self.n, self.sorted = n, np.sort(ids[:, :n], axis=1)
-        change = np.ones((ids.shape[0], n + 1), bool)
-        change[:, 1:n] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        place = np.arange(n + 1, dtype=np.int32)
-        self.first = np.maximum.accumulate(np.where(change[:, :n], place[:n], 0), axis=1)
-        self.end = np.minimum.accumulate(np.where(change[:, 1:], place[1:], n)[:, ::-1], axis=1)[:, ::-1]
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is there, first place, end) of each id of the lanes."""
-        lane = np.arange(ids.shape[0], dtype=np.int64)[:, None]
-        flat = (self.sorted.astype(np.int64) + (lane << 32)).ravel()
-        at = np.searchsorted(flat, (ids.astype(np.int64) + (lane << 32)).ravel()).reshape(ids.shape) - lane * self.n
-        inside = np.minimum(at, self.n - 1)
-        there = (at < self.n) & (np.take_along_axis(self.sorted, inside, 1) == ids)
-        return there, inside, np.take_along_axis(self.end, inside, 1)
-
-
-def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact floor of a / b for a below 2**48 (the double quotient cannot round up to the next integer)."""
-    return np.floor(a / b).astype(_U)
+    def update(self, k: int, t: int, x: np.ndarray, first: np.ndarray, end: np.ndarray, width: np.ndarray) -> None:
+        hit2, hit1 = x == self.id2, x == self.id1
+        scale = _ONE / width
+        r2 = (self.w2 * hit2 * scale).astype(np.int32)
+        r1 = (self.w1 * hit1 * scale).astype(np.int32)
+        r0 = (self.u0 * (end - first) * scale).astype(np.int32)
+        low, high = 256, _ONE - 256
+        left = _ONE - r2
+        self.p2[self.q2] = np.clip(self.v2 + (r2 - self.v2 >> RATE), low, high)
+        # a weight counts within what the orders above leave (halves, so that products stay below 2**31)
+        self.p1[self.q1] = np.clip(self.v1 + (r1 - ((self.v1 >> 1) * (left >> 1) >> 14) >> RATE), low, high)
+        if self.n:
+            p0 = self.p0[:k]
+            self.p0[:k] = np.clip(p0 + (r0 - ((p0 >> 1) * (left - r1 >> 1) >> 14) >> RATE), low, high)
+        self.p2[:k * LEVELS:LEVELS] = 0
+        self.p1[:k * LEVELS:LEVELS] = 0
+        top, one, now = np.uint16(LEVELS - 1), np.uint16(1), np.uint16(t + 1 << 4)
+        self.table2[self.at2] = now + np.minimum(self.c2 * hit2 + one, top)
+        self.table1[self.at1] = now + np.minimum(self.c1 * hit1 + one, top)
+        self.last2[:k] = self.last1[:k]
+        self.last1[:k] = x
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -130,53 +159,48 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lanes, longest = len(blocks), len(blocks[order[0]])
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((lanes, longest), np.uint32)
+    mixer, cum = _Mixer(lanes, longest), prior(vocabulary)
+    ids = mixer.ids[:, 1:]
     for lane, i in enumerate(order):
         ids[lane, :sizes[lane]] = blocks[i]
-    mixer, cum = _Mixer(lanes), prior(vocabulary)
     low, span = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
     out = np.zeros((lanes, 3 * longest + 8), np.uint32)
     length = np.zeros(lanes, np.int64)
-
-    def code(k: int, start: np.ndarray, count: np.ndarray, unit: np.ndarray) -> None:
-        a, b = low[:k], span[:k]
-        a += unit * start
-        np.multiply(unit, count, out=b)
-        over = np.flatnonzero(a > _MASK)
-        if over.size:
-            out[over, length[over] - 1] += 1
-            a[over] &= _MASK
-        while (thin := np.flatnonzero(b < _LOW)).size:
-            out[thin, length[thin]] = a[thin] >> _U(32)
-            length[thin] += 1
-            a[thin] = (a[thin] << _U(16)) & _MASK
-            b[thin] <<= _U(16)
+    none = np.zeros(lanes, np.int32)
 
     edges = [0, *(r for r in REFRESH if r < longest), longest]
     for begin, stop in zip(edges, edges[1:]):
-        part = ids[:, begin:stop]
+        # step by step, so that the lanes of a step lie together
+        part = np.ascontiguousarray(ids[:, begin:stop].T)
         if begin:
-            past = _History(ids, begin)
-            there, first, end = past.find(part)
-        p_start, p_end = cum[part], cum[part + 1]
+            firsts, ends = (np.ascontiguousarray(x.T) for x in _Past(ids, begin, cum).find(part.T))
+        p_start = cum[part]
+        p_count = cum[part + 1] - p_start
         for t in range(begin, stop):
             j = t - begin
             k = int(np.searchsorted(-sizes, -t))  # lanes that still have an id
-            x = ids[:k, t]
-            mixer.predict(k, begin > 0)
-            deeper = 3 - there[:k, j].astype(np.int64) if begin else 3
-            kind = np.where(x == mixer.id2, 0, np.where(x == mixer.id1, 1, deeper))
-            code(k, *mixer.interval(k, kind), span[:k] >> _U(CLASS_BITS))
-            from_past, from_prior = kind == 2, kind == 3
-            start = p_start[:k, j] * from_prior
-            count = np.where(from_prior, p_end[:k, j] - p_start[:k, j], 1)
-            total = np.where(from_prior, 1 << PRIOR_BITS, 1)
+            x = part[j, :k]
+            mixer.predict(k, begin)
+            first, end = (firsts[j, :k], ends[j, :k]) if begin else (none[:k],) * 2
+            start = mixer.up * p_start[j, :k] + mixer.w2 * (x > mixer.id2) + mixer.w1 * (x > mixer.id1)
+            width = mixer.up * p_count[j, :k] + mixer.w2 * (x == mixer.id2) + mixer.w1 * (x == mixer.id1)
             if begin:
-                start = np.where(from_past, first[:k, j], start)
-                count = np.where(from_past, end[:k, j] - first[:k, j], count)
-                total = np.where(from_past, begin, total)
-            code(k, start.astype(_U), count.astype(_U), _quotient(span[:k], total))
-            mixer.update(k, x, kind)
+                start += mixer.u0 * first
+                width += mixer.u0 * (end - first)
+            a, b = low[:k], span[:k]
+            b >>= _U(TOTAL_BITS)
+            a += b * start.astype(_U)
+            b *= width.astype(_U)
+            over = np.flatnonzero(a > _MASK)
+            if over.size:
+                out[over, length[over] - 1] += 1
+                a[over] &= _MASK
+            while (thin := np.flatnonzero(b < _LOW)).size:
+                out[thin, length[thin]] = a[thin] >> _U(32)
+                length[thin] += 1
+                a[thin] = (a[thin] << _U(16)) & _MASK
+                b[thin] <<= _U(16)
+            mixer.update(k, t, x, first, end, width)
 
     for shift in (32, 16, 0):
         out[np.arange(lanes), length] = (low >> _U(shift)) & _U(0xFFFF)
@@ -199,49 +223,86 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
     for lane, i in enumerate(order):
         one = np.frombuffer(coded[i], "<u2")
         words[lane, :len(one)] = one
-    ids = np.zeros((lanes, longest), np.uint32)
-    mixer, cum = _Mixer(lanes), prior(vocabulary)
-    by_place = np.repeat(np.arange(vocabulary, dtype=np.uint32), np.diff(cum))
+    mixer, cum = _Mixer(lanes, longest), prior(vocabulary)
+    ids = mixer.ids[:, 1:]
+    by_place = np.repeat(np.arange(vocabulary, dtype=np.int32), np.diff(cum))
     value = (words[:, 0] << _U(32)) | (words[:, 1] << _U(16)) | words[:, 2]
     span, at = np.full(lanes, _MASK, _U), np.full(lanes, 3, np.int64)
+    none = np.zeros(lanes, np.int32)
 
-    def take(k: int, start: np.ndarray, count: np.ndarray, unit: np.ndarray) -> None:
-        a, b = value[:k], span[:k]
-        a -= unit * start
-        np.multiply(unit, count, out=b)
-        while (thin := np.flatnonzero(b < _LOW)).size:
-            # past the end (of a damaged block) the words are 0
-            a[thin] = (a[thin] << _U(16)) | words[thin, np.minimum(at[thin], words.shape[1] - 1)]
-            at[thin] += 1
-            b[thin] <<= _U(16)
+    def search(past: _Past, lane: np.ndarray, place: np.ndarray, u0: np.ndarray,
+               up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, first, end) at a place of the cumulative counts and prior."""
+        row = lane * past.width
+        spot, step = np.zeros(len(lane), np.int64), past.n
+        while step:
+            ahead = np.minimum(spot + step, past.n)
+            i = row + ahead
+            spot = np.where(u0 * past.first[i] + up * past.cum[i] <= place, ahead, spot)
+            step >>= 1
+        i = row + spot
+        x, first, end = past.sorted[i], past.first[i], past.end[i]
+        behind = (spot == 0) | (place >= u0 * end + up * cum[x + 1])  # after the id's run, in the prior alone
+        other = by_place[np.clip((place - u0 * end) // up, 0, (1 << PRIOR_BITS) - 1)]
+        return np.where(behind, other, x), np.where(behind, end, first), end
 
     edges = [0, *(r for r in REFRESH if r < longest), longest]
     for begin, stop in zip(edges, edges[1:]):
-        past = _History(ids, begin) if begin else None
+        past = None
+        if begin:
+            past = _Past(ids, begin, cum)
+            mixer.runs[:, :, 1:begin + 1] = past.by_time
+        runs = mixer.runs.reshape(2, -1)
         for t in range(begin, stop):
             k = int(np.searchsorted(-sizes, -t))
-            ends = mixer.predict(k, begin > 0)
-            unit = span[:k] >> _U(CLASS_BITS)
-            place = np.minimum(_quotient(value[:k], unit).astype(np.int64), (1 << CLASS_BITS) - 1)
-            kind = (place >= ends[1, :k]).astype(np.int64) + (place >= ends[2, :k]) + (place >= ends[3, :k])
-            take(k, *mixer.interval(k, kind), unit)
-            from_past, from_prior = kind == 2, kind == 3
-            total = np.where(from_prior, 1 << PRIOR_BITS, np.where(from_past, max(begin, 1), 1))
-            unit = _quotient(span[:k], total)
-            place = np.minimum(_quotient(value[:k], unit).astype(np.int64), total - 1)
-            x = by_place[place * from_prior]
-            start, end = cum[x] * from_prior, np.where(from_prior, cum[x + 1], 1)
-            if past:
-                lane, spot = mixer.base[:k], place * from_past
-                x = np.where(from_past, past.sorted[lane, spot], x)
-                start = np.where(from_past, past.first[lane, spot], start)
-                end = np.where(from_past, past.end[lane, spot], end)
-            take(k, start.astype(_U), (end - start).astype(_U), unit)
-            x = np.where(kind == 0, mixer.id2, np.where(kind == 1, mixer.id1, x)).astype(np.uint32)
+            mixer.predict(k, begin)
+            id2, id1, w2, w1, u0, up = mixer.id2, mixer.id1, mixer.w2, mixer.w1, mixer.u0, mixer.up
+            a, b = value[:k], span[:k]
+            b >>= _U(TOTAL_BITS)
+            place = np.minimum(np.floor(a / b), (1 << TOTAL_BITS) - 1).astype(np.int32)
+            same = id2 == id1
+            start2, start1 = up * cum[id2] + w1 * (id2 > id1), up * cum[id1] + w2 * (id1 > id2)
+            stop2 = start2 + up * (cum[id2 + 1] - cum[id2]) + w2 + w1 * same
+            stop1 = start1 + up * (cum[id1 + 1] - cum[id1]) + w1 + w2 * same
+            first, end = none[:k], none[:k]
+            if begin:
+                first2, first1 = runs[0, mixer.t2], runs[0, mixer.t1]
+                end2, end1 = runs[1, mixer.t2], runs[1, mixer.t1]
+                start2 += u0 * first2
+                stop2 += u0 * end2
+                start1 += u0 * first1
+                stop1 += u0 * end1
+            hit2 = (place >= start2) & (place < stop2) & (w2 > 0)
+            hit1 = (place >= start1) & (place < stop1) & (w1 > 0)
+            x = np.where(hit2, id2, id1)
+            start, width = np.where(hit2, start2, start1), np.where(hit2, stop2 - start2, stop1 - start1)
+            if begin:
+                first, end = np.where(hit2, first2, first1), np.where(hit2, end2, end1)
+            lane = np.flatnonzero(~(hit2 | hit1))
+            if lane.size:
+                before = (w2 * (place >= stop2) + w1 * (place >= stop1))[lane]
+                v0, vp = u0[lane], up[lane]
+                if past:
+                    x[lane], first[lane], end[lane] = one = search(past, lane, place[lane] - before, v0, vp)
+                    start[lane] = v0 * one[1] + vp * cum[one[0]] + before
+                    width[lane] = v0 * (one[2] - one[1]) + vp * (cum[one[0] + 1] - cum[one[0]])
+                else:
+                    x[lane] = found = by_place[np.clip((place[lane] - before) // vp, 0, (1 << PRIOR_BITS) - 1)]
+                    start[lane] = vp * cum[found] + before
+                    width[lane] = vp * (cum[found + 1] - cum[found])
+            a -= b * start.astype(_U)
+            b *= width.astype(_U)
+            while (thin := np.flatnonzero(b < _LOW)).size:
+                # past the end (of a damaged block) the words are 0
+                a[thin] = (a[thin] << _U(16)) | words[thin, np.minimum(at[thin], words.shape[1] - 1)]
+                at[thin] += 1
+                b[thin] <<= _U(16)
             ids[:k, t] = x
-            mixer.update(k, x, kind)
+            mixer.runs[0, :k, t + 1] = first
+            mixer.runs[1, :k, t + 1] = end
+            mixer.update(k, t, x, first, end, width)
 
     found: list[np.ndarray] = [ids[0]] * lanes
     for lane, i in enumerate(order):
-        found[i] = ids[lane, :sizes[lane]]
+        found[i] = ids[lane, :sizes[lane]].astype(np.uint32)
     return found

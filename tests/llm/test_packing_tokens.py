@@ -92,6 +92,31 @@ def test_range_coder_round_trip(seed):
     assert (alone == blocks[2]).all()
 
 
+def test_mixture_is_a_distribution_and_gives_the_size():
+    rng = np.random.default_rng(4)
+    vocabulary, n = 300, 700
+    ids = np.where(rng.random(n) < 0.85, np.tile(rng.integers(0, vocabulary, 40), 18)[:n],
+                   rng.integers(0, vocabulary, n)).astype(np.uint32)
+    mixer, cum = range_coder._Mixer(1, n), range_coder.prior(vocabulary)
+    mixer.ids[0, 1:] = ids
+    every, bits, both, past = np.arange(vocabulary), 0.0, 0, 0
+    for t, x in enumerate(ids.tolist()):
+        past = max((r for r in range_coder.REFRESH if r <= t), default=0)
+        mixer.predict(1, past)
+        seen = np.bincount(ids[:past], minlength=vocabulary)
+        width = mixer.up * np.diff(cum) + mixer.u0 * seen + mixer.w2 * (every == mixer.id2) + mixer.w1 * (every == mixer.id1)
+        whole = 1 << range_coder.TOTAL_BITS
+        assert width.min() >= 1 and whole * 0.99 < width.sum() <= whole
+        # an id that both orders and the counts name has the sum of all
+        both += bool(mixer.w2[0] and mixer.id2[0] == mixer.id1[0] == x and seen[x])
+        bits -= np.log2(width[x] / whole)
+        at = np.array([seen[:x].sum()], np.int32)
+        mixer.update(1, t, np.array([x], np.int32), at, at + seen[x].astype(np.int32), width[x:x + 1])
+    assert both > 100  # the case occurs
+    size = 8 * len(range_coder.encode_blocks([ids], vocabulary)[0])
+    assert bits <= size <= bits * 1.01 + 64
+
+
 def test_repeats_cost_little():
     block = np.tile(np.arange(100, 140, dtype=np.uint32), 100)
     assert len(range_coder.encode_blocks([block], 50_257)[0]) < len(block) * 4 / 30
