@@ -6,8 +6,10 @@ characters, as a whole and between its separators: counts are kept
 incrementally while the window slides, so the Shannon entropy of each window
 costs a constant number of steps.  Windows at or above the limit of the
 character class of the candidate or its part merge into spans of kind
-``entropy``; an allow-list suppresses strings that are random but public: a
-candidate that one of its matches overlaps or directly precedes.
+``entropy``.  An allow-list suppresses strings that are random but public: a
+candidate that one of its matches overlaps or directly precedes.  A placeholder
+word suppresses the part of the candidate that holds it, not what stands beside
+it.  URLs are public unless they are webhooks or signed, which carry a secret.
 
 The scan is a map over rows: no shuffle, memory bounded by one Arrow batch.
 
@@ -50,15 +52,19 @@ CLASSES = (
     ("upper-digit in parts", re.compile(r"(?=(?:[^0-9]*[0-9]){3})[A-Z0-9+/_=-]+"), 3.6),
     ("other", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.0),
 )
-#: Strings at a candidate that are random by nature but no secret: whole URLs, hashes and addresses.
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: Strings at a candidate that are random by nature but no secret: URLs (not webhooks or signed ones), hashes and
+#: addresses.
 ALLOWED = (
-    r"""(?i)(?:https?://|www\.|://)[^\s"'<>\\^`{|},;()\[\]]*""",
+    r"""(?i)(?:https?://|www\.|://)(?![^\s"'<>]*(?:hook|[?&](?:key|sig|signature|auth|access_?key)=))"""
+    r"""[^\s"'<>\\^`{|},;()\[\]]*""",
     r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}",
     r"(?i)(?:sha(?:1|256|384|512)[:-]|md5[:-])[a-z0-9+/_=-]*",
     r"(?i)(?<![a-z0-9])urn:[a-z0-9+/_=.:%-]*",
-    r"(?i)example|sample|dummy|placeholder|x{8,}",
     r"(?i)(?<![a-z0-9._%+/=-])[a-z0-9._%+/=-]*@[a-z0-9-]+\.[a-z0-9.-]*",
 )
+#: Placeholder words: the part between separators that holds one is no secret.
+PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "x{8,}")
 _SUM_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # a window holds one more while it slides
 
 
@@ -102,7 +108,19 @@ def candidate_spans(text: str) -> list[tuple[int, int]]:
     return merged
 
 
-def find_secrets(text: str | None, allowed: re.Pattern) -> list[tuple[int, int, int]]:
+def stretches(text: str, placeholder: re.Pattern) -> list[tuple[int, str]]:
+    """(start, stretch) of a candidate between the parts that hold a placeholder word."""
+    if not placeholder.search(text):
+        return [(0, text)]
+    found, at = [], 0
+    for m in _PART.finditer(text):
+        if placeholder.search(m[0]):
+            found.append((at, text[at:m.start()]))
+            at = m.end()
+    return [x for x in (*found, (at, text[at:])) if len(x[1]) >= WINDOW]
+
+
+def find_secrets(text: str | None, allowed: re.Pattern, placeholder: re.Pattern) -> list[tuple[int, int, int]]:
     """(start, end, index of the kind) of every span, in order."""
     if not text:
         return []
@@ -121,7 +139,9 @@ def find_secrets(text: str | None, allowed: re.Pattern) -> list[tuple[int, int,
             while k < len(public) and public[k][1] < m.start():
                 k += 1
             if k == len(public) or public[k][0] >= m.end():
-                found += [(at + m.start() + a, at + m.start() + b, 3) for a, b in candidate_spans(m[0])]
+                for skip, stretch in stretches(m[0], placeholder):
+                    start = at + m.start() + skip
+                    found += [(start + a, start + b, 3) for a, b in candidate_spans(stretch)]
         at += len(word)
     return sorted(found, key=lambda x: (x[0], x[2], x[1])) if len(found) > 1 else found
 
@@ -131,16 +151,17 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                 allowed: Sequence[str] = ALLOWED) -> DataFrame:
+                 allowed: Sequence[str] = ALLOWED, placeholders: Sequence[str] = PLACEHOLDERS) -> DataFrame:
     """(doc_id, spans) of every row."""
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
     allow = "|".join(f"(?:{x.replace('(?i)', '')})" for x in allowed) or r"(?!)"
+    words = "|".join(f"(?:{x})" for x in placeholders) or r"(?!)"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(allow, re.IGNORECASE | re.ASCII)
+        pattern, placeholder = (re.compile(x, re.IGNORECASE | re.ASCII) for x in (allow, words))
         struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find_secrets(t.as_py(), pattern)]
+            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find_secrets(t.as_py(), pattern, placeholder)]
                      for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(spans, pa.list_(struct))], names=["doc_id", "spans"])

@@ -139,6 +139,18 @@ def test_allowed_strings_suppress_only_themselves(spark):
     assert not any(got[len(found) + i] for i in range(len(public)))
 
 
+def test_placeholders_and_webhooks(spark):
+    found = [f"sample_key={KEY}", f"{KEY}-example", f"dummy/{KEY}/dummy", f"https://hooks.chat.host/services/T0AB/B9CD/{KEY}",
+             f"https://a.b/webhook/{KEY}", f"https://a.b/c?x=1&sig={KEY}", "my-sample-ABCD1-2EFG3-4HJK5-6LMN7"]
+    public = [f"sample{KEY}", f"a-{KEY}DUMMY-b", f"https://a.b/hash/{KEY}", "sample_key=xxxxxxxxxxxxxxxxxxxxxxxx",
+              "example-sample-dummy-placeholder-example"]
+    got = entropy_strings(spark, found + public)
+    for i, t in enumerate(found[:-1]):
+        assert any(KEY in x for x in got[i])
+    assert any(x.endswith("ABCD1-2EFG3-4HJK5-6LMN7") for x in got[len(found) - 1])
+    assert not any(got[len(found) + i] for i in range(len(public)))
+
+
 def test_no_candidate_skips_the_window(spark):
     whole = ["ABCD1-2EFG3-4HJK5-6LMN7", "ABCDEFGHJKLMNPQRSTUVWXYZ", "qwe_rtyuiopasdfghjklzxcvb"]
     parts = [("key-", "3ax6xnjp29jd6fds4gc373sgvjxteol0"), ("auth=", "zx9kq2lw8vr4tn6yp1bd3fh5jm7"),
