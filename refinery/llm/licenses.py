@@ -33,9 +33,10 @@ Defined results
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let
@@ -120,27 +121,32 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> d
     return {r["w"]: r["count"] for r in rows}
 
 
-def _values(spark: SparkSession, names: str, rows: list[str]) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({names})")
+def template_words(template: str) -> list[str]:
+    """The words of a template by the rule of the texts: A-Z in lower case, split at all other ASCII signs."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in template)
+    return [w for w in re.split(SEPARATORS, low) if w]
 
 
 def _sides(docs: DataFrame, text: str, templates: Mapping[str, str],
            threshold: float) -> tuple[list[str], list[str], DataFrame]:
     """Template words rarest first, the words of all prefixes, and a row per template and prefix word."""
-    sets = {label: sorted(set(t.split())) for label, t in templates.items()}
-    vocabulary = sorted(set().union(*sets.values()))
+    listed = {label: words for label, t in templates.items() if (words := template_words(t))}
+    if not listed:
+        raise ValueError("no template holds a word")
+    vocabulary = sorted(set().union(*listed.values()))
     counts = word_counts(docs, vocabulary, text)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefix, rows = set(), []
-    for label, words in sets.items():
-        ordered = sorted(words, key=rank.__getitem__)
+    for label, words in listed.items():
+        ordered = sorted(set(words), key=rank.__getitem__)
         need = math.ceil(threshold * len(ordered) - 1e-9)
-        quoted = ", ".join(f"'{w}'" for w in ordered)
         for i, w in enumerate(ordered[:len(ordered) - need + 1]):
             prefix.add(w)
-            rows.append(f"('{label}', '{w}', {i}, {need}, {RUN * len(templates[label].split())}, array({quoted}))")
-    return order, sorted(prefix), _values(docs.sparkSession, "t_label, t_word, t_pos, t_need, t_run, t_words", rows)
+            values = {"t_label": label, "t_word": w, "t_pos": i, "t_need": need, "t_run": RUN * len(words)}
+            rows.append(F.struct(*[F.lit(v).alias(k) for k, v in values.items()],
+                                 F.array(*[F.lit(x) for x in ordered]).alias("t_words")))
+    return order, sorted(prefix), docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def _reach(size: Column, pos: Column) -> Column:
@@ -203,7 +209,7 @@ def license_blocks(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
     Every such line is there; a run over line breaks has a null line number and its words as the line.
     """
     order, prefix, sides = _sides(docs, text, templates, threshold)
-    longest = max(RUN * len(t.split()) for t in templates.values())
+    longest = max(RUN * len(template_words(t)) for t in templates.values())
     return (_line_matches(docs, keep, text, order, prefix, sides)
             .unionByName(_run_matches(docs, keep, text, order, prefix, sides, longest)))
 

@@ -69,6 +69,15 @@ def test_wrapped_notices(spark):
     assert got[len(WRAPPED)] == ("", 0.0)
 
 
+def test_templates_are_split_like_texts(spark):
+    templates = {"foo": "Version 2.0 of the Foo-License", "it's": "by the licensor's own words \\ only", "none": "..."}
+    texts = ["version 2.0 of the foo-license", "VERSION 2 0\nOF THE FOO LICENSE", "By the licensor's own words\\only",
+             "something else"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(rows, templates=templates).collect()}
+    assert got == {0: "foo", 1: "foo", 2: "it's", 3: ""}
+
+
 def test_runs_match_brute_force(spark):
     rng = random.Random(3)
     pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["other", "word"]
