@@ -1,8 +1,9 @@
 """License scans: phrases in place, and an exact set-similarity join against notice templates.
 
-A text block is a line, or a run of words that crosses line breaks: for a
-template of n words every run of ``RUN`` x n words of a text is a block, so a
-notice that wraps is found wherever its lines end.  A template labels a block
+For a template of n words a text block is every run of ``RUN`` x n words of a
+text, over line breaks too, and every line of no more words: a notice that
+wraps is found wherever its lines end, and words that a long line holds far
+apart are none.  A template labels a block
 when the block holds at least ``threshold`` of the template's distinct words.
 The join is exact:
 
@@ -18,7 +19,7 @@ The join is exact:
 
 Runs need no list of their own: a matching one holds a word of the template's
 prefix, so only the words around each such word are looked at, filtered by the
-same bounds and verified run by run.  A text of one line has no further runs.
+same bounds and verified run by run.
 
 The driver sees the word counts of the template vocabulary only, whose size
 the template list fixes.
@@ -167,17 +168,16 @@ def _line_matches(docs: DataFrame, keep: tuple[str, ...], text: str, order: list
     tokens = blocks.select("*", F.posexplode("_set").alias("_pos", "_word"))
     common = F.size(F.array_intersect("t_words", "_set"))
     pairs = tokens.join(F.broadcast(sides), (F.col("_word") == F.col("t_word")) & _reach(F.size("_set"), F.col("_pos")))
-    return (pairs.filter(common >= F.col("t_need"))
+    return (pairs.filter((common >= F.col("t_need")) & (F.size(_words(F.col("_line"))) <= F.col("t_run")))
             .select(*keep, F.col("_line_no").alias("line_no"), F.col("_line").alias("line"),
                     F.col("t_label").alias("label"), (common / F.size("t_words")).alias("containment")))
 
 
 def _run_matches(docs: DataFrame, keep: tuple[str, ...], text: str, order: list[str], prefix: list[str],
                  sides: DataFrame, longest: int) -> DataFrame:
-    """Runs over line breaks around every prefix word: the best one of each word and template, without a line number."""
+    """Runs around every prefix word: the best one of each word and template, without a line number."""
     literal, rare = F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(w) for w in prefix])
-    worded = (docs.filter(F.col(text).contains("\n"))
-              .filter(F.arrays_overlap(F.split(F.lower(F.col(text)), SEPARATORS), rare))
+    worded = (docs.filter(F.arrays_overlap(F.split(F.lower(F.col(text)), SEPARATORS), rare))
               .select(*keep, _words(ascii_lower(F.col(text))).alias("_w")))
 
     def around(w: Column) -> Column:
@@ -206,7 +206,7 @@ def license_blocks(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
                    templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Blocks that reach a template: the ``keep`` columns, line number, line, label, containment.
 
-    Every such line is there; a run over line breaks has a null line number and its words as the line.
+    Every such line is there; a run has a null line number and its words as the line.
     """
     order, prefix, sides = _sides(docs, text, templates, threshold)
     longest = max(RUN * len(template_words(t)) for t in templates.values())

@@ -89,9 +89,9 @@ def _license_sql() -> str:
             label, " AND ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())))
         for p, label in licenses.PHRASES.items())
     rows = ", ".join(
-        "('{}', [{}], {})".format(label, ", ".join(f"'{w}'" for w in words),
-                                  math.ceil(licenses.THRESHOLD * len(words) - 1e-9))
-        for label, words in ((k, sorted(set(t.split()))) for k, t in licenses.TEMPLATES.items()))
+        "('{}', [{}], {}, {})".format(label, ", ".join(f"'{w}'" for w in sorted(set(words))),
+                                      math.ceil(licenses.THRESHOLD * len(set(words)) - 1e-9), licenses.RUN * len(words))
+        for label, words in ((k, licenses.template_words(t)) for k, t in licenses.TEMPLATES.items()))
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     sep = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     return f"""
@@ -105,12 +105,17 @@ places AS ({phrases}),
 base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
   FROM places GROUP BY r),
-blocks AS (SELECT r, unnest(string_split(t, chr(10))) AS b FROM texts),
-block_sets AS (SELECT r, list_distinct(regexp_split_to_array(b, '{sep}')) AS s FROM blocks),
-templates(label, words, need) AS (VALUES {rows}),
-matches AS (
-  SELECT r, label, len(list_intersect(words, s)) / len(words) AS c
-  FROM block_sets JOIN templates ON len(list_intersect(words, s)) >= need),
+templates(label, words, need, run) AS (VALUES {rows}),
+-- a line of no more words than a run lies in a run, so the runs of all texts that hold enough words suffice
+whole AS (
+  SELECT r, w, label, words, need, run
+  FROM worded JOIN templates ON len(list_intersect(words, list_distinct(w))) >= need),
+runs AS (
+  SELECT r, label, need, len(words) AS n,
+         list_max([len(list_intersect(words, list_distinct(w[i:i + run - 1])))
+                   for i in range(1, greatest(len(w) - run + 1, 1) + 1)]) AS common
+  FROM whole),
+matches AS (SELECT r, label, common / n AS c FROM runs WHERE common >= need),
 method AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS best FROM matches GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -69,6 +69,14 @@ def test_wrapped_notices(spark):
     assert got[len(WRAPPED)] == ("", 0.0)
 
 
+def test_words_far_apart_in_one_line_are_no_notice(spark):
+    far = " ".join(f"{w} {'other ' * 800}" for w in "released into the public domain".split())
+    texts = [far, f"{'other ' * 900}released into the public domain {'other ' * 900}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(rows).collect()}
+    assert got == {0: ("", 0.0), 1: ("public-domain", 1.0)}
+
+
 def test_templates_are_split_like_texts(spark):
     templates = {"foo": "Version 2.0 of the Foo-License", "it's": "by the licensor's own words \\ only", "none": "..."}
     texts = ["version 2.0 of the foo-license", "VERSION 2 0\nOF THE FOO LICENSE", "By the licensor's own words\\only",
