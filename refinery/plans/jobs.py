@@ -24,6 +24,7 @@ from refinery.features.chain import from_spec
 from refinery.operators import grouping, joins, resolve, tables
 from refinery.session import cut_lineage
 from refinery.sources.files import load_keyed_table
+from refinery.sources.sinks import write_keyed
 
 
 # --------------------------------------------------------------------------- job I
@@ -60,23 +61,46 @@ class IntegrateConfig:
     dedup_mode: str = "latest_per_key"
 
 
-def integrate(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None) -> DataFrame:
+def load_job_tables(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None) -> dict[str, DataFrame]:
+    """S2 and J4 of job I: ``t`` with its keyed tables loaded and ``skills`` built from links and labels."""
+    cfg = cfg or IntegrateConfig()
+    return t | {
+        "jobs": load_keyed_table(t["jobs"], cfg.jobs_key, "string", cfg.version, cfg.dedup_mode),
+        "work_history": load_keyed_table(t["work_history"], cfg.history_key, "string", cfg.version, "row_dedup"),
+        "companies": load_keyed_table(t["companies"], cfg.company_key, "string", cfg.version, cfg.dedup_mode),
+        "skills": joins.link_join(t["job_skill_links"], t["skill_labels"], *cfg.skill_link),
+    }
+
+
+def store_job_tables(t: dict[str, DataFrame], buckets: int, prefix: str, folder: str,
+                     cfg: IntegrateConfig | None = None) -> dict[str, DataFrame]:
+    """The loaded tables of job I, each bucketed and sorted by its key as text.
+
+    ``integrate(stored, cfg, loaded=True)`` joins and groups them by the job key
+    without moving a row; rows move once, in the write.  The tables are named
+    ``prefix`` + name in the session's catalog, their files lie under ``folder``,
+    which driver and executors share.
+    """
+    cfg = cfg or IntegrateConfig()
+    loaded = load_job_tables(t, cfg)
+    keys = {"jobs": cfg.jobs_key, "work_history": cfg.history_key, "companies": cfg.company_key,
+            "segmentation": cfg.segmentation_cols[0], "occupations": next(iter(cfg.occupation_cols)),
+            **{ls.table: ls.key for ls in cfg.lists}}
+    return {name: write_keyed(loaded[name].withColumn(key, F.col(f"`{key}`").cast("string")), prefix + name, key, buckets,
+                              f"{folder.rstrip('/')}/{name}") for name, key in keys.items()}
+
+
+def integrate(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None, loaded: bool = False) -> DataFrame:
     """Job I: keyed loads, fact joins, guarded lookups, list aggregation, strict drop.
 
     ``t`` holds ``jobs``, ``work_history``, ``companies``, ``segmentation``,
     ``occupations``, ``job_skill_links``, ``skill_labels`` and the tables named
-    by ``cfg.lists`` (``skills`` is built from the link and label tables).
+    by ``cfg.lists`` (``skills`` is built from the link and label tables), or,
+    with ``loaded``, what :func:`load_job_tables` or :func:`store_job_tables` made of them.
     """
     cfg = cfg or IntegrateConfig()
-    jobs = load_keyed_table(t["jobs"], cfg.jobs_key, "string", cfg.version, cfg.dedup_mode)
-    hist = load_keyed_table(t["work_history"], cfg.history_key, "string", cfg.version, "row_dedup")
-    comp = load_keyed_table(t["companies"], cfg.company_key, "string", cfg.version, cfg.dedup_mode)
-
-    # Skill labels per job link.
-    link_key, label_key = cfg.skill_link
-    skills = joins.link_join(t["job_skill_links"], t["skill_labels"], link_key, label_key)
-    sources = dict(t)
-    sources["skills"] = skills
+    sources = t if loaded else load_job_tables(t, cfg)
+    jobs, hist, comp = sources["jobs"], sources["work_history"], sources["companies"]
 
     # Join order: every join keyed by the job id first, so the wide fact is
     # hash-partitioned on it once and the later job-keyed joins reuse that
@@ -86,10 +110,10 @@ def integrate(t: dict[str, DataFrame], cfg: IntegrateConfig | None = None) -> Da
     fact = joins.join_prefixed(jobs, hist, cfg.jobs_key, cfg.history_key, cfg.history_prefix)
     c = tables.prefix_columns(comp, cfg.company_prefix)
     # One-row-per-job lookups (fan-out is an error).
-    seg = tables.prefix_columns(tables.strict_select(t["segmentation"], cfg.segmentation_cols),
+    seg = tables.prefix_columns(tables.strict_select(sources["segmentation"], cfg.segmentation_cols),
                                 cfg.segmentation_prefix)
     fact = joins.guarded_lookup(fact, seg, cfg.jobs_key, cfg.segmentation_prefix + cfg.segmentation_cols[0])
-    occ = tables.rename(tables.strict_select(t["occupations"], list(cfg.occupation_cols)), cfg.occupation_cols)
+    occ = tables.rename(tables.strict_select(sources["occupations"], list(cfg.occupation_cols)), cfg.occupation_cols)
     occ_key = cfg.occupation_cols[next(iter(cfg.occupation_cols))]
     fact = joins.guarded_lookup(fact, occ.withColumnRenamed(occ_key, "__occ_key"), cfg.jobs_key, "__occ_key")
     # D1 + J5: ordered lists per job, [] when a job has none.
@@ -179,8 +203,9 @@ def clean_enrich(df: DataFrame, countries: DataFrame, city_alias_dim: DataFrame,
     df = df.join(joins.checked_broadcast(iso), cfg.country, "left")
     df = df.withColumn(cfg.country, F.col("__iso3")).drop("__iso3")
     df = tables.require_not_null(df, cfg.country)
-    pop = countries.select(F.col("iso3").alias(cfg.country), F.col("population").alias("COUNTRY_POPULATION"))
-    df = joins.guarded_lookup(df, pop.dropDuplicates([cfg.country]), cfg.country)
+    # a code listed twice has its largest population, as a city has
+    pop = countries.groupBy(F.col("iso3").alias(cfg.country)).agg(F.max("population").alias("COUNTRY_POPULATION"))
+    df = joins.guarded_lookup(df, pop, cfg.country)
     if gdp is not None:
         g = gdp.select(F.col("code").alias(cfg.country), F.col("gdppc").alias("COUNTRY_GDPPC"))
         df = joins.guarded_lookup(df, g, cfg.country)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refinery.features import encoders as E
+from refinery.features.sparse import IndexEncoder
+from refinery.operators import grouping
 from refinery.plans.queries import _r6, _t, combo_lists, register
 from refinery.session import cut_lineage
 
@@ -173,3 +175,44 @@ def q_frequency_encode(spark, sf):
                                      .otherwise(F.col("p_brand")).alias("p_brand"))
     out = E.FrequencyEncoder(column="p_brand").fit(p).transform(p)
     return out.select("p_partkey", _r6(F.col("p_brand")).alias("p_brand"))
+
+
+@register("onehot_indices", """
+WITH f AS (SELECT c_name AS value, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1),
+m AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i FROM f),
+b AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1),
+w AS (SELECT value, n, sum(n) OVER (ORDER BY n DESC, value) AS cum, sum(n) OVER () AS total FROM b),
+k AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i FROM w WHERE cum < 0.5 * total)
+SELECT 'customer' AS t, c_custkey AS id, CAST((SELECT count(*) FROM m) AS INTEGER) AS width, CAST(m.i AS BIGINT) AS place
+FROM customer LEFT JOIN m ON c_name = value AND c_custkey % 5 <> 0
+UNION ALL
+SELECT 'part', p_partkey, CAST((SELECT count(*) FROM k) + 1 AS INTEGER), coalesce(k.i, (SELECT count(*) FROM k))
+FROM part LEFT JOIN k ON p_brand = value
+""")
+def q_onehot_indices(spark, sf):
+    """E4 as places in a sparse vector: every customer name (nulls have none), and brands up to half of all parts."""
+    c = _t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("v"))
+    p = _t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("v"))
+    out = []
+    for name, df, key, threshold in (("customer", c, "c_custkey", None), ("part", p, "p_partkey", 0.5)):
+        model = IndexEncoder("v", threshold).fit(df)
+        out.append(model.transform(df).select(F.lit(name).alias("t"), F.col(key).cast("long").alias("id"),
+                                              F.lit(model.getOrDefault(model.width)).alias("width"),
+                                              F.try_element_at("v_indices", F.lit(1)).alias("place")))
+    return out[0].unionByName(out[1])
+
+
+@register("multilabel_indices", """
+WITH l AS (SELECT l_orderkey, list_distinct(list(l_partkey)) AS items FROM lineitem GROUP BY 1),
+f AS (SELECT l_partkey AS value, count(*) AS n FROM lineitem GROUP BY 1),
+m AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i FROM f),
+u AS (SELECT l_orderkey, unnest(items) AS item FROM l)
+SELECT l_orderkey, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS places
+FROM u JOIN m ON item = value GROUP BY 1
+""")
+def q_multilabel_indices(spark, sf):
+    """E5 as places in a sparse vector: the parts of an order, without a threshold."""
+    line = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    lists = cut_lineage(grouping.ordered_list(line, "l_orderkey", "l_partkey", ["l_partkey"], alias="parts"))
+    out = IndexEncoder("parts").fit(lists).transform(lists)
+    return out.select("l_orderkey", F.array_join(F.col("parts_indices").cast("array<string>"), ",").alias("places"))

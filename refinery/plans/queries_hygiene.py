@@ -149,6 +149,27 @@ def q_csv_lists_round_trip(spark, sf):
     return back.select("l_orderkey", F.size("l").alias("n"), F.array_join("l", "|").alias("flags"))
 
 
+@register("export_manifest", """
+SELECT t AS "table", true AS listed, n AS rows FROM (
+  SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders
+  UNION ALL SELECT 'lineitem', count(*) FROM lineitem)
+""")
+def q_export_manifest(spark, sf):
+    """Tables exported to gzip CSV, their files listed by extension, and the listed files read back."""
+    path = _folder(spark, "export")
+    given = {t: _t(spark, sf, t) for t in ("customer", "orders", "lineitem")}
+    sinks.export_tables(given, path)
+    folder = F.element_at(F.split("path", "/"), -2)
+    listed = (files.file_manifest(spark, path, extensions=["CSV.GZ"], name_contains="part-")
+              .groupBy(folder.alias("table")).agg(F.max("length").alias("largest")))
+    counts = None
+    for name, df in given.items():
+        back = files.read_csv(spark, f"{path}/{name}", df.schema).agg(F.count("*").alias("rows"))
+        one = back.select(F.lit(name).alias("table"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.join(listed, "table", "left").select("table", (F.col("largest") > 0).alias("listed"), "rows")
+
+
 @register("parquet_round_trip", "SELECT p_partkey, p_brand, p_type FROM part")
 def q_parquet_round_trip(spark, sf):
     """S13 + S5: a partitioned Parquet table, read with column pruning."""

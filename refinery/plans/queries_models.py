@@ -462,9 +462,7 @@ def q_weighted_bow(spark, sf):
 
 
 _LIST_SQL = "(SELECT {key} AS k, string_agg({value}, ',' ORDER BY {value}) AS v FROM {table} GROUP BY 1)"
-
-
-@register("job_integrate", f"""
+_JOB_SQL = f"""
 WITH hist AS (SELECT max(CAST(l_orderkey AS VARCHAR)) AS k, l_partkey, l_suppkey, l_extendedprice, l_shipdate
               FROM lineitem GROUP BY ALL)
 SELECT CAST(o_orderkey AS VARCHAR) AS "ID", o_custkey AS "COMPANYUID", o_orderstatus AS "STATUS", l_partkey AS "WH_PART",
@@ -477,12 +475,13 @@ LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="l_linestatus", table="linei
 LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="l_returnflag", table="lineitem")} t ON o_orderkey = t.k
 LEFT JOIN {_LIST_SQL.format(key="l_orderkey", value="p_brand", table="lineitem JOIN part ON l_partkey = p_partkey")} s
   ON o_orderkey = s.k
-""")
-def q_job_integrate(spark, sf):
-    """Job I over orders (jobs), their lines (work history, tags, skills) and customers (companies)."""
+"""
+
+
+def _job_tables(spark, sf):
     o, line, c, p = (_t(spark, sf, x) for x in ("orders", "lineitem", "customer", "part"))
     job = F.col("l_orderkey").alias("JOBID")
-    wide = jobs.integrate({
+    return {
         "jobs": o.select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("COMPANYUID"),
                          F.col("o_orderdate").alias("PARSED"), F.col("o_orderstatus").alias("STATUS")),
         "work_history": line.select(job, F.col("l_partkey").alias("PART"), F.col("l_suppkey").alias("SUPP"),
@@ -496,12 +495,30 @@ def q_job_integrate(spark, sf):
         "additional_skills": line.select(job, F.col("l_linestatus").alias("PREFLABEL")),
         "job_tags": line.select(job, F.col("l_returnflag").alias("TAG")),
         "job_skill_links": line.select(job, F.col("l_partkey").alias("SKILLID")),
-        "skill_labels": p.select(F.col("p_partkey").alias("ID"), F.col("p_brand").alias("PREFLABEL"))})
+        "skill_labels": p.select(F.col("p_partkey").alias("ID"), F.col("p_brand").alias("PREFLABEL"))}
+
+
+def _job_columns(wide):
     joined = [F.array_join(x, ",").alias(x) for x in ("ADDITIONAL_SKILLS", "TAGS", "SKILLS")]
     return wide.select("ID", "COMPANYUID", "STATUS", "WH_PART", "WH_SUPP", _r6(F.col("WH_PRICE")).alias("WH_PRICE"),
                        "COMPANY_UID", "COMPANY_SEGMENT", "SEGMENTATION_DATA_VALUE", "OCCUPATION", *joined)
 
 
+@register("job_integrate", _JOB_SQL)
+def q_job_integrate(spark, sf):
+    """Job I over orders (jobs), their lines (work history, tags, skills) and customers (companies)."""
+    return _job_columns(jobs.integrate(_job_tables(spark, sf)))
+
+
+@register("job_integrate_keyed", _JOB_SQL)
+def q_job_integrate_keyed(spark, sf):
+    """Job I over tables bucketed by the job key: its job-keyed joins and lists need no exchange."""
+    name = f"keyed_{uuid.uuid4().hex}_"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = jobs.store_job_tables(_job_tables(spark, sf), buckets, name, f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    return _job_columns(jobs.integrate(stored, loaded=True))
+
+
 @register("schema_probe", """
 SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column"
 FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'documents')
