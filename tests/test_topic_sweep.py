@@ -102,3 +102,20 @@ def test_no_terms(spark):
     entries, words, _ = entries_of(spark, [(1, []), (2, None)])
     with pytest.raises(ValueError):
         TS.fit_sweep(entries, words, [2])
+
+
+def test_single_precision_updates_keep_the_bound(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, width, per = 60, 40, 12
+    row = np.repeat(np.arange(n), per)
+    column = np.concatenate([rng.choice(width, per, replace=False) for _ in range(n)])
+    value = rng.integers(1, 5, n * per).astype(float)
+    for k in (2, 20, 64):
+        beta = np.exp(TS.digamma(rng.gamma(.3, 9., (k, width)) + 1 / k) - 5)
+        got, want = [], []
+        for out, single in ((got, 64), (want, 0)):
+            monkeypatch.setattr(TS, "SINGLE", single)
+            gamma, theta, ratio, _ = TS._document_topics(row, column, value, n, beta, 400)
+            assert gamma.dtype == theta.dtype == ratio.dtype == np.float64
+            out.append(((1 / k - gamma) * np.log(theta) + TS.log_gamma(gamma)).sum() - TS.log_gamma(gamma.sum(1)).sum())
+        assert np.allclose(got, want, rtol=1e-3)
