@@ -8,7 +8,7 @@ Two modes (the reference's docstring and code disagree):
   keys with equal payloads collapse into one.
 
 Both are one hash shuffle on the grouping columns with a per-group max, written
-as ``max_by`` aggregates: map-side partial aggregation keeps only one candidate
+as ``max_by`` and ``max`` aggregates: map-side partial aggregation keeps only one candidate
 row per group per task, so a hot key (a third of all rows) costs one row on
 the wire per task, not a third of the table in one sort.
 """
@@ -46,7 +46,7 @@ def row_dedup(df: DataFrame, key: str, version: str) -> DataFrame:
     The surviving key is the largest key among the equal rows with the latest
     version (the reference leaves it to sort order; we make it deterministic).
     """
+    # ``version`` is among the columns that are equal, so the latest of them has the largest key
     payload = [c for c in df.columns if c != key]
-    order = F.struct(F.col(f"`{version}`"), F.col(f"`{key}`"))
-    best = df.groupBy(*[F.col(f"`{c}`") for c in payload]).agg(F.max_by(F.col(f"`{key}`"), order).alias(key))
+    best = df.groupBy(*[F.col(f"`{c}`") for c in payload]).agg(F.max(F.col(f"`{key}`")).alias(key))
     return best.select(*df.columns)
