@@ -51,6 +51,7 @@ FILTER_BYTES = 16 << 20
 FILTER_PROBES = 4
 BATCH_BYTES = 4 << 20
 CALL_TEXTS = 4096  # of one call of the library, whose results are large objects
+GROUP_WORDS = 256  # encoded as one text
 AROUND = (1, 4, 16)  # words on both sides of a join that must agree
 _BLANK_BYTES = np.zeros(256, bool)
 _BLANK_BYTES[list(BLANKS.encode())] = True
@@ -112,6 +113,7 @@ class Library:
         self.words: dict[str, bytes] = {}
         spec = json.loads(self.model.to_str())
         self.by_word = self._drops_blanks(spec)
+        self.mark = self._mark(spec)
         self.plain = not spec["decoder"]
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.short = size <= 1 << 16
@@ -127,10 +129,36 @@ class Library:
             "\\s" not in first["pattern"].get("Regex", "\\s").replace("[^\\s", "") and \
             kinds <= {"NFC", "Replace", "Lowercase"} and not spec["post_processor"] and not added
 
+    @staticmethod
+    def _mark(spec: dict) -> tuple[str, int] | None:
+        """A special token that keeps the texts on its two sides apart, whatever they are."""
+        added = [t["content"] for t in spec["added_tokens"]]
+        for t in spec["added_tokens"]:
+            mark = t["content"]
+            alone = t["special"] and not (t["single_word"] or t["normalized"] or t["lstrip"] or t["rstrip"])
+            # no token begins before the mark and ends in it, and no longer one begins with it
+            if alone and not any(mark[0] in a[1:] or a != mark and a.startswith(mark) for a in added):
+                return mark, t["id"]
+        return None
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), CALL_TEXTS)
                 for e in self.model.encode_batch_fast(texts[i:i + CALL_TEXTS], add_special_tokens=False)]
 
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; a group of them is one text, with a special token between two."""
+        if self.mark is None:
+            return self.whole(words)
+        (mark, number), out = self.mark, []
+        groups = [words[i:i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
+        for group, raw in zip(groups, self.whole([mark.join(g) for g in groups])):
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == number)).tolist()
+            if len(cuts) != len(group) - 1:  # a word holds the token
+                out += self.whole(group)
+                continue
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+        return out
+
     def narrow(self, ids: bytes) -> bytes:
         """Ids as they are kept between stages: two bytes each if the vocabulary allows."""
         return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.short else ids
@@ -140,7 +168,7 @@ class Library:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         new = [w for w in words if w not in self.words]
-        found = dict(zip(new, self.whole(new)))
+        found = dict(zip(new, self._apart(new)))
         for w in words:
             if w not in found:
                 found[w] = self.words[w]

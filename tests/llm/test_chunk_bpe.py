@@ -65,3 +65,27 @@ def test_documents_round_trip(spark, corpus, path, size):
 
 def test_no_documents(spark, no_docs):
     assert C.decode_documents(C.encode_documents(no_docs, PATHS[0]), PATHS[0]).count() == 0
+
+
+def test_new_words_are_encoded_in_groups():
+    lib = C.Library(PATHS[0])
+    mark = lib.mark[0]
+    words = [f"w{i}x" for i in range(600)] + ["it's", "<|", "endoftext|>", f"a{mark}b", mark, "́", "é", "ß", "中"]
+    expected = [np.array(lib.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    whole, asked = lib.whole, []
+    lib.whole = lambda texts: asked.extend(texts) or whole(texts)
+    assert list(map(lib._learn(words).get, words)) == expected
+    assert len(asked) < len(words)  # the groups, and the words of the one that holds the special token
+
+    lib.mark = None
+    lib.words.clear()
+    assert list(map(lib._learn(words).get, words)) == expected
+
+
+def test_a_mark_touches_no_other_token():
+    token = dict(special=True, single_word=False, normalized=False, lstrip=False, rstrip=False)
+    found = lambda *texts: C.Library._mark({"added_tokens": [token | {"content": t, "id": i} for i, t in enumerate(texts)]})
+    assert found("<a>", "<b>") == ("<a>", 0)
+    assert found("<a>", "x<") == ("x<", 1)  # "x" and the first would meet in the second
+    assert found("<a>", "<a>b") == ("<a>b", 1)
+    assert found("a", "ba", "ab") is None and found() is None
