@@ -14,7 +14,8 @@ The second pass asks a Bloom filter of fixed size which digests occur twice.  It
 is the only broadcast; false answers cost a chunk's transport, never a result.
 
 Words are cached per worker where the tokenizer drops blanks (its ids of a text
-are those of its blank-delimited words).  With other tokenizers agreement beside a
+are those of its blank-delimited words); where it also keeps a run of letters
+whole and in lower case, letters and the signs behind them are words of their own.  With other tokenizers agreement beside a
 join proves nothing about it: their joined documents are all encoded whole.
 
 Defined results
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from refinery.session import release
+
 from .common import BLANKS, Scratch
 from .tokens import release_memory
 
@@ -52,9 +56,16 @@ FILTER_PROBES = 4
 BATCH_BYTES = 4 << 20
 CALL_TEXTS = 4096  # of one call of the library, whose results are large objects
 GROUP_WORDS = 256  # encoded as one text
+FEW_WORDS = 512  # different ones of a call that are not worth parting
 AROUND = (1, 4, 16)  # words on both sides of a join that must agree
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANK_BYTES = np.zeros(256, bool)
 _BLANK_BYTES[list(BLANKS.encode())] = True
+_LETTER_BYTES = np.zeros(256, bool)  # of the letters of ASCII and those of U+00C0 to U+00FF
+_LETTER_BYTES[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = True
+_LETTER_BYTES[[0x97, 0xB7]] = False  # behind 0xC3 the signs U+00D7 and U+00F7
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
 
@@ -114,6 +125,9 @@ class Library:
         spec = json.loads(self.model.to_str())
         self.by_word = self._drops_blanks(spec)
         self.mark = self._mark(spec)
+        self.ends = self._piece_ends(spec) if self.by_word else None
+        tokens = "".join(t["content"] for t in spec["added_tokens"])
+        self.signs = "".join(c for c in string.punctuation if c not in tokens)
         self.plain = not spec["decoder"]
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.short = size <= 1 << 16
@@ -141,6 +155,20 @@ class Library:
                 return mark, t["id"]
         return None
 
+    def _piece_ends(self, spec: dict) -> np.ndarray | None:
+        """Of each id, whether it ends a piece, if every run of letters is a piece and upper case means nothing; else None."""
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        cased = {"type": "Lowercase"} not in steps
+        replaced = any(n["type"] == "Replace" and n["pattern"] != {"Regex": "\\s+"} for n in steps)
+        first, *rest = spec["pre_tokenizer"]["pretokenizers"]
+        bytewise = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        if not suffix or cased or replaced or not bytewise or first["pattern"].get("Regex") != _PIECES:
+            return None
+        ends = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
+        ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        return ends
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), CALL_TEXTS)
                 for e in self.model.encode_batch_fast(texts[i:i + CALL_TEXTS], add_special_tokens=False)]
@@ -159,6 +187,17 @@ class Library:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         return out
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of letters; a group of them is one text with blanks between, and each is one piece."""
+        out, groups = [], [words[i:i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
+        for group, raw in zip(groups, self.whole([" ".join(g) for g in groups])):
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(raw):  # a character the model does not know
+                out += self.whole(group)
+                continue
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
     def narrow(self, ids: bytes) -> bytes:
         """Ids as they are kept between stages: two bytes each if the vocabulary allows."""
         return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.short else ids
@@ -167,16 +206,31 @@ class Library:
         return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if self.short else ids
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        new = [w for w in words if w not in self.words]
-        found = dict(zip(new, self._apart(new)))
-        for w in words:
-            if w not in found:
-                found[w] = self.words[w]
+        found = {w: self.words.get(w) for w in words}
+        new = [w for w, ids in found.items() if ids is None]
+        if self.ends is not None:
+            letters = [w for w in new if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+            found.update(zip(letters, self._spaced(letters)))
+        rest = [w for w in new if found[w] is None]
+        found.update(zip(rest, self._apart(rest)))
         if len(self.words) > self.limit:
             self.words.clear()
         self.words.update((w, found[w]) for w in new if len(w) <= self.longest)
         return found
 
+    def _parts(self, words: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray]:
+        """Two strings of each word as places in a list of them: its letters, in lower case, and the signs behind;
+        if it has anything else, the word as it is and nothing."""
+        at = np.frombuffer(words.buffers()[1], "<i8")[words.offset:words.offset + len(words) + 1]
+        data, at = np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]], at - at[0]
+        cut = at[:-1] + np.asarray(pc.binary_length(pc.ascii_rtrim(words, self.signs)))
+        letters = np.concatenate([[0], np.cumsum(_LETTER_BYTES[data])])
+        plain = (cut > at[:-1]) & (letters[cut] - letters[at[:-1]] == cut - at[:-1])
+        bounds = np.append(np.column_stack([at[:-1], np.where(plain, cut, at[1:])]).ravel(), at[-1])
+        data = np.where(np.repeat(plain, np.diff(at)), _LOWER[data], data)
+        halves = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        return halves.dictionary, np.asarray(halves.indices).reshape(-1, 2)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
         if not self.by_word:
@@ -186,13 +240,17 @@ class Library:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         at = np.asarray(lists.offsets, np.int64)
         coded = lists.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known, code = coded.dictionary, np.asarray(coded.indices)[:, None]
+        if self.ends is not None and len(known) > FEW_WORDS:
+            known, parts = self._parts(known)
+            code = parts[code[:, 0]]
+        known = known.to_pylist()
         learned = self._learn(known)
         ids = [learned[w] for w in known]
         sizes = np.array([len(i) // 4 for i in ids], np.int64)
         starts = np.cumsum(sizes) - sizes
         pool = np.frombuffer(b"".join(ids), "<u4")
-        code = np.asarray(coded.indices)
+        at, code = at * code.shape[1], code.ravel()
         take = sizes[code]
         ends = np.cumsum(take)
         flat = pool[np.repeat(starts[code] - ends + take, take) + np.arange(int(take.sum()))]
@@ -404,22 +462,24 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     pieces = scratch.table(once.mapInArrow(encode, "h1 long, h2 long, ids binary"), "pieces")
     uses = waiting.select("key", F.explode("chunks").alias("c")).filter("c.shared").select("key", "c.no", "c.h1", "c.h2")
     uses = scratch.table(uses, "uses")
+    release(spark)  # the shuffle files of the counts and of the chunks, before the texts are sent
     parts = uses.join(pieces, ["h1", "h2"]).groupBy("key").agg(F.collect_list(F.struct("no", "ids")).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(tokenizer_path)
         for batch in _groups(batches, "text"):
-            out = []
+            held, own = [], []  # the documents, and the chunks that only they have
             for raw, chunks, parts in zip(_raw(batch.column("text")), batch.column("chunks"), batch.column("parts")):
                 places = chunks.values.field("begin").to_pylist()
                 found: list[bytes | None] = [None] * len(places)
                 for no, ids in zip(parts.values.field("no").to_pylist(), parts.values.field("ids").to_pylist()):
                     found[no] = lib.widen(ids)
-                own = [i for i, ids in enumerate(found) if ids is None]
                 texts = chunks_of(raw, places)
-                for i, ids in zip(own, lib.encode([texts[i].decode("utf-8", "surrogatepass") for i in own])):
-                    found[i] = ids
-                out.append(lib.join(raw, places, found))
+                own += [(found, i, texts[i].decode("utf-8", "surrogatepass")) for i, ids in enumerate(found) if ids is None]
+                held.append((raw, places, found))
+            for (found, i, _), ids in zip(own, lib.encode([text for *_, text in own])):
+                found[i] = ids
+            out = [lib.join(*document) for document in held]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
         release_memory()
 

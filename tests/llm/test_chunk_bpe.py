@@ -89,3 +89,23 @@ def test_a_mark_touches_no_other_token():
     assert found("<a>", "x<") == ("x<", 1)  # "x" and the first would meet in the second
     assert found("<a>", "<a>b") == ("<a>b", 1)
     assert found("a", "ba", "ab") is None and found() is None
+
+
+def test_letters_and_the_signs_behind_are_words_of_their_own(monkeypatch):
+    monkeypatch.setattr(C, "FEW_WORDS", 0)
+    lib, rng = C.Library(PATHS[0]), random.Random(4)
+    lib.encode([" ".join(c + s for c in ("abc", "ABC", "Ñandú", "ñandÚ".replace("Ú", "ú")) for s in ("", ",", "!!", "'"))])
+    assert {"abc", ",", "!!", "'"} <= set(lib.words) and "ABC" not in lib.words and "abc," not in lib.words
+    bits = [*BITS, "×", "÷", "ª", "ÿ", "J̌", "̸", "=", "<", "<|ENDOFTEXT|>", "'S", "'", ",", "^", "~", "K", "x_y", "(b)", "B."]
+    for _ in range(2000):
+        s = "".join(rng.choice(bits) + (" " if rng.random() < .5 else "") for _ in range(rng.randint(0, 40)))
+        assert lib.encode([s])[0] == lib.whole([s])[0]
+
+
+def test_letters_are_encoded_with_blanks_between():
+    lib = C.Library(PATHS[0])
+    words = [f"w{'xyz'[i % 3]}{'abcdefgh'[i // 3 % 8]}{'klmn'[i // 24 % 4]}{'QRSTUV'[i // 96]}é" for i in range(576)]
+    expected = [np.array(lib.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert lib._spaced(words) == expected and C.Library(PATHS[1]).ends is None
+    lib.ends = np.zeros_like(lib.ends)  # no piece ends where it should: each word is a text again
+    assert lib._spaced(words) == expected
